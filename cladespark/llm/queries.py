@@ -51,9 +51,137 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.common import real_id
+    from cladespark.llm.ngram_jaccard import ngram_jaccard
+
+    out = ngram_jaccard(table(spark, sf_dir, "documents"))
+    return out.select(real_id("doc").alias("doc_id"), "class_id", "n_links", "group_id", (F.col("doc") == F.coalesce("group_id", "doc")).alias("kept"))
+
+
+#: Dated entries of a block list, as fixed values: pattern, date, action, category.
+BLOCK_LIST = (
+    ("casino-win.example.com", "2024-01-10", "add", "gambling"),
+    ("casino-win.example.com", "2024-06-01", "remove", "gambling"),
+    ("casino-win.example.com", "2024-09-15", "add", "gambling"),
+    ("free-bets.example.com", "2024-03-05", "add", "gambling"),
+    ("cheap-pills.example.com", "2024-02-01", "add", "pharmacy"),
+    ("cheap-pills.example.com", "2024-08-20", "remove", "pharmacy"),
+    ("example.net", "2024-11-01", "add", "zone"),
+    ("example.net", "2024-11-15", "remove", "zone"),
+    ("blog.tionsh.example.com/fr", "2024-04-01", "add", "section"),
+    ("therhe.example.org/en", "2024-05-01", "add", "section"),
+    ("therhe.example.org/en", "2024-07-01", "remove", "section"),
+    ("tionble.example.org", "2024-10-10", "add", "spam"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture against the list above; pages carry no fetch time, so the day of the year follows the page id."""
+    from cladespark.llm.url_filter import url_filter
+
+    entries = spark.createDataFrame(list(BLOCK_LIST), "pattern string, listed_at string, action string, category string")
+    fetched = F.expr("timestamp_seconds(1704067200 + pmod(coalesce(page_id, 0), 366) * 86400)")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    out = url_filter(captures, entries)
+    return out.select("page_id", "url", F.expr("unix_seconds(fetched_at)").alias("fetched_s"), "host", "blocked", "n_entries", "categories")
+
+
+OP4_SQL = (
+    "WITH log(pattern, listed, action, category) AS (VALUES "
+    + ", ".join(f"('{p}', epoch(TIMESTAMP '{d} 00:00:00'), '{a}', '{c}')" for p, d, a, c in BLOCK_LIST)
+    + r"""),
+spans AS (
+  SELECT pattern, category, action, CAST(listed AS BIGINT) AS a,
+         CAST(lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS BIGINT) AS b FROM log),
+seen AS (
+  SELECT page_id, url, 1704067200 + (page_id % 366) * 86400 AS fetched_s,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') AS path FROM pages)
+SELECT s.page_id, s.url, s.fetched_s, s.host, count(l.pattern) > 0 AS blocked,
+       CAST(count(l.pattern) AS BIGINT) AS n_entries, coalesce(string_agg(DISTINCT l.category, ',' ORDER BY l.category), '') AS categories
+FROM seen s LEFT JOIN spans l
+  ON l.action = 'add' AND s.fetched_s >= l.a AND (l.b IS NULL OR s.fetched_s < l.b)
+  AND (s.host = l.pattern OR s.host LIKE '%.' || l.pattern
+       OR (s.host || s.path) = l.pattern OR (s.host || s.path) LIKE l.pattern || '/%')
+GROUP BY ALL
+"""
+)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.suffix_tree_lm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.embedding_dedup import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                     WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT e.vec_id, CAST((SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS BIGINT) AS n_links,
+       least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least ON least.x = e.vec_id
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.html_extract import extract_pages
+
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.common import real_id
+    from cladespark.llm.decontaminate import contained_items
+
+    out = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(real_id("doc").alias("doc_id"), "item_id", "n_shingles", "n_shared", "containment")
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark),
+grams AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'i' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k
+  FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(k AS BIGINT) AS n_shared, k / n AS containment
+FROM shared JOIN sizes ON item_id = sizes.id WHERE k * 5 >= n * 4
+"""
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladespark.llm.quality import quality
+
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("kept", F.col("quality") >= 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_url_filters": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
