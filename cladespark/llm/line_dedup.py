@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from cladespark.llm.common import ASCII_SPACE, NULL_ID, doc_key, real_id, written
 
@@ -149,7 +150,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col
     return lost.select("doc", "row", "n_lines", F.size("lost").alias("n_dropped"), _packed("lost", "n_lines").alias("keep"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _packed(lost: pd.Series, n_lines: pd.Series) -> pd.Series:
     def pack(gone: np.ndarray, n: int) -> bytes:
         keep = np.ones(n, bool)
@@ -159,7 +160,7 @@ def _packed(lost: pd.Series, n_lines: pd.Series) -> pd.Series:
     return pd.Series([pack(np.asarray(a, np.int64), n) for a, n in zip(lost, n_lines)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(text: pd.Series, keep: pd.Series) -> pd.Series:
     def cut(t: str | None, bits: bytes | None) -> str | None:
         if bits is None or t is None:
