@@ -63,7 +63,7 @@ def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, single
 
 def write_lines(df: DataFrame, path: str, header: list[str] | None = None) -> None:
     """The column ``line`` as one text file, in the table's order."""
-    df.select("line").coalesce(1).write.text(path + ".parts", lineSep="\n", mode="overwrite")
+    df.select("line").coalesce(1).write.mode("overwrite").text(path + ".parts", lineSep="\n")
     _one_file(path + ".parts", path)
     if header:
         with open(path, encoding="utf-8") as f:
