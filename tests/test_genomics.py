@@ -310,3 +310,31 @@ def test_queries_need_no_session_to_be_listed():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dashboards_and_plot_data(spark, folder, vcf_hits):
+    from cladespark import dashboards
+    from cladespark.operators import plot_data
+
+    (folder / "scan").mkdir()
+    os.symlink(folder / "vcf", folder / "scan" / "vcf")
+    payload = dashboards.scan_payload(spark, str(folder / "scan"), hits=3)
+    assert payload["n_hits"] == 7 and len(payload["sources"][0]["hits"]) == 3 and payload["sources"][0]["best_score"] == 1.283333
+    dashboards.write_page(payload, str(folder / "page.html"))
+    assert dashboards.read_json(str(folder / "page.json"))["n_hits"] == 7 and dashboards.read_json("/nowhere.json") == {}
+    pairs = spark.createDataFrame([("c", 0, "a", "b", 0.2), ("c", 0, "a", "c", 0.9), ("c", 0, "b", "c", 0.1)], "contig string, w int, sample_a string, sample_b string, similarity double")
+    order, matrix = plot_data.leaf_order(plot_data.mean_similarity(pairs), ["a", "b", "c"])
+    assert order == ["a", "c", "b"] and matrix[0, 1] == 0.9
+    assert sorted(["chr10", "chr2", "x"], key=plot_data.contig_key) == ["chr2", "chr10", "x"]
+
+
+def test_cli(spark, folder):
+    from cladespark.cli import main
+
+    base = ["--targets", "T1", "T2", "--off-targets", "O1", "O2", "O3"]
+    out = str(folder / "cli")
+    assert main(["scan", "--vcf", str(folder / "small.vcf"), "--gfa", str(folder / "small.gfa"), "--outdir", out, *base], spark) == 0
+    assert {r["match_class"] for r in rows_of(folder / "cli" / "compare" / "compare.tsv")} <= {"supported", "partially_supported", "source_specific", "contradicted"}
+    assert main(["scan", "--outdir", out, *base], spark) == 2
+    assert main(["scan", "--vcf", str(folder / "small.vcf"), "--outdir", out, "--targets", "T1", "--off-targets", "T1"], spark) == 2
+    assert main(["index", "--gfa", str(folder / "small.gfa")], spark) == 0 and os.path.isdir(f"{folder}/small.gfa.index")
