@@ -1,4 +1,4 @@
-"""XMFA alignment blocks and the columns in which targets share a state that no off-target has."""
+"""XMFA alignment blocks and their columns anchored on a reference."""
 
 from __future__ import annotations
 
@@ -16,37 +16,13 @@ def read_xmfa(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("block", F.split(name, r"\.")[0].alias("sample"), head(2).cast("long").alias("start"), head(3).cast("long").alias("end"), head(4).alias("strand"), seq.alias("seq"))
 
 
-def reference_columns(entries: DataFrame, reference: str) -> DataFrame:
-    """(block, col, pos, sample, state): alignment columns with the reference's position; gaps in the reference take the last one."""
+def reference_states(entries: DataFrame, reference: str, contig: str = "reference", offset: int = 0) -> DataFrame:
+    """(contig, pos, ref, sample, state): columns in which the reference has a base, with its position on either strand."""
+    bases = F.filter(F.split("seq", ""), lambda c: c != "")
     ref = entries.filter(F.col("sample") == reference)
-    bases = F.split("seq", "")
-    cols = ref.select("block", "start", "end", "strand", F.posexplode(F.filter(bases, lambda c: c != "")).alias("col", "r"), "seq")
-    used = F.length(F.regexp_replace(F.substring(F.col("seq"), F.lit(1), F.col("col") + 1), "-", ""))
-    pos = F.when(F.col("strand") == "-", F.col("end") - F.greatest(used - 1, F.lit(0))).otherwise(F.col("start") + F.greatest(used - 1, F.lit(0)))
-    cols = cols.select("block", "col", pos.alias("pos"))
-    states = entries.select("block", "sample", F.posexplode(F.filter(bases, lambda c: c != "")).alias("col", "state"))
-    return states.filter(F.col("state").isin("A", "C", "G", "T", "-")).join(cols, ["block", "col"])
-
-
-def private_columns(columns: DataFrame, targets: tuple[str, ...], off_targets: tuple[str, ...]) -> DataFrame:
-    """Columns where all called targets agree and no called off-target does, with a level by missing samples."""
-    t, o = F.col("sample").isin(*targets), F.col("sample").isin(*off_targets)
-    got = columns.groupBy("block", "col", "pos").agg(
-        F.count_if(t).alias("t_called"), F.count_if(o).alias("o_called"), F.collect_set(F.when(t, F.col("state"))).alias("t_states"), F.collect_set(F.when(o, F.col("state"))).alias("o_states"), F.max((F.col("state") == "-").cast("int")).alias("gap")
-    )
-    own = got.filter((F.col("t_called") > 0) & (F.size("t_states") == 1) & ~F.arrays_overlap("t_states", "o_states"))
-    tm, om = F.col("t_called") < len(targets), F.col("o_called") < len(off_targets)
-    level = F.when(tm & om, "strict_both_missing").when(tm, "strict_target_missing").when(om, "strict_offtarget_missing").otherwise("strict_complete")
-    return own.select("block", "col", "pos", F.col("t_states")[0].alias("state"), level.alias("level"), F.when(F.col("gap") == 1, "indel").otherwise("snp").alias("site_class"))
-
-
-def site_intervals(sites: DataFrame) -> DataFrame:
-    """Runs of consecutive positions of one reference contig, with the worst level and 'mixed' where site classes differ."""
-    from cladespark.operators.intervals import consecutive_runs
-
-    order = ("strict_complete", "strict_offtarget_missing", "strict_target_missing", "strict_both_missing")
-    worst = F.array_position(F.array(*map(F.lit, order)), F.col("level"))
-    one = sites.groupBy("pos").agg(F.max(worst).alias("w"), F.collect_set("site_class").alias("c"))
-    runs = consecutive_runs(one.withColumn("_k", F.lit(0)), ["_k"], "pos")
-    out = runs.groupBy("island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n_sites"), F.max("w").alias("w"), F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"))
-    return out.select("start", "end", "n_sites", F.element_at(F.array(*map(F.lit, order)), F.col("w").cast("int")).alias("level"), F.when(F.size("c") > 1, "mixed").otherwise(F.col("c")[0]).alias("site_class"))
+    cols = ref.select("block", "strand", F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"), "seq", F.posexplode(bases).alias("col", "ref"))
+    before = F.length(F.replace(F.substring(F.col("seq"), F.lit(1), F.col("col")), F.lit("-"), F.lit("")))
+    pos = F.when(F.col("strand") == "-", F.col("hi") - before).otherwise(F.col("lo") + before)
+    cols = cols.filter(F.col("ref").isin("A", "C", "G", "T")).select("block", "col", "ref", (pos + offset).alias("pos"))
+    states = entries.select("block", "sample", F.posexplode(bases).alias("col", "state")).filter(F.col("state").isin("A", "C", "G", "T", "-"))
+    return states.join(cols, ["block", "col"]).select(F.lit(contig).alias("contig"), "pos", "ref", "sample", "state")

@@ -14,7 +14,7 @@ from cladespark import runs, scan
 from cladespark.cohort import Cohort, CohortError, inferred_groups, read_cohort, role_of
 from cladespark.functions.rounding import fixed, half_even
 from cladespark.operators import compare as cmp
-from cladespark.operators import focus, kernel, landscape, pangenome
+from cladespark.operators import focus, kernel, landscape, pangenome, private_sites
 from cladespark.operators.intervals import gaps_between, merge_loci, range_join, region_rollup, union_of_intervals
 from cladespark.operators.ordering import global_row_number
 from cladespark.operators.windows import bp_windows, record_index, record_windows
@@ -288,9 +288,25 @@ def test_reads(spark, tmp_path):
 
 def test_xmfa(spark, tmp_path):
     (tmp_path / "a.xmfa").write_text("#FormatVersion Mauve1\n>1:11-18 + ref.fa\nACGTACGT\n>2:1-8 + t1.fa\nATGTA-GT\n>3:1-8 + t2.fa\nATGTA-GT\n>4:1-8 + o1.fa\nACGTACGT\n=\n")
-    cols = xmfa.reference_columns(xmfa.read_xmfa(spark, str(tmp_path / "a.xmfa")), "ref")
-    got = sorted((r["pos"], r["state"], r["level"], r["site_class"]) for r in xmfa.private_columns(cols, ("t1", "t2"), ("o1",)).collect())
-    assert got == [(12, "T", "strict_complete", "snp"), (16, "-", "strict_complete", "indel")]
+    states = xmfa.reference_states(xmfa.read_xmfa(spark, str(tmp_path / "a.xmfa")), "ref")
+    sites = private_sites.judged(private_sites.from_states(states, ("t1", "t2")), 2)
+    got = sorted((r["pos"], r["target_allele"], r["strictness"], r["classification"]) for r in sites.collect())
+    assert got == [(12, "T", "strict", "snp"), (16, "-", "strict", "indel")]
+    assert private_sites.intervals(sites).count() == 2
+
+
+def test_private_sites(spark):
+    rows = [(1, "A", ["T"], [[1, 1], [1, None], [0, 0]]), (2, "A", ["T"], [[1, 1], [0, 1], [0, 0]]), (3, "A", ["T"], [[1, 1], [1, 1], [1, 1]]), (4, "A", ["TG"], [[1, 1], [1, 1], [0, 1]]), (5, "A", ["T"], [[1, 1], [0, 0], [0, 0]]), (6, "A", ["T"], [[1, 1], [1, 1], None])]
+    df = spark.createDataFrame([("c", *r) for r in rows], "contig string, pos long, ref string, alts array<string>, gts array<array<int>>")
+    sites = private_sites.judged(private_sites.from_vcf(df, ["t1", "t2", "o"], ("t1", "t2")), 2)
+    assert sorted((r["pos"], r["strictness"], r["classification"], r["n_targets_observed"]) for r in sites.collect()) == [(1, "strict", "snp", 2), (2, "target_partial", "snp", 1)]
+    runs_ = private_sites.intervals(sites).collect()
+    assert [(r["start"], r["end"], r["strictness"], r["n_targets_observed"]) for r in runs_] == [(1, 2, "target_partial", 1)]
+    variants = spark.createDataFrame([("c", 5, "t1", "A", "T"), ("c", 9, "o", "G", "-")], "contig string, pos long, sample string, ref string, alt string")
+    coverage = spark.createDataFrame([("t2", "c", 1, 6), ("o", "c", 1, 20), ("t1", "c", 1, 20)], "sample string, contig string, start long, end long")
+    states = private_sites.assembly_states(variants, coverage, ("t1", "t2", "o"))
+    assert sorted((r["pos"], r["sample"], r["state"]) for r in states.collect()) == [(5, "o", "A"), (5, "t1", "T"), (5, "t2", "A"), (9, "o", "-"), (9, "t1", "G")]
+    assert [(r["pos"], r["strictness"]) for r in private_sites.judged(private_sites.from_states(states, ("t1", "t2")), 2).collect()] == [(9, "target_partial")]
 
 
 def test_focus(spark, folder):
