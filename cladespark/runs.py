@@ -26,7 +26,8 @@ def _now() -> str:
 
 
 def _qc_table(spark: SparkSession, counters: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame([(k, str(v), k.replace("_", " ")) for k, v in counters.items()], "metric string, value string, description string")
+    known = dict(scans.QC_METRICS)
+    return spark.createDataFrame([(k, str(v), known.get(k, f"alleles classified as {k.removeprefix('strictness_')}")) for k, v in counters.items()], "metric string, value string, description string")
 
 
 def scan_vcf(spark: SparkSession, path: str, cohort: Cohort, outdir: str, region: str | None = None, merge_distance: int = 0, same_type: bool = False, **options) -> DataFrame:
@@ -48,7 +49,7 @@ def scan_vcf(spark: SparkSession, path: str, cohort: Cohort, outdir: str, region
     write_tsv(support.withColumns({"depth": na, "allele_fraction": na}).orderBy("rank", "k"), f"{outdir}/sample_support.tsv", tables.SAMPLE_SUPPORT)
     evidence = support.select("locus_id", F.lit("vcf").alias("source_type"), "sample_id", "evidence_class", F.lit("genotype").alias("metric_name"), F.col("genotype").alias("metric_value"), F.lit("").alias("details"), "k")
     write_tsv(evidence.orderBy("locus_id", "k"), f"{outdir}/evidence.tsv", tables.EVIDENCE)
-    counters = scans.qc(records, alleles, regions)
+    counters = scans.qc(records, alleles, samples, cohort, regions, **options)
     write_tsv(_qc_table(spark, counters), f"{outdir}/qc.tsv", tables.QC)
     write_json(f"{outdir}/run.json", {"command": "scan", "input": path, "targets": cohort.targets, "off_targets": cohort.off_targets, "started": began, "ended": _now(), "counters": counters})
     return hits

@@ -57,16 +57,26 @@ def scan_vcf(records: DataFrame, samples: list[str], contigs: list[str], cohort:
     return kernel.ranked(with_ids(hits.withColumn("_c", place), "PPX", F.col("_c").asc(), F.col("rec_ord").asc(), F.col("alt_i").asc()).drop("_c"))
 
 
-def qc(records: DataFrame, alleles: DataFrame, regions: DataFrame | None = None, **options) -> dict[str, int]:
-    """Counters of a scan, in one pass over records and one over alleles."""
-    passed = (F.size("filters") == 0) | F.array_contains("filters", "PASS")
-    r = records.agg(F.count("*").alias("n"), F.count_if(~passed).alias("f")).first()
+#: Metrics of a scan in output order, with what they mean (fixed names).
+QC_METRICS = (
+    ("records_evaluated", "records read"), ("records_skipped_filter", "records that failed FILTER"), ("records_skipped_qual", "records below the QUAL threshold"), ("records_skipped_multiallelic", "records left out as multiallelic"),
+    ("alleles_evaluated", "alleles classified"), ("alleles_passed", "alleles that passed"), ("alleles_contradicted", "alleles contradicted by off-targets"), ("loci_emitted", "rows of hits"), ("regions_emitted", "rows of regions"),
+    ("n_target_samples", "target samples found"), ("n_offtarget_samples", "off-target samples found"), ("n_contigs_scanned", "contigs read"),
+)
+
+
+def qc(records: DataFrame, alleles: DataFrame, samples: list[str], cohort: Cohort, regions: DataFrame | None = None, pass_only: bool = True, min_qual: float | None = None, allow_multiallelic: bool = True, **_) -> dict[str, int]:
+    """Counters of a scan: one pass over the records and one over the classified alleles. Rules apply in order; the first that fails counts."""
+    passed = (F.size("filters") == 0) | F.array_contains("filters", "PASS") | F.lit(not pass_only)
+    good = F.lit(True) if min_qual is None else F.col("qual").isNull() | (F.col("qual") >= min_qual)
+    single = F.lit(allow_multiallelic) | (F.coalesce(F.size("alts"), F.lit(0)) <= 1)
+    r = records.agg(F.count("*").alias("n"), F.count_if(~passed).alias("f"), F.count_if(passed & ~good).alias("q"), F.count_if(passed & good & ~single).alias("m"), F.count_distinct("contig").alias("c")).first()
     counts = alleles.groupBy("strictness_class", "pattern_pass").agg(F.count("*").alias("n")).collect()
     total = lambda test: sum(x["n"] for x in counts if test(x))
-    out = {"records_seen": r["n"], "records_skipped_filter": r["f"], "alleles_evaluated": total(lambda x: True), "alleles_passed": total(lambda x: x["pattern_pass"]), "alleles_contradicted": total(lambda x: x["strictness_class"] == "contradicted"), "alleles_relaxed": total(lambda x: x["strictness_class"] == "relaxed_threshold" and not x["pattern_pass"])}
-    if regions is not None:
-        out["regions"] = regions.count()
-    return out | {f"strictness_{k}": total(lambda x, k=k: x["pattern_pass"] and x["strictness_class"] == k) for k in sorted({x["strictness_class"] for x in counts if x["pattern_pass"]})}
+    hits = total(lambda x: x["pattern_pass"])
+    values = (r["n"], r["f"], r["q"], r["m"], total(lambda x: True), hits, total(lambda x: x["strictness_class"] == "contradicted"), hits, regions.count() if regions is not None else 0, len(set(samples) & set(cohort.targets)), len(set(samples) & set(cohort.off_targets)), r["c"])
+    classes = sorted({x["strictness_class"] for x in counts})
+    return dict(zip((name for name, _ in QC_METRICS), values)) | {f"strictness_{k}": total(lambda x, k=k: x["strictness_class"] == k) for k in classes}
 
 
 def regions_of(hits: DataFrame, distance: int = 0, same_type: bool = False, prefix: str = "REGION") -> DataFrame:
