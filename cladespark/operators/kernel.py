@@ -60,7 +60,7 @@ def _share(n: str, called: Column) -> Column:
     return F.when(called > 0, F.col(n) / called)
 
 
-def target_support(df_prefix: str = "") -> Column:
+def target_support() -> Column:
     return _share("target_support_n", F.col("target_total_n") - F.col("target_missing_n"))
 
 

@@ -354,3 +354,16 @@ def test_cli(spark, folder):
     assert main(["scan", "--outdir", out, *base], spark) == 2
     assert main(["scan", "--vcf", str(folder / "small.vcf"), "--outdir", out, "--targets", "T1", "--off-targets", "T1"], spark) == 2
     assert main(["index", "--gfa", str(folder / "small.gfa")], spark) == 0 and os.path.isdir(f"{folder}/small.gfa.index")
+
+
+def test_stream_equals_batch(spark, folder):
+    from cladespark.streaming.alleles import append_hits, classified
+
+    path = str(folder / "small.vcf")
+    samples, _ = vcf.header(spark, path)
+    batch = vcf.read_vcf(spark, path)
+    batch.repartition(3).write.parquet(str(folder / "stream_in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(folder / "stream_in"))
+    append_hits(classified(stream, samples, COHORT), str(folder / "stream_out"), str(folder / "stream_state")).awaitTermination()
+    got = sorted((r["pos"], r["alt"], r["final_score"]) for r in spark.read.parquet(str(folder / "stream_out")).collect())
+    assert got == sorted((r["pos"], r["alt"], r["final_score"]) for r in scan.vcf_alleles(batch, samples, COHORT).filter("pattern_pass").collect()) and len(got) == 7
