@@ -18,6 +18,7 @@ table; columns other than id and text are ignored.
 from __future__ import annotations
 
 import json
+import threading
 import unicodedata
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ NONE = 1 << 62
 #: Children of a node of the segment tree; the pairs of most words fit below one root.
 FAN = 16
 #: Cached chunks and words in each worker; a full cache is emptied, results don't depend on it.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -169,6 +170,29 @@ class SegmentTreeBpe:
 
 
 _MODELS: dict[str, SegmentTreeBpe] = {}
+#: Seconds after a task until a worker without another one gives its caches' memory back.
+IDLE = 2.0
+_timer: threading.Timer | None = None
+
+
+def _in_use() -> None:
+    if _timer is not None:
+        _timer.cancel()
+
+
+def _release_when_idle() -> None:
+    """Workers outlive their tasks; what they cached must not add to the memory of later stages."""
+    global _timer
+
+    def clear() -> None:
+        for model in _MODELS.values():
+            model.words.clear()
+            model.chunks.clear()
+
+    _in_use()
+    _timer = threading.Timer(IDLE, clear)
+    _timer.daemon = True
+    _timer.start()
 
 
 def model_for(path: str) -> SegmentTreeBpe:
@@ -189,13 +213,17 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     """(id, ids array<int>), with ``decoded`` string if ``round_trip``. No shuffle: each row is encoded where it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _in_use()
         bpe = model_for(vocab_path)
-        for batch in sliced(batches):
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), _lists(ids)]
-            if round_trip:
-                columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
+        try:
+            for batch in sliced(batches):
+                ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+                columns = [batch.column(0), _lists(ids)]
+                if round_trip:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
+        finally:
+            _release_when_idle()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
