@@ -105,12 +105,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pd.Series([hasher(t).astype(np.int32) for t in text])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    got = rows.join(F.broadcast(bounded), "_id").select("_id", "_y", buckets("_t").alias("x")).toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
-    y = got["_y"].to_numpy(float)
+    # one flat array of buckets: rows of Python objects would take many times the memory on the driver
+    got = rows.join(F.broadcast(bounded), "_id").select(F.xxhash64("_id").alias("h"), "_y", buckets("_t").alias("x")).toArrow().combine_chunks()
+    h, y = got["h"].to_numpy(), got["_y"].to_numpy().astype(float)
+    order = np.unique(h, return_index=True)[1]  # one row per id, in an order that doesn't depend on the tasks
+    y = y[order]
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {"i": np.zeros(0, np.int64), "w": np.zeros(0, np.float32), "bias": 35.0 if share else -35.0}
-    x = [np.asarray(v, np.int64) for v in got["x"]]
+    lists = got["x"].chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    x = [flat[ends[k] : ends[k + 1]] for k in order]
     model = Ftrl(2**BITS)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
