@@ -158,8 +158,9 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, states: i
             continue
         # at most ``states`` contexts and their suffixes
         listed = F.broadcast(spark.createDataFrame(wanted, "ctx long"))
-        for row in level[k].withColumn("ctx", context()).join(listed, "ctx").select("ctx", "key", "c").collect():
-            counts.setdefault((k, row["ctx"]), []).append((row["key"] & 255, row["c"]))
+        got = level[k].withColumn("ctx", context()).join(listed, "ctx").select("ctx", (F.col("key").bitwiseAND(255)).alias("symbol"), "c").toArrow()
+        for ctx, symbol, c in zip(*(got[name].to_pylist() for name in got.column_names)):
+            counts.setdefault((k, ctx), []).append((symbol, c))
     return automaton(counts, nodes, depth)
 
 
@@ -240,6 +241,14 @@ def log10_probability(model: dict, texts: list[list[bytes]]) -> np.ndarray:
     return total
 
 
+def _lookup(model) -> dict[bytes, float]:
+    """The broadcast words as a dictionary, made once in each worker."""
+    value = model.value
+    if "lookup" not in value:  # kept beside the value, so it goes when the broadcast does
+        value["lookup"] = dict(zip(value["words"].to_pylist(), value["x"].tolist()))
+    return value["lookup"]
+
+
 def score(docs: DataFrame, training: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, **options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for all ``docs``, learned from ``training``."""
     spark = docs.sparkSession
@@ -250,11 +259,13 @@ def score(docs: DataFrame, training: DataFrame, held_out, id_col: str = "doc_id"
     norm = math.log10(n + 0.5 * (v + 1))
     cut = _cutoff(vocab, "c", frequent)
     near = (F.col("c") >= cut) & (F.length("word") <= 48)
-    table = {bytes(r["word"]): r["c"] for r in vocab.filter(near).collect()}
-    model = spark.sparkContext.broadcast({"tree": train(training, text_col, **options), "words": {w: math.log10(c + 0.5) - norm for w, c in table.items()}})
+    tree = train(training, text_col, **options)
+    table = vocab.filter(near).select("word", (F.log10(F.col("c") + 0.5) - norm).alias("x")).toArrow()  # columns take far less than rows
+    model = spark.sparkContext.broadcast({"tree": tree, "words": table["word"].combine_chunks(), "x": table["x"].to_numpy()})
+    del table, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words = model.value["tree"], model.value["words"]
+        tree, words = model.value["tree"], _lookup(model)
         row_id = TaskContext.get().partitionId() << 33
         for batch in sliced(batches, rows=1024, megabytes=3):
             lists = [tokens(t) for t in batch.column(2).to_pylist()]
