@@ -8,10 +8,10 @@ sequences and a word never met still gets one. A node is a context of up to
 training corpus; a context is kept when its next-byte distribution diverges
 from that of its parent (the context without its oldest byte) by more than a
 penalty for its parameters, and distributions are smoothed towards the parent's
-(Witten-Bell). ``STATES`` is the capacity of the tree: if more contexts pass
-the test, those with the largest divergence are kept. Scoring uses the longest
-kept suffix at each byte: kept contexts become an automaton whose tables go to
-the executors, and all texts of a batch run through it in step.
+(Witten-Bell). Every context that passes the test is kept, with its suffixes.
+Scoring uses the longest kept suffix at each byte: kept contexts and the bytes
+after them go to the executors as sorted arrays, about 12 bytes for each, and
+each distinct gram of a batch is looked up once.
 
 The unigram base that the contract asks for needs exact counts of every token.
 The most frequent words (at most ``FREQUENT``) are looked up where the text is
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from cladespark.llm.common import crc_mod, sliced, written
 
-#: Bytes of the longest context, kept contexts at most, words looked up in place at most.
-DEPTH, STATES, FREQUENT = 6, 12_000, 200_000
+#: Bytes of the longest context, words looked up in place at most.
+DEPTH, FREQUENT = 6, 200_000
 #: Least count of a context, and the penalty (in nats) for each symbol that follows it.
 LEAST, PENALTY = 30, 4.0
 #: Symbols that no token holds: the end and what stands before the start.
 END, PAD = 9, 10
-#: Texts are cut into pieces of so many bytes, with DEPTH bytes before them to find the state.
-PIECE = 256
+#: Texts are scored in pieces of so many bytes, with DEPTH bytes before them as their context.
+PIECE = 1 << 20
 END_WORD = b"\n"
 
 
@@ -121,8 +121,8 @@ def _cutoff(df: DataFrame, column: str, most: int) -> float:
     return 0.0
 
 
-def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, states: int = STATES) -> dict:
-    """The automaton's tables from all rows of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
+    """The tree from all rows of ``docs``."""
     texts = docs.select(F.col(text_col).alias("text"))
     level: dict[int, DataFrame] = {depth: written(texts.mapInArrow(_grams(depth), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), f"grams{depth}")}
     for k in range(depth - 1, -1, -1):
@@ -143,101 +143,91 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, states: i
         rows = rows.join(up, "up_key").join(up_total, "up_ctx")
         gain = F.sum(F.col("c") * F.log((F.col("c") / F.col("n")) / (F.col("up_c") / F.col("up_n"))))
         kept = rows.groupBy("ctx").agg(gain.alias("gain"), F.first("t").alias("t")).filter(F.col("gain") > PENALTY * F.col("t"))
-        kept = kept.select(F.lit(k).alias("k"), "ctx", "gain")
+        kept = kept.select(F.lit(k).alias("k"), "ctx")
         found = kept if found is None else found.unionByName(kept)
     found = written(found, "contexts")
-    chosen = found.filter(F.col("gain") >= _cutoff(found, "gain", states)).select("k", "ctx").collect()
-    nodes = {(0, 0)}
-    for row in chosen:  # a tree: with a context go all its suffixes
-        nodes |= {(k, row["ctx"] & (2 ** (8 * k) - 1)) for k in range(1, row["k"] + 1)}
-    spark = docs.sparkSession
-    counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    nodes: dict[int, DataFrame] = {}
+    for k in range(depth, 0, -1):  # a tree: with a context go all its suffixes
+        own = found.filter(F.col("k") == k).select("ctx")
+        nodes[k] = written((own.unionByName(nodes[k + 1].select(F.col("ctx").bitwiseAND(2 ** (8 * k) - 1).alias("ctx"))) if k < depth else own).distinct(), f"nodes{k}")
+    tree = Tree(depth=depth, levels=[])
+    up_keys, up_p = np.zeros(0, np.int64), np.zeros(0)
     for k in range(depth + 1):
-        wanted = [(c,) for j, c in nodes if j == k]
-        if not wanted:
-            continue
-        # at most ``states`` contexts and their suffixes
-        listed = F.broadcast(spark.createDataFrame(wanted, "ctx long"))
-        got = level[k].withColumn("ctx", context()).join(listed, "ctx").select("ctx", (F.col("key").bitwiseAND(255)).alias("symbol"), "c").toArrow()
-        for ctx, symbol, c in zip(*(got[name].to_pylist() for name in got.column_names)):
-            counts.setdefault((k, ctx), []).append((symbol, c))
-    return automaton(counts, nodes, depth)
-
-
-def automaton(counts: dict[tuple[int, int], list[tuple[int, int]]], nodes: set[tuple[int, int]], depth: int) -> dict:
-    """Tables of the automaton whose state is the longest prefix of a kept context that ends here."""
-    root = dict(counts.get((0, 0), []))
-    seen = sorted(root)
-    classes = np.zeros(256, np.int32)  # class 0: bytes not seen in training
-    for i, symbol in enumerate([*seen, PAD], 1):
-        classes[symbol] = i
-    n_classes = len(seen) + 2
-    unseen = 256 - len(seen)
-    uniform = np.full(n_classes, 1 / 256)
-    uniform[0] = unseen / 256
-
-    dist: dict[bytes, np.ndarray] = {}
-    for k, ctx in sorted(nodes):
-        name = ctx.to_bytes(k, "big") if k else b""
-        parent = dist[name[1:]] if k else uniform
-        c = np.zeros(n_classes)
-        for symbol, n in counts.get((k, ctx), []):
-            c[classes[symbol]] += n
-        kinds = np.count_nonzero(c) or 1
-        dist[name] = (c + kinds * parent) / (c.sum() + kinds)
-
-    names = sorted({name[:i] for name in dist for i in range(len(name) + 1)}, key=lambda x: (len(x), x))
-    number = {name: i for i, name in enumerate(names)}
-    step = np.zeros((len(names), n_classes), np.int32)
-    logp = np.zeros((len(names), n_classes), np.float32)
-    fail: list[int] = [0] * len(names)
-    for name, i in number.items():  # shorter names first: a state starts as a copy of its longest proper suffix
-        if name:
-            last = int(classes[name[-1]])
-            fail[i] = 0 if len(name) == 1 else int(step[fail[number[name[:-1]]], last])
-            step[i] = step[fail[i]]
-        for symbol in (*seen, PAD):
-            child = number.get(name + bytes([symbol]))
-            if child is not None:
-                step[i, classes[symbol]] = child
-        if name in dist:
-            p = dist[name].copy()
-            p[0] /= max(1, unseen)
-            logp[i] = np.log10(p)
-        else:
-            logp[i] = logp[fail[i]]
-    return {"classes": classes, "step": step, "logp": logp, "depth": depth}
+        rows = level[k].join(nodes[k], context() == F.col("ctx")) if k else level[k]
+        got = rows.select("key", "c").toArrow()
+        keys, c = got["key"].to_numpy(), got["c"].to_numpy()
+        order = np.argsort(keys)
+        keys, c = keys[order], c[order]
+        ctx, start, kinds = np.unique(keys >> 8, return_index=True, return_counts=True)
+        n = np.add.reduceat(c, start) if len(c) else c
+        parent = up_p[np.searchsorted(up_keys, keys & (2 ** (8 * k) - 1))] if k else np.full(len(keys), 1 / 256)
+        p = (c + np.repeat(kinds, kinds) * parent) / np.repeat(n + kinds, kinds)
+        back, grams = backwards(ctx, k), backwards(keys >> 8, k) << 8 | keys & 255
+        at, gram_at = np.argsort(back), np.argsort(grams)
+        tree["levels"].append((back[at], np.log10(kinds / (n + kinds)).astype(np.float32)[at], grams[gram_at], np.log10(p).astype(np.float32)[gram_at]))
+        up_keys, up_p = keys, p
+    seen = np.zeros(256, bool)
+    seen[tree["levels"][0][2]] = True
+    tree["classes"] = np.where(seen, np.cumsum(seen), 0).astype(np.int32)  # class 0: bytes not seen in training
+    tree["classes"][PAD] = seen.sum() + 1
+    return tree
+
+
+def backwards(ctx: np.ndarray, k: int) -> np.ndarray:
+    """Contexts of k bytes with the newest byte first: in that order all lengths of sorted contexts are sorted."""
+    return (ctx << (8 * (8 - k))).byteswap() if k else ctx
+
+
+class Tree(dict):
+    """The kept contexts as sorted arrays, for each length: contexts (newest byte first), log10 weight of the parent's
+    distribution, grams (a context and the byte after it), their log10 probability. ``logp``, every context's probabilities of every class of
+    bytes, is made only where someone asks for it."""
+
+    def __missing__(self, name: str) -> np.ndarray:
+        if name != "logp":
+            raise KeyError(name)
+        classes = self["classes"]
+        symbols = np.array([np.argmax(classes == i) for i in range(classes.max() + 1)], np.int64)
+        return np.concatenate([gram_probability(self, ((ctx << (8 * (self["depth"] - k + 1)))[:, None] | symbols).ravel(), k).reshape(-1, len(symbols)) for k, (ctx, *_) in enumerate(self["levels"])])
+
+
+def gram_probability(model: dict, keys: np.ndarray, longest: int) -> np.ndarray:
+    """log10 probability of the last byte of each key after the longest kept context that its other bytes, newest first, begin with."""
+    out, rest = np.full(len(keys), -np.log10(256)), np.arange(len(keys))
+    for k, (ctx, back, grams, logp) in enumerate(model["levels"][: longest + 1]):
+        if not len(ctx) or not len(rest):
+            break
+        own = keys[rest] >> (8 * (model["depth"] - k + 1))
+        at = np.searchsorted(ctx, own).clip(max=len(ctx) - 1)
+        kept = ctx[at] == own
+        rest, at = rest[kept], at[kept]  # a context is kept only if its suffixes are
+        own = own[kept] << 8 | keys[rest] & 255
+        gram = np.searchsorted(grams, own).clip(max=len(grams) - 1)
+        out[rest] = np.where(grams[gram] == own, logp[gram], out[rest] + back[at])
+    return out
 
 
 def log10_probability(model: dict, texts: list[list[bytes]]) -> np.ndarray:
-    """log10 probability of each token list; all pieces of all texts advance together, one byte at a time."""
-    depth, step, logp = model["depth"], model["step"], model["logp"]
-    pad, fill = bytes([PAD]) * depth, step.shape[1]
-    wide = fill + 1  # one more class, for what lies beyond a text's end: no cost
-    flat_step = np.hstack([step, np.zeros((len(step), 1), np.int32)]).ravel() if "flat_step" not in model else model["flat_step"]
-    flat_logp = np.hstack([logp, np.zeros((len(logp), 1), np.float32)]).ravel() if "flat_logp" not in model else model["flat_logp"]
-    model["flat_step"], model["flat_logp"] = flat_step, flat_logp
-    pieces, owner = [], []
-    for i, words in enumerate(texts):
-        codes = model["classes"][np.frombuffer(pad + b" ".join(words) + bytes([END]), np.uint8)]
-        n = len(codes) - depth
-        n_pieces = -(-n // PIECE)
-        full = np.full(n_pieces * PIECE + depth, fill, np.int32)
-        full[: len(codes)] = codes
-        pieces.append(np.lib.stride_tricks.sliding_window_view(full, PIECE + depth)[::PIECE])
-        owner += [i] * n_pieces
-    total = np.zeros(len(texts))
-    if not pieces:
-        return total
-    matrix = np.ascontiguousarray(np.concatenate(pieces).T)
-    state = np.zeros(matrix.shape[1], np.int32)
-    sums = np.zeros(matrix.shape[1])
-    for t, column in enumerate(matrix):
-        at = state * wide + column
-        if t >= depth:
-            sums += flat_logp.take(at)
-        state = flat_step.take(at)
-    np.add.at(total, owner, sums)
+    """log10 probability of each token list; each distinct gram of a piece is looked up once."""
+    depth = model["depth"]
+    pad = bytes([PAD]) * depth
+    spelled = [pad + b" ".join(words) + bytes([END]) for words in texts]
+    owner = np.repeat(np.arange(len(spelled), dtype=np.int32), [len(x) for x in spelled])
+    data = np.frombuffer(b"".join(spelled), np.uint8)
+    total = np.zeros(len(spelled))
+    for start in range(0, len(data) - depth, PIECE):
+        piece = data[start : start + PIECE + depth]
+        key = np.zeros(len(piece) - depth, np.int64)
+        for i in range(depth + 1):
+            key = (key << 8) | piece[i : len(piece) - depth + i]
+        own = piece[depth:] != PAD
+        coded = pa.array(key[own]).dictionary_encode()
+        keys = coded.dictionary.to_numpy()
+        keys = backwards(keys >> 8, depth) << 8 | keys & 255
+        order = np.argsort(keys)  # sorted keys are found several times faster
+        value = np.empty(len(keys))
+        value[order] = gram_probability(model, keys[order], depth)
+        total += np.bincount(owner[start + depth : start + len(piece)][own], value[coded.indices.to_numpy()], len(spelled))
     return total
 
 

@@ -227,6 +227,33 @@ def test_lm_base_and_probability(spark):
     assert score_corpus(df.limit(0)).count() == 0
 
 
+def test_lm_keeps_every_context_that_passes(spark):
+    from cladespark.llm.suffix_tree_lm import DEPTH, END, LEAST, PAD, PENALTY, backwards, tokens, train
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8000)] * 40
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    data = np.frombuffer(b"".join(bytes([PAD]) * DEPTH + b" ".join(tokens(t)) + bytes([END]) for t in texts), np.uint8).astype(np.int64)
+    grams, want = {}, {k: set() for k in range(1, DEPTH + 1)}
+    for k in range(DEPTH + 1):
+        key = sum(data[DEPTH - k + i : len(data) - k + i] << (8 * (k - i)) for i in range(k + 1))
+        grams[k] = np.unique(key[data[DEPTH:] != PAD], return_counts=True)
+    for k in range(1, DEPTH + 1):
+        (keys, c), (up_keys, up_c) = grams[k], grams[k - 1]
+        ctx, at, t = np.unique(keys >> 8, return_inverse=True, return_counts=True)
+        n = np.bincount(at, c)
+        up = np.searchsorted(up_keys, keys & (2 ** (8 * k) - 1))
+        up_at = np.unique(up_keys >> 8, return_inverse=True)[1]
+        gain = np.bincount(at, c * np.log(c / n[at] / (up_c / np.bincount(up_at, up_c)[up_at])[up]))
+        for x in ctx[(n >= LEAST) & (gain > PENALTY * t)].tolist():
+            for j in range(1, k + 1):
+                want[j].add(x & (2 ** (8 * j) - 1))
+    model = train(docs_of(spark, texts))
+    assert [set(ctx.tolist()) for ctx, *_ in model["levels"][1:]] == [set(backwards(np.array(sorted(x), np.int64), k).tolist()) for k, x in want.items()]
+    assert sum(map(len, want.values())) > 12_000
+
+
 # -- embeddings ----------------------------------------------------------------
 
 
