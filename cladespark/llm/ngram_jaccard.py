@@ -248,11 +248,12 @@ def _verify(threshold: float):
 
 
 def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc, row, class_id, n_links, group_id).
+    """One row per document: (doc, row, class_id, n_links, group_id, component).
 
     ``class_id`` is the least id with the same shingle set, ``n_links`` the
     number of other documents at or above the threshold (copies included) and
-    ``group_id`` the least id reachable by links.
+    ``group_id`` the least id reachable by links. ``component`` tells groups apart
+    whose least ids are equal (null, or repeated with other texts).
     """
     depth = forest_depth(threshold, recall)
     sig = written(signatures(docs, id_col, text_col), "signatures")
@@ -270,14 +271,14 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     named = classes.select("s1", "s2", "rep", "rep_doc", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("rep_doc").alias("group_doc"))
-    named = named.join(least, "component").select("s1", "s2", "rep_doc", "group_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sig.select("doc", "row", "s1", "s2").join(named, ["s1", "s2"]).select("doc", "row", real_id("rep_doc").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), real_id("group_doc").alias("group_id"))
+    named = named.join(least, "component").select("s1", "s2", "rep_doc", "group_doc", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sig.select("doc", "row", "s1", "s2").join(named, ["s1", "s2"]).select("doc", "row", real_id("rep_doc").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), real_id("group_doc").alias("group_id"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id (of rows that repeat it, the least text hash, once)."""
     groups = ngram_jaccard(docs, id_col=id_col, text_col=text_col, **options)
-    heads = groups.groupBy(F.coalesce("group_id", doc_key("group_id")).alias("g")).agg(F.min(F.struct("doc", "row")).alias("head")).select(F.col("head.doc").alias("_h_doc"), F.col("head.row").alias("_h_row"))
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc", "row")).alias("head")).select(F.col("head.doc").alias("_h_doc"), F.col("head.row").alias("_h_row"))
     rows = docs.withColumns({"_d_doc": doc_key(id_col), "_d_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     kept = rows.join(heads.hint("shuffle_hash"), (F.col("_d_doc") == F.col("_h_doc")) & (F.col("_d_row") == F.col("_h_row")), "left_semi")
     # rows equal in id and text are copies too, and only they meet here

@@ -158,6 +158,17 @@ def test_keep_one(spark, corpus):
     assert keep_one(rows.limit(0)).count() == 0
 
 
+def test_keep_one_of_null_and_repeated_ids(spark, corpus):
+    from cladespark.llm.ngram_jaccard import keep_one
+
+    a, b, c, d, e = corpus[:5]
+    near = " ".join(e.split()[:-1] + ["other"])
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (8, c), (None, e), (9, near), (10, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (7, d), (None, e), (None, "")], key=str)
+
+
 def test_forest_depth_meets_the_recall():
     from cladespark.llm.ngram_jaccard import forest_depth
 
