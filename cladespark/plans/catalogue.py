@@ -280,6 +280,29 @@ def annotate_nearest(spark, sf):
     return ann.nearest_gene(loci_, genes, reach=100_000, width=65_536).select("locus_id", "gene_id", "distance")
 
 
+def _annotated_all(spark, sf):
+    """Every event: those of side 0 are the loci, those of side 1 the genes and their parts."""
+    a, b = sides(spark, sf)
+    genes = b.select(F.col("locus_id").alias("gene_id"), "contig", "start", (F.col("end") + 300).alias("end"), F.lit("+").alias("strand"), "ord")
+    return a, genes, b.select("contig", "start", "end", F.expr("case ord % 3 when 0 then 'CDS' when 1 then 'three_prime_UTR' else 'exon' end").alias("type"))
+
+
+@query()
+def annotate_hierarchy_all(spark, sf):
+    return ann.annotate(*_annotated_all(spark, sf)).select("locus_id", "gene_id", "annotation_class")
+
+
+@query()
+def annotation_summary_all(spark, sf):
+    return ann.annotation_summary(ann.annotate(*_annotated_all(spark, sf))).select("annotation_class", "n_loci")
+
+
+@query()
+def annotate_nearest_all(spark, sf):
+    loci_, genes, _ = _annotated_all(spark, sf)
+    return ann.nearest_gene(loci_, genes, reach=100_000, width=65_536).select("locus_id", "gene_id", "distance")
+
+
 @query("hits", """SELECT contig || chr(9) || start || chr(9) || "end" || chr(9) || 'K' || locus_key || chr(9) || CAST(round(least(greatest(final_score * 1000, 0), 1000)) AS BIGINT) || chr(9) || '.' AS line FROM hits""")
 def export_bed(spark, sf):
     from cladespark.sinks import bed_line
@@ -483,4 +506,13 @@ def candidate_rank(spark, sf):
     return candidate_features(ann.feature_counts(genes, sites), 50).select("rank", "gene_id", "rank_score")
 
 
+@query()
+def candidate_rank_all(spark, sf):
+    from cladespark.operators.summaries import candidate_features
+
+    sites, genes, _ = _annotated_all(spark, sf)
+    sites = sites.withColumn("display_type", F.expr("case ord % 3 when 0 then 'SNP' when 1 then 'INDEL' else 'SV-like' end"))
+    return candidate_features(ann.feature_counts(genes, sites), 50).select("rank", "gene_id", "rank_score")
+
+
 __all__ = ["ORACLES", "QUERIES", "best", "range_join"]

@@ -322,6 +322,34 @@ def test_focus(spark, folder):
     assert {("intron", 111, 190), ("intron", 211, 290), ("promoter", 11, 50), ("cds", 91, 110), ("gene", 51, 350)} <= parts
 
 
+def test_every_event_is_annotated(spark):
+    from collections import Counter
+
+    from cladespark.plans.catalogue import QUERIES
+    from cladespark.plans.driver_tables import events
+
+    sf = "/root/testdata/sf0.001"
+    got = {name: QUERIES[f"{name}_all"](spark, sf).collect() for name in ("annotate_hierarchy", "annotation_summary", "annotate_nearest", "candidate_rank")}
+    rows = events(spark, sf).collect()
+    loci, others = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    classes, nearest, burden = {}, {}, Counter()
+    meets = lambda a, b, more: a["contig"] == b["contig"] and a["start"] < b["end"] + more and b["start"] < a["end"]
+    for a in loci:
+        genes = [b for b in others if meets(a, b, 300)]
+        kinds = {b["ord"] % 3 for b in others if meets(a, b, 0)}
+        name = "intergenic" if not genes else "CDS" if 0 in kinds else "UTR" if 1 in kinds else "exon" if kinds else "intronic"
+        classes[a["locus_id"]] = (min(genes, key=lambda b: (b["start"], b["ord"]))["locus_id"] if genes else None, name)
+        for b in genes:
+            burden[b["start"], b["locus_id"]] += (1, 2, 4)[a["ord"] % 3]
+        near = [(max(0, b["start"] - (a["end"] - 1), a["start"] - (b["end"] + 299)), b["start"], b["end"], b["locus_id"]) for b in others if b["contig"] == a["contig"]]
+        nearest[a["locus_id"]] = min((x for x in near if x[0] <= 100_000), default=(None, 0, 0, None))
+    assert {r["locus_id"]: (r["gene_id"], r["annotation_class"]) for r in got["annotate_hierarchy"]} == classes and len(got["annotate_hierarchy"]) == len(loci)
+    assert {r["annotation_class"]: r["n_loci"] for r in got["annotation_summary"] if r["n_loci"]} == Counter(name for _, name in classes.values())
+    assert {r["locus_id"]: (r["distance"], r["gene_id"]) for r in got["annotate_nearest"]} == {i: (x[0], x[3]) for i, x in nearest.items()}
+    best = sorted(burden.items(), key=lambda x: (-x[1], x[0]))[:50]
+    assert [(r["rank"], r["gene_id"], r["rank_score"]) for r in sorted(got["candidate_rank"], key=lambda r: r["rank"])] == [(i, k[1], n) for i, (k, n) in enumerate(best, 1)]
+
+
 def test_queries_need_no_session_to_be_listed():
     import __spark_entry__
 
