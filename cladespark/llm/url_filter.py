@@ -1,7 +1,8 @@
 """URL filters as a temporal list join.
 
 A block list is a log of dated entries (a pattern is added or removed). Each
-addition becomes a validity interval that ends at the pattern's next entry, and
+addition becomes a validity interval that ends at the next entry of the pattern
+in its category, and
 an as-of join evaluates every capture against the intervals that hold at its
 fetch time. A pattern is a domain, which covers its subdomains, or a domain
 with a path, which covers what lies below that path. A capture asks for all its
@@ -15,8 +16,9 @@ matching captures are aggregated.
 
 Defined cases: hosts compare in lower case without user, port and trailing dot;
 null or hostless URLs and null fetch times match nothing; entries with a null
-pattern, date or action are ignored; of entries for one pattern at the same
-time a removal wins and repeats count once; repeated captures give repeated
+pattern, date or action are ignored; a null category is one of its own; of
+entries for one pattern and category at the same time a removal wins and repeats
+count once; repeated captures give repeated
 rows; an empty list blocks nothing; further columns are ignored.
 """
 
@@ -55,8 +57,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     rows = entries.select(F.regexp_replace(F.lower("pattern"), "/+$", "").alias("pattern"), F.col("listed_at").cast("timestamp").alias("at"), "action", "category")
     rows = rows.filter("pattern is not null and at is not null and action in ('add', 'remove')").distinct()
-    later = Window.partitionBy("pattern").orderBy(F.unix_micros("at")).rangeBetween(1, Window.unboundedFollowing)
-    removed = F.max((F.col("action") == "remove").cast("int")).over(Window.partitionBy("pattern", "at"))
+    later = Window.partitionBy("pattern", "category").orderBy(F.unix_micros("at")).rangeBetween(1, Window.unboundedFollowing)
+    removed = F.max((F.col("action") == "remove").cast("int")).over(Window.partitionBy("pattern", "category", "at"))
     rows = rows.withColumns({"valid_to": F.min("at").over(later), "gone": removed})
     return rows.filter("action = 'add' and gone = 0").select("pattern", "category", F.col("at").alias("valid_from"), "valid_to")
 

@@ -200,6 +200,17 @@ def test_url_filter(spark):
     assert url_filter(df.limit(0), entries).count() == 0
 
 
+def test_url_filter_keeps_categories_apart(spark):
+    from cladespark.llm.url_filter import url_filter
+
+    log = [("two.com", "2024-01-01", "add", "a"), ("two.com", "2024-02-01", "add", "b"), ("two.com", "2024-03-01", "remove", "b"), ("two.com", "2024-04-01", "remove", "a"), ("same.com", "2024-01-01", "add", "a"), ("same.com", "2024-01-01", "remove", "b")]
+    entries = spark.createDataFrame(log, "pattern string, listed_at string, action string, category string")
+    cases = [("http://two.com/", "2024-01-15", 1, "a"), ("http://two.com/", "2024-02-15", 2, "a,b"), ("http://two.com/", "2024-03-15", 1, "a"), ("http://two.com/", "2024-04-15", 0, ""), ("http://same.com/", "2024-01-15", 1, "a")]
+    df = spark.createDataFrame([(i, u, t) for i, (u, t, *_) in enumerate(cases)], "page_id long, url string, fetched_at string")
+    got = sorted((r["page_id"], r["n_entries"], r["categories"]) for r in url_filter(df, entries).collect())
+    assert got == [(i, n, c) for i, (_, _, n, c) in enumerate(cases)]
+
+
 # -- LM scoring ----------------------------------------------------------------
 
 
