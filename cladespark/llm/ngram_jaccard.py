@@ -3,9 +3,10 @@
 Texts whose shingle sets are equal form one class, so copies cost one
 representative. Each class has, in each of ``trees`` trees, a path of MinHash
 values; the paths of a tree, range-partitioned and sorted, are its prefix trie
-laid out flat. Matched prefixes are shortened from the full path until the
+laid out flat. Prefixes are all cut at one depth, the longest at which the
 chance 1-(1-s^d)^trees that a pair at the threshold s shares a node of depth d
-reaches the target recall (0.999 gives depth 4 for 16 trees). A pass over the
+reaches the target recall (0.999 gives depth 4 for 16 trees); if none does, that
+is an error. A pass over the
 sorted paths drops every class that shares no such node with a neighbour, so
 only real candidates go further.
 
@@ -100,7 +101,7 @@ def forest_depth(threshold: float, recall: float, trees: int = TREES, levels: in
     for depth in range(levels, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
-    return 1
+    raise ValueError(f"{trees} trees miss recall {recall} at threshold {threshold} even at depth 1")
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -176,6 +176,14 @@ def test_forest_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
+def test_forest_depth_refuses_a_recall_it_misses():
+    from cladespark.llm.ngram_jaccard import forest_depth
+
+    with pytest.raises(ValueError, match="recall"):
+        forest_depth(0.3, 0.999)
+    assert forest_depth(0.36, 0.999) == 1
+
+
 # -- URL filters ---------------------------------------------------------------
 
 
