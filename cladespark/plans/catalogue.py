@@ -365,7 +365,7 @@ def growth_curve(spark, sf):
 @query()
 def growth_quantiles(spark, sf):
     """Means and quantiles over trials (the trials' shuffles aren't SQL)."""
-    return pangenome.growth_summary(pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 20, 42))
+    return pangenome.growth_summary(pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 100, 42))
 
 
 # -- landscape ------------------------------------------------------------------------

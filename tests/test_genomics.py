@@ -322,6 +322,15 @@ def test_focus(spark, folder):
     assert {("intron", 111, 190), ("intron", 211, 290), ("promoter", 11, 50), ("cds", 91, 110), ("gene", 51, 350)} <= parts
 
 
+def test_growth_quantiles_rest_on_100_trials(spark, monkeypatch):
+    from cladespark.plans import catalogue
+
+    seen, curves = [], catalogue.pangenome.growth_curves
+    monkeypatch.setattr(catalogue.pangenome, "growth_curves", lambda *a: seen.append(curves(*a)) or seen[-1])
+    assert catalogue.QUERIES["growth_quantiles"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen[0].select("trial").distinct().count() == 100
+
+
 def test_every_event_is_annotated(spark):
     from collections import Counter
 
