@@ -1,17 +1,24 @@
 """Embedding near-dedup by collision-counting projections.
 
-Unit vectors are projected on ``PROJECTIONS`` random lines. Two vectors collide
-on a line if the other lies in the window centred on the first; a pair at the
-threshold does so on a line with a known chance p, so the count that a pair
-must reach is the largest that keeps the target recall under a binomial law
-with p. Pairs that reach it are verified with the exact cosine.
-
-Pairs are met by sorting: a pair with the required count c of m collides on one
-of any m-c+1 lines, so vectors are dealt out and sorted by each of that many
-lines only, in strips as wide as the window, and a strip meets itself and the
-next. Strips with many vectors are cut into blocks, and each pair of blocks is
-a task of bounded size that returns one row per vector (links and local
-component), never one per pair. A pair is counted at its first colliding line.
+Unit vectors are projected on ``TABLES * LINES`` random lines, in two uses.
+
+Meeting: each line is cut into strips of ``STRIP``; the strips of ``LINES`` lines make a
+compound key, and there are ``TABLES`` of them. Two vectors meet if they share a key.
+On one line a pair at the threshold shares a strip with a known chance, so the
+chance to meet in some table is known too (``meeting_recall``). A vector has ``TABLES``
+keys whatever the number of vectors under its label.
+
+Counting: pairs that meet are sorted by one line, so that a window centred on a
+vector is a range, and collisions in windows of ``WINDOW`` are counted over
+``PROJECTIONS`` lines. A pair at the threshold collides on a line with chance p; the
+count that it must reach is the largest that keeps the target recall under a
+binomial law with p. Pairs that reach it are verified with the exact cosine.
+
+Equal vectors of a label are one class and count by their copies. Large buckets follow
+``near_groups``: links that the triangle inequality of the angle proves are counted from
+the distances to a leader; the others are compared in blocks, each pair of blocks a
+task of bounded size that returns one row per vector (links and local component), never
+one per pair. A pair is counted in the first table where it meets.
 
 Defined cases: vectors of different labels never meet; a null label, and a
 vector that is null, zero, or holds null or non-finite components links with
@@ -33,15 +40,20 @@ from pyspark.sql import functions as F
 
 from cladespark.llm.common import doc_key, real_id, written
 from cladespark.llm.components import connected_components
-from cladespark.llm.ngram_jaccard import local_components
+from cladespark.llm.near_groups import UNITS, centres, distinct_nodes, proved, proved_mask, tasks
 
-PROJECTIONS, WINDOW, BLOCK = 32, 1.2, 1024
+TABLES, LINES, STRIP = 56, 14, 2.2
+PROJECTIONS, WINDOW, BLOCK = 128, 0.35, 1024
+
+
+def _spread(threshold: float) -> float:
+    """Deviation of the difference of two unit vectors' projections at the threshold."""
+    return math.sqrt(max(2 - 2 * threshold, 1e-12))
 
 
 def required_count(threshold: float, recall: float, m: int = PROJECTIONS, window: float = WINDOW) -> int:
     """The largest collision count that a pair at the threshold reaches with the target recall."""
-    spread = math.sqrt(max(2 - 2 * threshold, 1e-12))
-    p = math.erf(window / spread / math.sqrt(2))
+    p = math.erf(window / _spread(threshold) / math.sqrt(2))
     missed = 0.0
     for count in range(m + 1):
         missed += math.comb(m, count) * p**count * (1 - p) ** (m - count)
@@ -50,78 +62,118 @@ def required_count(threshold: float, recall: float, m: int = PROJECTIONS, window
     return m
 
 
-def lines(dim: int, m: int = PROJECTIONS) -> np.ndarray:
+def meeting_recall(threshold: float, tables: int = TABLES, n_lines: int = LINES, strip: float = STRIP) -> float:
+    """Chance that a pair at the threshold shares a compound key of some table; strips start at a random place."""
+    far, width = np.linspace(0, strip, 20_001, retstep=True)
+    s = _spread(threshold)
+    same = float(((1 - far / strip) * np.exp(-((far / s) ** 2) / 2)).sum() * width * 2 / s / math.sqrt(2 * math.pi))
+    return 1 - (1 - min(same, 1.0) ** n_lines) ** tables
+
+
+def lines(dim: int, m: int = TABLES * LINES) -> np.ndarray:
     """m random directions whose components have unit variance, so projections of unit vectors do too."""
     return np.random.default_rng(1000 + dim).standard_normal((dim, m))
 
 
-def _projected(count: int, window: float):
-    n_lines = PROJECTIONS - count + 1
+def _units(vectors: list[np.ndarray]) -> np.ndarray:
+    x = np.stack(vectors).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, copies, v, keys) of (rep, copies, label, emb): the vector and its 64-bit compound keys, one for each table."""
+    drawn: dict[int, tuple] = {}
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            lists = part.column(3)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(ends)
+            blobs, keys = [b""] * part.num_rows, [b""] * part.num_rows
+            labels = part.column(2).to_numpy()
+            for dim in np.unique(sizes).tolist():
+                if dim not in drawn:
+                    shift = np.random.default_rng(2000 + dim).uniform(0, STRIP, TABLES * LINES)
+                    odd = np.random.default_rng(3000 + dim).integers(1, 2**63, (TABLES, LINES), dtype=np.uint64) | np.uint64(1)
+                    drawn[dim] = lines(dim), shift, odd
+                directions, shift, odd = drawn[dim]
+                at = np.flatnonzero(sizes == dim)
+                raw = [flat[ends[i] : ends[i + 1]] for i in at]
+                strips = np.floor((_units(raw) @ directions + shift) / STRIP).astype(np.int64).astype(np.uint64)
+                code = (strips.reshape(len(at), TABLES, LINES) * odd).sum(axis=2, dtype=np.uint64)
+                code ^= labels[at].astype(np.uint64)[:, None] ^ np.uint64(dim)
+                code = (code ^ (code >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                for i, v, k in zip(at.tolist(), raw, code):
+                    blobs[i], keys[i] = np.ascontiguousarray(v).tobytes(), k.astype(">u8").tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary()), pa.array(keys, pa.binary())], names=["rep", "copies", "v", "keys"])
+
+
+def _distances(threshold: float, kind: type):
+    """(rep, leader, near, copies) of (rep, leader, copies, v, keys, l_v, l_keys): the angle, in units of the threshold's."""
+    most = math.acos(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, vec, label, emb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if label is None or not emb or any(x is None for x in emb):
-                    continue
-                v = np.array(emb, np.float64)
-                norm = np.linalg.norm(v) if np.isfinite(v).all() else 0.0
-                if not np.isfinite(norm) or norm == 0:
+            near = []
+            for own, head in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+                a, b = np.frombuffer(own, kind), np.frombuffer(head, kind)
+                if len(a) != len(b):  # keys of vectors that don't compare met by chance
+                    near.append(UNITS + 1)
                     continue
-                at = (v / norm) @ lines(len(v))[:, :n_lines]
-                rows += [(label, len(v), g, int(math.floor(x / window)), key, vec, v.tobytes()) for g, x in enumerate(at)]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["label", "dim", "line", "strip", "key", "vec", "v"])
+                a, b = _units([a, b])
+                angle = math.acos(min(1.0, max(-1.0, float(a @ b)))) if own != head else 0.0
+                near.append(min(UNITS + 1, math.ceil(angle / most * UNITS + 1e-4)) if own != head else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), batch.column(2)], names=["rep", "leader", "near", "copies"])
 
     return run
 
 
-def _pairs(threshold: float, count: int, window: float):
+def _pairs(threshold: float, count: int, kind: type):
     def run(table: pa.Table) -> pa.Table:
-        empty = pa.table({"key": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        line = table["line"][0].as_py()
-        keys = table["key"].to_numpy()
-        part = np.array([0 if x else 1 for x in table["first"].to_pylist()])
-        same = bool(table["alone"][0].as_py())
-        x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in table["v"]])
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        at = unit @ lines(x.shape[1])
-        order = np.argsort(at[:, line], kind="stable")  # the sorted line: a window is a range
-        keys, part, unit, at = keys[order], part[order], unit[order], at[order]
-        own = at[:, line]
-        right = np.searchsorted(own, own + window, "right")
-        total = np.zeros(len(keys), np.int64)
-        linked_a, linked_b = [], []
-        for start in range(0, len(keys), 128):
-            stop = min(start + 128, len(keys))
-            end = int(right[stop - 1])
-            a, b = at[start:stop], at[start:end]
-            rows, cols = np.arange(start, stop)[:, None], np.arange(start, end)[None, :]
-            live = (cols > rows) & (cols < right[start:stop][:, None])
-            if not same:
-                live &= part[start:stop][:, None] != part[start:end][None, :]
+        rep, pick = np.unique(table["rep"].to_numpy(), return_index=True)
+        nothing = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        own_keys = np.stack([np.frombuffer(table["keys"][int(i)].as_py(), ">u8") for i in pick])
+        tree, lo, hi = (table[c][0].as_py() for c in ("tree", "lo", "hi"))
+        vectors = [np.frombuffer(table["v"][int(i)].as_py(), kind) for i in pick]
+        if len(rep) < 2 or len({len(v) for v in vectors}) > 1:
+            return nothing
+        x = _units(vectors)
+        at = x @ lines(x.shape[1])[:, :PROJECTIONS]
+        order = np.argsort(at[:, 0], kind="stable")  # the sorted line: a window is a range
+        rep, pick, x, at, own_keys = rep[order], pick[order], x[order], at[order], own_keys[order]
+        copies, blk = table["copies"].to_numpy()[pick], table["blk"].to_numpy()[pick]
+        leader = table["leader"].fill_null(0).to_numpy()[pick]
+        near = table["near"].fill_null(UNITS + 1).to_numpy()[pick]
+        total = np.zeros(len(rep), np.int64)
+        found = []
+        for start in range(0, len(rep), 256):
+            a = slice(start, start + 256)
+            live = np.arange(len(rep))[None, :] > np.arange(len(rep))[a, None]
+            if lo != hi:
+                live &= blk[a, None] != blk[None, :]
+            live &= ~((leader[a, None] == leader[None, :]) & (near[a, None] + near[None, :] <= UNITS))
+            for t in range(tree):  # counted in the first table where both meet
+                live &= own_keys[a, t, None] != own_keys[None, :, t]
             i, j = np.nonzero(live)
             hits = np.zeros(len(i), np.int16)
             for k in range(PROJECTIONS):  # a pair is let go once it can't reach the count any more
-                near = np.abs(a[i, k] - b[j, k]) <= window
-                hits += near
-                alive = hits + (PROJECTIONS - 1 - k) >= count
-                if k < line:  # counted at its first colliding line
-                    alive &= ~near
-                if not alive.all():
-                    i, j, hits = i[alive], j[alive], hits[alive]
+                hits += np.abs(at[a][i, k] - at[j, k]) <= WINDOW
+                if k % 8 == 7:
+                    alive = hits + (PROJECTIONS - 1 - k) >= count
+                    if not alive.all():
+                        i, j, hits = i[alive], j[alive], hits[alive]
             if len(i):
-                close = np.einsum("ij,ij->i", unit[start:stop][i], unit[start:end][j]) >= threshold
-                linked_a.append(i[close] + start)
-                linked_b.append(j[close] + start)
-        if not linked_a or not sum(map(len, linked_a)):
-            return empty
-        ia, ib = np.concatenate(linked_a), np.concatenate(linked_b)
-        np.add.at(total, ia, 1)
-        np.add.at(total, ib, 1)
-        label = keys.copy()
-        while True:  # least key reachable inside the task
+                close = np.einsum("ij,ij->i", x[a][i], x[j]) >= threshold
+                found.append(np.stack([i[close] + start, j[close]]))
+        if not found or not sum(f.shape[1] for f in found):
+            return nothing
+        ia, ib = np.concatenate(found, axis=1)
+        np.add.at(total, ia, copies[ib])
+        np.add.at(total, ib, copies[ia])
+        label = rep.copy()
+        while True:  # least representative reachable inside the task
             new = label.copy()
             np.minimum.at(new, ia, label[ib])
             np.minimum.at(new, ib, label[ia])
@@ -129,46 +181,44 @@ def _pairs(threshold: float, count: int, window: float):
                 break
             label = new
         has = total > 0
-        return pa.table({"key": pa.array(keys[has]), "links": pa.array(total[has]), "root": pa.array(label[has])})
+        return pa.table({"rep": pa.array(rep[has]), "links": pa.array(total[has]), "root": pa.array(label[has])})
 
     return run
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9995, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
+    if meeting_recall(threshold) < 0.999:
+        raise ValueError(f"compound keys of {TABLES} tables miss a recall of 0.999 at cosine {threshold}")
     count = required_count(threshold, recall)
-    rows = vectors.select(doc_key(id_col).alias("vec"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("emb"))
-    rows = rows.select(F.xxhash64("vec", "label", "emb").alias("key"), "vec", "label", "emb")
-    # rows equal in everything are told apart by a running number; elsewhere it is 0
-    rows = written(rows, "vectors")
-    twice = rows.groupBy("key").count().filter("count > 1").limit(1).count() > 0
-    if twice:
-        from pyspark.sql import Window
-
-        rows = written(rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("vec"))).select(F.when(F.col("turn") == 1, F.col("key")).otherwise(F.xxhash64("key", "turn")).alias("key"), "vec", "label", "emb"), "vectors")
-    spread = rows.mapInArrow(_projected(count, WINDOW), "label string, dim int, line int, strip int, key long, vec long, v binary")
-    spread = written(spread, "strips")
-    strip = ["label", "dim", "line", "strip"]
-    sizes = spread.groupBy(*strip).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    after = sizes.select("label", "dim", "line", (F.col("strip") - 1).alias("strip"), F.col("nb").alias("nb_after"))
-    before = sizes.select("label", "dim", "line", (F.col("strip") + 1).alias("strip"), F.col("nb").alias("nb_before"))
-    plan = written(sizes.join(after, strip, "left").join(before, strip, "left").na.fill(0), "strip_sizes")
-    own = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
-    # tasks (s, x, y): blocks x <= y of strip s, or block x of strip s and block y of the next, numbered on from nb
-    inside = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.col("strip").alias("s"), F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), (F.col("own") == F.least("own", o)).alias("first"), (F.col("own") == o).alias("alone")))
-    onward = F.when(F.col("nb_after") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nb_after") - 1, F.lit(0))), lambda o: F.struct(F.col("strip").alias("s"), F.col("own").alias("x"), (F.col("nb") + o).alias("y"), F.lit(True).alias("first"), F.lit(False).alias("alone"))))
-    back = F.when(F.col("nb_before") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nb_before") - 1, F.lit(0))), lambda o: F.struct((F.col("strip") - 1).alias("s"), o.alias("x"), (F.col("nb_before") + F.col("own")).alias("y"), F.lit(False).alias("first"), F.lit(False).alias("alone"))))
-    none = F.array().cast("array<struct<s:int,x:int,y:int,first:boolean,alone:boolean>>")
-    at = F.concat(inside, F.coalesce(onward, none), F.coalesce(back, none))
-    tasks = spread.join(plan, strip).withColumn("own", own).select("label", "dim", "line", "key", "v", F.inline(at))
-    checked = written(tasks.groupBy("label", "dim", "line", "s", "x", "y").applyInArrow(_pairs(threshold, count, WINDOW), "key long, links long, root long"), "links")
-    links = checked.groupBy("key").agg(F.sum("links").alias("links"))
-    parts = connected_components(checked.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    named = rows.select("key", "vec").join(links, "key", "left").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    # only linked rows need the least id of their component
-    least = named.filter("links is not null").groupBy("component").agg(F.min("vec").alias("least"))
-    out = named.join(least, "component", "left").withColumn("least", F.coalesce("least", "vec"))
-    return out.select(real_id("vec").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), real_id("least").alias("component_id"), (F.col("vec") == F.col("least")).alias("kept"))
-
-
-__all__ = ["embedding_links", "lines", "local_components", "required_count"]
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind, ddl = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    sound = F.col("label").isNotNull() & F.expr("size(emb) > 0 and forall(emb, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(emb, x -> x <> 0)")
+    rows = vectors.select(doc_key(id_col).alias("vec"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast(ddl).alias("emb"))
+    # equal vectors of a label are one class; a vector that links with nothing is none
+    rows = rows.select("vec", "label", "emb", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "emb")).alias("rep"), F.xxhash64(F.lit(1), "label", "emb").alias("rep2"))
+    known = rows.filter("rep is not null")
+    classes = known.groupBy("rep", "rep2").agg(F.count("*").alias("copies"), F.min("vec").alias("least"), F.first("label").alias("label"), F.first("emb").alias("emb"))
+    classes = classes.select(F.xxhash64("rep", "rep2").alias("rep"), "copies", F.xxhash64("label").alias("label"), "emb", "least")
+    classes = written(classes, "classes")
+    body = written(classes.select("rep", "copies", "label", "emb").mapInArrow(_keyed, "rep long, copies long, v binary, keys binary"), "keyed")
+    met = body.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TABLES - 1}), t -> substring(keys, 8 * t + 1, 8))")).alias("tree", "key"))
+    met = met.select("rep", "tree", F.xxhash64("key").alias("node"))
+    middle = centres(met, body, _distances(threshold, kind), block)
+    nodes = written(distinct_nodes(met), "nodes")
+    parts = tasks(met, nodes, middle, block).join(body, "rep")
+    checked = written(parts.groupBy("tree", "node", "lo", "hi").applyInArrow(_pairs(threshold, count, kind), "rep long, links long, root long"), "links")
+    counted, edges = checked.select("rep", "links"), checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    if middle is not None:
+        counted = counted.unionByName(proved(middle))
+        edges = edges.unionByName(middle.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select("rep", "copies", "least").join(links, "rep", "left").join(connected_components(edges).withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("component", F.coalesce("component", "rep"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    named = named.join(first, "component").select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first")
+    out = rows.select("vec", F.when(F.col("rep").isNotNull(), F.xxhash64("rep", "rep2")).alias("rep")).join(named, "rep", "left").withColumn("first", F.coalesce("first", "vec"))
+    return out.select(real_id("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real_id("first").alias("component_id"), (F.col("vec") == F.col("first")).alias("kept"))
+
+
+__all__ = ["embedding_links", "lines", "meeting_recall", "proved_mask", "required_count"]

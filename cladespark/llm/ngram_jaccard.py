@@ -3,19 +3,22 @@
 Texts whose shingle sets are equal form one class, so copies cost one
 representative. Each class has, in each of ``trees`` trees, a path of MinHash
 values; the paths of a tree, range-partitioned and sorted, are its prefix trie
-laid out flat. Prefixes are all cut at one depth, the longest at which the
-chance 1-(1-s^d)^trees that a pair at the threshold s shares a node of depth d
-reaches the target recall (0.999 gives depth 4 for 16 trees); if none does, that
-is an error. A pass over the
-sorted paths drops every class that shares no such node with a neighbour, so
-only real candidates go further.
-
-Nodes with equal member sets are checked once. A node with many members is cut
-into blocks and each pair of blocks is a task of bounded size; a pair of texts
-is counted in the first tree where both share a node. Verification is exact on
-64-bit shingle hashes. A task returns one row per member (links, weighted by
-copies, and its local component), never a row per pair, so a group of
-thousands of near copies stays linear in rows.
+laid out flat. The join descends level by level from the full paths: at each
+depth only pairs are verified that share a node there but met in no deeper one.
+After a level the verified similarities give the recall so far: a pair of
+similarity s shares a prefix of depth d with chance 1-(1-s^d)^trees, so each link
+found stands for that many links. The descent ends when the estimate reaches the
+target, so tightly copied corpora stop at long prefixes and looser ones go on, at
+the latest at the depth where a pair right at the threshold reaches the target by
+that law (0.999 at 0.8 gives depth 4 for 16 trees; if there is none, an error).
+
+Nodes with equal member sets are checked once. Nodes with many members follow
+``near_groups``: links proved by the triangle inequality of the Jaccard distance
+are counted from distances to a leader, the others are verified in blocks, each
+pair of blocks a task of bounded size. A pair of texts is counted in the first
+tree where both share a node. Verification is exact on 64-bit shingle hashes. A
+task returns one row per member (links, weighted by copies, and its local
+component), never a row per pair.
 
 Defined cases: words are lower-cased runs without white space; a text of one
 to four words is one shingle; texts without words (null, empty) are copies of
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,11 @@ from pyspark.sql import functions as F
 
 from cladespark.llm.common import doc_key, real_id, sliced, written
 from cladespark.llm.components import connected_components
+from cladespark.llm.near_groups import centres, distinct_nodes, proved, tasks
 
 WORDS, TREES, LEVELS, BLOCK = 5, 16, 6, 512
+#: Verified similarities are counted in hundredths.
+BINS = 100
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 
@@ -125,19 +132,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _matched(depth: int):
     """Of a sorted partition, the rows that share a prefix of ``depth`` with a neighbour, and the two end rows."""
+    width = 4 * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_kept = None, True
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["tree", "node", "rep"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["tree", "path", "rep"])
 
         for batch in batches:
-            trees, paths, reps = (batch.column(i).to_pylist() for i in range(3))
             kept = []
-            for tree, path, rep in zip(trees, paths, reps):
-                row = (tree, path[: 4 * depth], rep)
-                same = last is not None and last[:2] == row[:2]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                same = last is not None and last[0] == row[0] and last[1][:width] == row[1][:width]
                 if same and not last_kept:
                     kept.append(last)
                 if same or last is None:
@@ -151,38 +157,49 @@ def _matched(depth: int):
     return run
 
 
-def _blocks(reps: DataFrame, depth: int, block: int) -> DataFrame:
-    """(rep, at): for each representative, the (tree, node, lo, hi) tasks that it takes part in."""
+def tries(reps: DataFrame, depth: int) -> DataFrame:
+    """(tree, path, rep): the sorted paths of each tree, without those that no other path meets even at ``depth``."""
     paths = reps.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(paths, t * {4 * LEVELS} + 1, {4 * LEVELS}))")).alias("tree", "path"))
     trie = paths.select("tree", "path", "rep").repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
-    rows = written(trie.mapInArrow(_matched(depth), "tree int, node binary, rep long"), "trie")
-    groups = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    # nodes with the same members are checked once, in the first tree that has them
-    groups = groups.filter("n > 1").groupBy("n", "first", "last", "x", "y").agg(F.min(F.struct("tree", "node")).alias("g")).select("g.*", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    members = rows.join(groups, ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("nb")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    at = F.struct("tree", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("blk"))
-    return members.groupBy("rep").agg(F.collect_list(at).alias("at"))
+    return written(trie.mapInArrow(_matched(depth), "tree int, path binary, rep long"), "trie")
 
 
-_TASK_DDL = "tree int, node binary, lo int, hi int, blk int, rep long, copies long, sh binary, labels binary"
+def level(trie: DataFrame, depth: int) -> DataFrame:
+    """(tree, node, child, rep): each path cut at ``depth``; child is the node one level deeper."""
+    return trie.select("tree", F.xxhash64(F.substring("path", 1, 4 * depth)).alias("node"), F.xxhash64(F.substring("path", 1, 4 * depth + 4)).alias("child"), "rep")
 
 
-def _shingled(depth: int):
+def recall_estimate(found: dict[int, int], depth: int) -> float:
+    """Share of links met by prefixes of ``depth`` or longer, from the verified similarities of those met.
+
+    A pair of similarity s shares such a prefix with chance p(s), so each link
+    found stands for 1/p(s) links. Without links it is 0, so the descent goes on.
+    """
+    there = sum(n / (1 - (1 - (b / BINS) ** depth) ** TREES) for b, n in found.items())
+    return sum(found.values()) / there if there else 0.0
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingle = Shingler()
+    for batch in sliced(batches, rows=64):
+        sets = [shingle(text) for text in batch.column(2).to_pylist()]
+        paths = [minhash(x, TREES * LEVELS).astype(">u4").tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(paths, pa.binary())], names=["rep", "copies", "sh", "paths"])
+
+
+def _distances(threshold: float):
+    """(rep, leader, near, copies) of (rep, leader, copies, sh, paths, l_sh, l_paths)."""
+    from cladespark.llm.near_groups import UNITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in sliced(batches, rows=64):
-            rows = []
-            for rep, copies, text, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                s = shingle(text)
-                path = minhash(s, TREES * LEVELS).astype(">u4").reshape(TREES, LEVELS)[:, :depth]
-                labels = b"".join(xxhash.xxh3_64_digest(x.tobytes()) for x in path)
-                rows += [(a["tree"], a["node"], a["lo"], a["hi"], a["blk"], rep, copies, s.tobytes(), labels) for a in at]
-            kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            names = [x.split()[0] for x in _TASK_DDL.split(", ")]
-            for start in range(0, len(rows), 256):
-                part = list(zip(*rows[start : start + 256]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
+        for batch in batches:
+            near = []
+            for own, head in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+                a, b = np.frombuffer(own, _U), np.frombuffer(head, _U)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                far = 1 - both / (len(a) + len(b) - both)
+                near.append(min(UNITS + 1, math.ceil(far / (1 - threshold) * UNITS + 1e-6)) if far else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), batch.column(2)], names=["rep", "leader", "near", "copies"])
 
     return run
 
@@ -221,29 +238,50 @@ def local_components(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, depth: int):
+    """Links of one task: pairs that share no longer prefix in any tree and none of ``depth`` in an earlier one."""
+    from cladespark.llm.near_groups import UNITS, proved_mask
+
     def run(table: pa.Table) -> pa.Table:
         rep, pick = np.unique(table["rep"].to_numpy(), return_index=True)
         copies, blk = table["copies"].to_numpy()[pick], table["blk"].to_numpy()[pick]
         tree, lo, hi = (table[c][0].as_py() for c in ("tree", "lo", "hi"))
-        sets = [np.frombuffer(table["sh"][int(i)].as_py(), _U) for i in pick]
-        labels = np.stack([np.frombuffer(table["labels"][int(i)].as_py(), _U) for i in pick])
         n = len(rep)
-        empty = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        nothing = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "bin": pa.array([], pa.int32()), "pairs": pa.array([], pa.int64())})
         if n < 2:
-            return empty
+            return nothing
+        paths = np.stack([np.frombuffer(table["paths"][int(i)].as_py(), ">u4").reshape(TREES, LEVELS) for i in pick])
+        leader = table["leader"].fill_null(0).to_numpy()[pick]
+        near = table["near"].fill_null(UNITS + 1).to_numpy()[pick]
         allowed = ~np.eye(n, dtype=bool) if lo == hi else blk[:, None] != blk[None, :]
-        for earlier in range(tree):
-            allowed &= labels[:, earlier][:, None] != labels[:, earlier][None, :]
-        if not allowed.any():
-            return empty
+        allowed &= ~proved_mask(leader, near)
+        for t in range(TREES):
+            for cut, counts in ((depth, t < tree), (depth + 1, depth < LEVELS)):
+                if counts and allowed.any():
+                    code = np.unique(np.ascontiguousarray(paths[:, t, :cut]).view(f"V{4 * cut}").ravel(), return_inverse=True)[1]
+                    allowed &= code[:, None] != code[None, :]
+        need = np.flatnonzero(allowed.any(axis=1))
+        if not len(need):
+            return nothing
+        rep, copies, allowed = rep[need], copies[need], allowed[np.ix_(need, need)]
+        sets = [np.frombuffer(table["sh"][int(i)].as_py(), _U) for i in pick[need]]
         size = np.array([len(s) for s in sets], np.float64)
         both = intersections(sets)
-        links = allowed & (both + 1e-9 >= threshold * (size[:, None] + size[None, :] - both)) & (both > 0)
+        union = size[:, None] + size[None, :] - both
+        links = allowed & (both + 1e-9 >= threshold * union) & (both > 0)
         weight = links @ copies
         root = rep[local_components(links)]
         has = weight > 0
-        return pa.table({"rep": pa.array(rep[has]), "links": pa.array(weight[has].astype(np.int64)), "root": pa.array(root[has])})
+        of = np.triu(links)
+        bins, pairs = np.unique((BINS * both[of] / union[of]).astype(np.int32), return_counts=True)
+        blank, zero = [None] * len(bins), [None] * int(has.sum())
+        return pa.table({
+            "rep": pa.array(rep[has].tolist() + blank, pa.int64()),
+            "links": pa.array(weight[has].astype(np.int64).tolist() + blank, pa.int64()),
+            "root": pa.array(root[has].tolist() + blank, pa.int64()),
+            "bin": pa.array(zero + bins.tolist(), pa.int32()),
+            "pairs": pa.array(zero + pairs.tolist(), pa.int64()),
+        })
 
     return run
 
@@ -256,19 +294,37 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     ``group_id`` the least id reachable by links. ``component`` tells groups apart
     whose least ids are equal (null, or repeated with other texts).
     """
-    depth = forest_depth(threshold, recall)
+    least = forest_depth(threshold, recall)
     sig = written(signatures(docs, id_col, text_col), "signatures")
     classes = sig.groupBy("s1", "s2").agg(F.min(F.struct("doc", "row")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"))
     classes = written(classes.select("s1", "s2", F.col("head.doc").alias("rep_doc"), F.col("head.row").alias("rep_row"), F.xxhash64("head.doc", "s1", "s2").alias("rep"), "copies", "n", "paths"), "classes")
-    at = _blocks(classes.filter("n > 0").select("rep", "paths"), depth, block)
-    wanted = classes.select("rep", "rep_doc", "rep_row", "copies").join(at, "rep").hint("shuffle_hash")
+    trie = tries(classes.filter("n > 0").select("rep", "paths"), least)
+    wanted = classes.select("rep", "rep_doc", "rep_row", "copies").join(trie.select("rep").distinct(), "rep").hint("shuffle_hash")
     texts = docs.select(doc_key(id_col).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("r"), F.col(text_col).alias("text"))
-    # texts are dealt out once, unsorted; only those with candidates go on
-    found = texts.join(wanted, (F.col("d") == F.col("rep_doc")) & (F.col("r") == F.col("rep_row"))).select("rep", "copies", "text", "at")
-    tasks = found.mapInArrow(_shingled(depth), _TASK_DDL)
-    checked = written(tasks.groupBy("tree", "node", "lo", "hi").applyInArrow(_verify(threshold), "rep long, links long, root long"), "verified")
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    # texts are dealt out once, unsorted; only those with candidates are shingled again, once for all depths
+    found = texts.join(wanted, (F.col("d") == F.col("rep_doc")) & (F.col("r") == F.col("rep_row"))).select("rep", "copies", "text")
+    sets = written(found.dropDuplicates(["rep"]).mapInArrow(_shingled, "rep long, copies long, sh binary, paths binary"), "shingles")
+    middle = centres(level(trie, LEVELS), sets, _distances(threshold), block)
+    checked, similar = [], {}
+    for depth in range(LEVELS, least - 1, -1):
+        rows = level(trie, depth)
+        nodes = written(distinct_nodes(rows, None if depth == LEVELS else F.min("child") != F.max("child")), "nodes")
+        part = tasks(rows, nodes, middle, block).join(sets, "rep")
+        part = part.groupBy("tree", "node", "lo", "hi").applyInArrow(_verify(threshold, depth), "rep long, links long, root long, bin int, pairs long")
+        part = written(part, f"verified{depth}")
+        checked.append(part.filter("rep is not null").select("rep", "links", "root"))
+        for row in part.filter("rep is null").groupBy("bin").agg(F.sum("pairs").alias("pairs")).collect():  # a row for each similarity in hundredths
+            similar[row["bin"]] = similar.get(row["bin"], 0) + row["pairs"]
+        if recall_estimate(similar, depth) >= recall:
+            break
+    edges = reduce(DataFrame.unionByName, checked)
+    counted = edges.select("rep", "links")
+    edges = edges.select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    if middle is not None:
+        counted = counted.unionByName(proved(middle))
+        edges = edges.unionByName(middle.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    parts = connected_components(edges)
     named = classes.select("s1", "s2", "rep", "rep_doc", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("rep_doc").alias("group_doc"))
