@@ -1,13 +1,20 @@
 """HTML extraction by removing site templates.
 
-Pass one cuts every page into element subtrees and counts, per host, on how
-many pages with different main content each subtree's hash occurs. Subtrees on
-a large share of a host's pages are its template. Pass two deletes them, along
-with elements that are boilerplate by tag, role or class, keeps the article if
-the page marks one, and joins what is left block by block. Deleted by
-recurrence inside a marked article are only containers, never its paragraphs
-and headings, and pages that copy each other count once, so copied articles
-aren't taken for a template.
+Pass one cuts every whole page, nothing removed yet, into element subtrees,
+hashes each (its tags and texts; links count by their text) and counts in Spark
+on how many pages of a host with different main content each hash occurs.
+Subtrees that recur are the host's template. Pass two deletes them first: menus,
+headers, footers, sidebars, notices and adverts need neither class names nor
+marked articles for that. Deleted by recurrence inside a marked article are only
+containers, never its paragraphs and headings, and pages that copy each other
+count once, so copied articles aren't taken for a template.
+
+What recurrence can't see is text that differs from page to page. For it HTML's
+own meaning decides (scripts, styles, forms, nav, footer, aside, hidden elements
+and their like, ARIA roles). A last rule covers reader comments and changing
+adverts: a container whose class or id is, as a whole word, the name of such a
+part. It holds for containers only, never for prose, and never for a wrapper of
+the article. ``removed_chars`` tells how much each of the three took.
 
 A host's template list is short whatever the host's size: subtrees that each
 lie on at least a share s of its pages number at most (subtrees per page) / s.
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 from cladespark.llm.common import sliced, written
 
 #: A subtree is template if it is on at least this many pages and this share of its host's pages.
-MIN_PAGES, SHARE = 5, 0.4
+MIN_PAGES, SHARE = 3, 0.01
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -50,15 +58,17 @@ _CLOSES_P = _BLOCK - frozenset("caption tbody td tfoot th thead tr option optgro
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 _DROP_TAG = frozenset("head script style noscript template title nav footer aside form button select textarea input iframe svg canvas object audio video dialog menu math map noframes noembed search".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
-# Words in a class or id that mark boilerplate: fixed values.
-_DROP_WORD = frozenset(
+#: Elements that a name can mark: containers, not prose.
+_CONTAINER = frozenset("div section ul ol dl table article center details".split())
+# Names of page parts in a class or id, and what may stand after them in a compound: fixed values.
+_PART = (
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr"
-    " notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside"
-    " widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login"
-    " comment comments commentlist reply replies respond discussion disqus footer masthead toolbar pagination pager skip copyright"
-    " legal disclaimer paywall teaser teasers".split()
+    " notice notices notification alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar"
+    " widget widgets share sharing social newsletter subscribe subscription signup login comment comments commentlist replies respond"
+    " discussion disqus footer masthead toolbar pagination pager paywall header topbar"
 )
-_DROP_CLASS = frozenset("header site-header page-header top-header global-header site-head topbar top-bar".split())
+_AFTER = "area banner bar block box buttons container form links list panel section thread top wrap wrapper"
+_NAME = re.compile(rf"(?:(?:site|page|top|main|global|user|reader|cookie)[-_])?(?:{'|'.join(_PART.split())})(?:[-_](?:{'|'.join(_AFTER.split())}|\d+))*")
 _MAIN_CLASS = frozenset("content main main-content maincontent page-content article article-body article-content post post-body post-content entry entry-content story story-body".split())
 
 
@@ -71,19 +81,19 @@ class Node:
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if "=" in self.attrs else {}
 
-    def within(self, tags: tuple[str, ...]) -> bool:
-        node = self.up
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.up
-        return False
-
 
 def parse(page: str) -> Node:
     """A tree of elements and texts; the end tags that HTML lets authors leave out are supplied."""
     root = at = Node("#root", "", None)
     pos, size = 0, len(page)
+    open_tags: Counter = Counter()  # so that the walk upwards is only made for something that is there
+
+    def close(node: Node, below: Node) -> Node:
+        while node is not below:
+            open_tags[node.tag] -= 1
+            node = node.up
+        return below
+
     while pos < size:
         m = _TOKEN.search(page, pos)
         if m is None:
@@ -97,6 +107,8 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
+            if not open_tags[tag]:
+                continue
             node = at
             while node.up is not None and node.tag != tag:
                 # an end tag doesn't reach out of the article, cell or section it stands in
@@ -104,26 +116,25 @@ def parse(page: str) -> Node:
                     break
                 node = node.up
             if node.tag == tag and node.up is not None:
-                at = node.up
+                at = close(at, node.up)
             continue
-        at = _implied(at, tag)
+        at = close(at, _implied(at, tag, open_tags))
         node = Node(tag, m["attrs"] or m["attrs2"] or "", at)
         at.kids.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
             node.kids.append(page[pos : end.start() if end else size])
             pos = end.end() if end else size
-        elif tag not in _VOID and not (m["attrs"] or "").endswith("/"):
-            at = node
-        elif tag not in _VOID and tag in _BLOCK:
+        elif tag not in _VOID and (tag in _BLOCK or not (m["attrs"] or "").endswith("/")):
             at = node  # HTML ignores the slash
+            open_tags[tag] += 1
     return root
 
 
-def _implied(at: Node, tag: str) -> Node:
+def _implied(at: Node, tag: str, open_tags: Counter) -> Node:
     """Where an element starts, once open elements that it ends are closed."""
     ends: tuple[tuple[str, ...], tuple[str, ...]] | None = None
-    if tag in _CLOSES_P:
+    if tag in _CLOSES_P and open_tags["p"]:
         node = at
         while node.up is not None and node.tag not in ("article", "div", "section", "main", "td", "th", "table", "body", "li", "button", "blockquote"):
             if node.tag == "p":
@@ -142,7 +153,7 @@ def _implied(at: Node, tag: str) -> Node:
         ends = (("option",), ("select",))
     elif tag == "body":
         ends = (("head",), ("html",))
-    if ends:
+    if ends and any(open_tags[t] for t in ends[0]):
         node = at
         while node.up is not None and node.tag not in ends[1]:
             if node.tag in ends[0]:
@@ -151,46 +162,64 @@ def _implied(at: Node, tag: str) -> Node:
     return at
 
 
-def _words(value: str) -> list[str]:
-    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-
-
-def _has_core(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        for kid in todo.pop().kids:
-            if isinstance(kid, Node):
-                if kid.tag in ("article", "main", "body", "h1"):
-                    return True
-                todo.append(kid)
-    return False
-
-
-def is_boilerplate(node: Node) -> bool:
-    """By tag, role, class or id; a wrapper around the article never is by its class."""
+def _declared(node: Node, inside: bool) -> bool:
+    """Boilerplate by HTML's own meaning: tag, role or being hidden. ``inside``: below an article or main."""
     tag = node.tag
     if tag in _DROP_TAG:
         return True
     if tag == "header":
-        return not node.within(("article", "main"))
+        return not inside
     if tag in ("html", "body", "main", "#root") or not node.attrs:
         return False
     attrs = node.attributes()
-    if attrs.get("role", "").lower() in _DROP_ROLE or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", node.attrs)):
-        return not _has_core(node)
-    names = [attrs[k] for k in ("class", "id") if k in attrs]
-    for name in names:
-        if set(name.lower().split()) & _DROP_CLASS or set(_words(name)) & _DROP_WORD:
-            return not _has_core(node)
-    return False
-
-
-def prune(node: Node) -> None:
-    """Remove boilerplate elements in place."""
-    todo = [node]
+    return attrs.get("role", "").lower() in _DROP_ROLE or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", ""))) or bool(_HIDDEN_ATTR.search(_QUOTED.sub("", node.attrs)))
+
+
+_HIDDEN, _HIDDEN_ATTR, _QUOTED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden"), re.compile(r"(?:^|\s)hidden(?:\s|$|=)"), re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def _named(node: Node, inside: bool) -> bool:
+    """A container whose class or id names a part of the page; an article may have a header of its own."""
+    if node.tag not in _CONTAINER or not node.attrs:
+        return False
+    attrs = node.attributes()
+    return any(_NAME.fullmatch(word) and not (inside and word.endswith("header")) for key in ("class", "id") if key in attrs for word in attrs[key].lower().split())
+
+
+def _cores(root: Node) -> set[int]:
+    """Elements that hold an article, a main or the body, or are one: never dropped for an attribute."""
+    found: set[int] = set()
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main", "body"):
+            up = node.up
+            while up is not None and id(up) not in found:
+                found.add(id(up))
+                up = up.up
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    return found
+
+
+def prune(root: Node, names: bool = True) -> None:
+    """Remove what HTML or, with ``names``, a class or id declares as boilerplate, in place."""
+    cores = _cores(root)
+    todo = [(root, False)]
+    while todo:
+        own, inside = todo.pop()
+        inside |= own.tag in ("article", "main")
+        own.kids = [k for k in own.kids if isinstance(k, str) or k.tag not in _DROP_TAG and id(k) in cores or not (_declared(k, inside) or names and _named(k, inside))]
+        todo += [(k, inside) for k in own.kids if isinstance(k, Node)]
+
+
+def delete(root: Node, template: set[int] | frozenset[int]) -> None:
+    """Remove the subtrees whose hash is in ``template``, in place."""
+    known = _hashes(root)
+    gone = {id(n) for n in _candidates(root) if known.get(id(n)) in template}
+    todo = [root] if gone else []
     while todo:
         own = todo.pop()
-        own.kids = [k for k in own.kids if not (isinstance(k, Node) and is_boilerplate(k))]
+        own.kids = [k for k in own.kids if id(k) not in gone]
         todo += [k for k in own.kids if isinstance(k, Node)]
 
 
@@ -267,7 +296,7 @@ def _hashes(root: Node) -> dict[int, int]:
                 full = True
         h = xxhash.xxh3_64_intdigest("\x00".join(text).encode("utf-8", "surrogatepass"))
         parts[id(node)] = (format(h, "x"), full)
-        if full and node.tag in _BLOCK:
+        if full and node.tag in _BLOCK and node.tag not in _RAW:
             found[id(node)] = h - 2**63
     return found
 
@@ -284,57 +313,74 @@ def _candidates(root: Node) -> Iterator[Node]:
 
 
 def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
-    """A hash of the page's main content, and those of its distinct candidate subtrees."""
+    """A hash of the page's main content, and those of the distinct candidate subtrees of the whole page."""
     root = parse(page or "")
+    known = _hashes(root)
+    found = sorted({known[id(n)] for n in _candidates(root) if id(n) in known})
     prune(root)
     content = xxhash.xxh3_64_intdigest(" ".join(blocks(main_nodes(root))).encode("utf-8", "surrogatepass")) - 2**63
-    known = _hashes(root)
-    return content, sorted({known[id(n)] for n in _candidates(root) if id(n) in known})
+    return content, found
 
 
 def extract(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text without the subtrees in ``template``."""
     root = parse(page or "")
-    prune(root)
     if template:
-        known = _hashes(root)
-        gone = {id(n) for n in _candidates(root) if known.get(id(n)) in template}
-        if gone:
-            todo = [root]
-            while todo:
-                own = todo.pop()
-                own.kids = [k for k in own.kids if id(k) not in gone]
-                todo += [k for k in own.kids if isinstance(k, Node)]
+        delete(root, template)
+    prune(root)
     return " ".join(blocks(main_nodes(root)))
 
 
+def removed_chars(page: str | None, template: set[int] | frozenset[int]) -> tuple[int, int, int]:
+    """Characters of text that recurrence, then HTML's own meaning, then names take from a page outside scripts and styles."""
+    sizes = []
+    for step in range(4):
+        root = parse(page or "")
+        if step:
+            delete(root, template)
+        if step > 1:
+            prune(root, names=step > 2)
+        sizes.append(sum(map(len, blocks([n for n in [root] if not _strip_raw(n)]))))
+    return sizes[0] - sizes[1], sizes[1] - sizes[2], sizes[2] - sizes[3]
+
+
+def _strip_raw(root: Node) -> None:
+    todo = [root]
+    while todo:
+        own = todo.pop()
+        own.kids = [k for k in own.kids if isinstance(k, str) or k.tag not in _RAW]
+        todo += [k for k in own.kids if isinstance(k, Node)]
+
+
 def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on each host."""
+    """(host, template): xxhash64 of each host, and the hashes of the subtrees that recur on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = []
+            hosts, hashes, contents = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 content, found = subtree_hashes(page)
-                rows += [(host, h, content) for h in (0, *found)]  # 0 stands for the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["host", "h", "content"])
+                hashes += (0, *found)  # 0 stands for the page itself
+                hosts += [host] * (len(found) + 1)
+                contents += [content] * (len(found) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "h", "content"])
 
-    seen = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, h long, content long")
+    seen = pages.select(F.xxhash64(_host(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host long, h long, content long")
     counts = seen.distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = written(counts.filter((F.col("n") >= min_pages) | (F.col("h") == 0)), "subtrees")
     whole = counts.filter("h = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("h <> 0").join(whole, "host").filter((F.col("n") >= min_pages) & (F.col("n") >= share * F.col("pages")))
-    return written(often.groupBy("host").agg(F.collect_list("h").alias("template")), "templates")
+    often = counts.filter("h <> 0").join(whole, "host").filter(F.col("n") >= share * F.col("pages"))
+    return written(often.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")), "templates")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """(page_id, url, text) for every page."""
     found = templates(pages, url_col, html_col, **options).withColumnRenamed("host", "_t_host")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(_host(url_col)).alias("host"))
     rows = rows.join(found, F.col("host") == F.col("_t_host"), "left").select("id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -394,6 +394,48 @@ def test_templates_are_removed(spark):
     assert got[100] == "alone" and got[101] == ""
 
 
+def test_recurrence_needs_no_names_and_no_article(spark):
+    from cladespark.llm.html_extract import extract, extract_pages, removed_chars, templates
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    bars = ["<div><div><a href='/%s'>Home</a> <a href='/x'>About %d</a></div></div>" % (word(), i) for i in range(4)]
+    rows, want = [], {}
+    for i in range(120):
+        title, body = "Title " + word(), " ".join(word() for _ in range(30))
+        page = f"{bars[i % 4]}<section><h1>{title}</h1><p>{body}</p></section><div><p>Sold by us {i % 3}</p><div>All rights kept</div></div>"
+        rows.append((i, f"https://shop{i % 2}.example.com/{i}", page))
+        want[i] = f"{title} {body}"
+    df = spark.createDataFrame(rows + rows[:7], "page_id long, url string, html string")
+    found = {r["host"]: frozenset(r["template"]) for r in templates(df).collect()}
+    assert len(found) == 2 and all(found.values())
+    got = extract_pages(df).collect()
+    assert len(got) == 127 and all(r["text"] == want[r["page_id"]] for r in got)
+    assert extract(rows[0][2]) != want[0]  # without the counts nothing marks the bars
+    recurring, html, names = removed_chars(rows[0][2], set().union(*found.values()))
+    assert recurring > 30 and html == names == 0
+
+
+def test_names_mark_containers_only():
+    from cladespark.llm.html_extract import extract
+
+    assert extract("<article><p class='legal'>a</p><p class='social'>b</p><p>y</p></article>") == "a b y"
+    assert extract("<div id='related-work'><p>stays</p></div>") == "stays"
+    assert extract("<div class=cookie-banner><h1>Cookies</h1>accept</div><p>in</p>") == "in"
+    assert extract("<article><div class=header><h1>T</h1></div><p>m</p><div class='user-comments'><p>c</p></div></article>") == "T m"
+
+
+def test_deep_and_long_pages(spark):
+    from cladespark.llm.html_extract import extract, extract_pages
+
+    for page in ("<b>" * 30_000, "<div>" * 30_000, "<p><b>" * 15_000, "<ul><li>" * 15_000, "</x>" * 30_000 + "<i>" * 30_000 + "</p>" * 30_000):
+        assert extract("<article>" + page + "end") == "end"
+    long = "<article>" + "<p>one two</p>" * 50_000
+    df = spark.createDataFrame([(1, "http://a.b/", long, "h"), (1, "http://a.b/", long, "h"), (None, None, None, "h")], "page_id long, url string, html string, host string")
+    assert sorted(len(r["text"]) for r in extract_pages(df).collect()) == [0, 399_999, 399_999]
+    assert extract_pages(df.limit(0)).count() == 0
+
+
 # -- decontamination -----------------------------------------------------------
 
 
