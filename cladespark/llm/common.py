@@ -37,6 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't have, whatever its own columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        found = f"_{name}"
+        while found.lower() in taken:
+            found = f"_{found}"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """An id that is never null: null ids become ``NULL_ID``."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

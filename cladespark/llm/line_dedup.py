@@ -18,7 +18,8 @@ Defined cases: a null text is one empty line; keys shorter than
 one document, each row is cut by its own bitmap and equal rows get equal
 results; a null ``doc_id`` is one document that sorts below all others; an
 empty table gives an empty table; further columns are ignored by
-``keep_bitmaps`` and kept by ``apply_bitmaps``.
+``keep_bitmaps`` and kept by ``apply_bitmaps`` whatever their names (save ``_n_lines`` and
+``_n_dropped``, which it sets).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from cladespark.llm.common import ASCII_SPACE, NULL_ID, doc_key, real_id, written
+from cladespark.llm.common import ASCII_SPACE, NULL_ID, doc_key, free_names, real_id, written
 
 DROP, OPEN, SUMMARY = 0, 1, 2
 _MARK = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32())])
@@ -174,14 +175,15 @@ def _cut(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that their bitmaps drop cut out, plus ``_n_lines`` and ``_n_dropped``."""
-    small = bitmaps.select(F.col("doc").alias("_b_doc"), F.col("row").alias("_b_row"), F.col("n_dropped").alias("_b_lost"), F.col("keep").alias("_b_keep"))
-    left = docs.withColumns({"_d_doc": doc_key(id_col), "_d_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    k_doc, k_row, b_doc, b_row, lost, keep = free_names(docs, "k_doc", "k_row", "b_doc", "b_row", "lost", "keep")
+    small = bitmaps.select(F.col("doc").alias(b_doc), F.col("row").alias(b_row), F.col("n_dropped").alias(lost), F.col("keep").alias(keep))
+    left = docs.withColumns({k_doc: doc_key(id_col), k_row: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     # bitmaps are far smaller than texts: they are the hashed side, so texts are dealt out but not sorted
-    both = left.join(small.hint("shuffle_hash"), (F.col("_d_doc") == F.col("_b_doc")) & (F.col("_d_row") == F.col("_b_row")), "left")
+    both = left.join(small.hint("shuffle_hash"), (F.col(k_doc) == F.col(b_doc)) & (F.col(k_row) == F.col(b_row)), "left")
     breaks = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))), F.lit(0))
-    both = both.withColumns({"_n_lines": (breaks + 1).cast("long"), "_n_dropped": F.coalesce(F.col("_b_lost"), F.lit(0)).cast("long")})
-    both = both.withColumn(text_col, _cut(F.col(text_col), F.col("_b_keep")))
-    return both.drop("_d_doc", "_d_row", "_b_doc", "_b_row", "_b_lost", "_b_keep")
+    both = both.withColumns({"_n_lines": (breaks + 1).cast("long"), "_n_dropped": F.coalesce(F.col(lost), F.lit(0)).cast("long")})
+    both = both.withColumn(text_col, _cut(F.col(text_col), F.col(keep)))
+    return both.drop(k_doc, k_row, b_doc, b_row, lost, keep)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import doc_key, real_id, sliced, written
+from cladespark.llm.common import doc_key, free_names, real_id, sliced, written
 from cladespark.llm.components import connected_components
 from cladespark.llm.near_groups import centres, distinct_nodes, proved, tasks
 
@@ -335,8 +335,9 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the least id (of rows that repeat it, the least text hash, once)."""
     groups = ngram_jaccard(docs, id_col=id_col, text_col=text_col, **options)
-    heads = groups.groupBy("component").agg(F.min(F.struct("doc", "row")).alias("head")).select(F.col("head.doc").alias("_h_doc"), F.col("head.row").alias("_h_row"))
-    rows = docs.withColumns({"_d_doc": doc_key(id_col), "_d_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = rows.join(heads.hint("shuffle_hash"), (F.col("_d_doc") == F.col("_h_doc")) & (F.col("_d_row") == F.col("_h_row")), "left_semi")
+    k_doc, k_row, h_doc, h_row = free_names(docs, "k_doc", "k_row", "h_doc", "h_row")
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc", "row")).alias("head")).select(F.col("head.doc").alias(h_doc), F.col("head.row").alias(h_row))
+    rows = docs.withColumns({k_doc: doc_key(id_col), k_row: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = rows.join(heads.hint("shuffle_hash"), (F.col(k_doc) == F.col(h_doc)) & (F.col(k_row) == F.col(h_row)), "left_semi")
     # rows equal in id and text are copies too, and only they meet here
-    return kept.dropDuplicates(["_d_doc", "_d_row"]).drop("_d_doc", "_d_row")
+    return kept.dropDuplicates([k_doc, k_row]).drop(k_doc, k_row)

@@ -76,34 +76,69 @@ BLOCK_LIST = (
 )
 
 
+#: A page's host and path, as in ``url_filter`` but in one regular expression each that Spark and DuckDB both read.
+_HOST = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
+_PATH = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)"
+#: How entries follow from a pattern's number k (16 bits of its md5): action, days after its first day (k mod 200), condition, category.
+_RULES = (
+    ("add", "0", "k % 3 < 2", "'c' || k % 5"),
+    ("remove", "20 + k % 40", "k % 2 = 0", "'c' || k % 5"),
+    ("add", "90", "k % 4 = 0", "'c' || k % 5"),
+    ("add", "10", "k % 7 = 0", "'other'"),
+    ("remove", "60", "k % 14 = 0", "'other'"),
+)
+
+
+def block_list(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The entries above and thousands derived from the pages' own hosts and paths: additions, removals, re-additions, two categories."""
+    entries = spark.createDataFrame(list(BLOCK_LIST), "pattern string, listed_at string, action string, category string")
+    seen = pages.select(F.lower(F.regexp_extract("url", _HOST, 1)).alias("h"), F.regexp_replace(F.regexp_extract("url", _PATH, 1), "/+$", "").alias("p")).filter("h <> ''")
+    names = seen.select("h").unionByName(seen.select(F.concat("h", F.regexp_extract("p", "^(/[^/]*)", 1)).alias("h"))).unionByName(seen.select(F.concat("h", "p").alias("h"))).distinct()
+    numbered = names.select(F.col("h").alias("pattern"), F.expr("cast(conv(substring(md5(lower(h)), 1, 4), 16, 10) as int)").alias("k"))
+    for action, after, when, category in _RULES:
+        day = F.expr(f"cast(date_add(date'2024-01-01', k % 200 + {after}) as string)")
+        entries = entries.unionByName(numbered.filter(when).select("pattern", day.alias("listed_at"), F.lit(action).alias("action"), F.expr(category).alias("category")))
+    return entries
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every capture against the list above; pages carry no fetch time, so the day of the year follows the page id."""
     from cladespark.llm.url_filter import url_filter
 
-    entries = spark.createDataFrame(list(BLOCK_LIST), "pattern string, listed_at string, action string, category string")
+    pages = table(spark, sf_dir, "pages")
     fetched = F.expr("timestamp_seconds(1704067200 + pmod(coalesce(page_id, 0), 366) * 86400)")
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    out = url_filter(captures, entries)
+    out = url_filter(pages.select("page_id", "url", fetched.alias("fetched_at")), block_list(spark, pages.select("url")))
     return out.select("page_id", "url", F.expr("unix_seconds(fetched_at)").alias("fetched_s"), "host", "blocked", "n_entries", "categories")
 
 
 OP4_SQL = (
-    "WITH log(pattern, listed, action, category) AS (VALUES "
-    + ", ".join(f"('{p}', epoch(TIMESTAMP '{d} 00:00:00'), '{a}', '{c}')" for p, d, a, c in BLOCK_LIST)
+    rf"""
+WITH seen AS (
+  SELECT page_id, url, CAST(1704067200 + (page_id % 366) * 86400 AS BIGINT) AS fetched_s, lower(regexp_extract(url, '{_HOST}', 1)) AS host,
+         rtrim(regexp_extract(url, '{_PATH}', 1), '/') AS path FROM pages),
+names AS (
+  SELECT DISTINCT pattern, CAST('0x' || substr(md5(lower(pattern)), 1, 4) AS INTEGER) AS k
+  FROM (SELECT host AS pattern FROM seen UNION ALL SELECT host || regexp_extract(path, '^(/[^/]*)', 1) FROM seen UNION ALL SELECT host || path FROM seen)
+  WHERE pattern <> ''),
+log(pattern, listed, action, category) AS (VALUES """
+    + ", ".join(f"('{p}', DATE '{d}', '{a}', '{c}')" for p, d, a, c in BLOCK_LIST)
+    + "".join(f"\n  UNION ALL SELECT rtrim(pattern, '/'), DATE '2024-01-01' + CAST(k % 200 + {after} AS INTEGER), '{action}', {category} FROM names WHERE {when}" for action, after, when, category in _RULES)
     + r"""),
+entries AS (SELECT DISTINCT pattern, CAST(epoch(listed) AS BIGINT) AS at, action, category FROM log),
 spans AS (
-  SELECT pattern, category, action, CAST(listed AS BIGINT) AS a,
-         CAST(lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS BIGINT) AS b FROM log),
-seen AS (
-  SELECT page_id, url, 1704067200 + (page_id % 366) * 86400 AS fetched_s,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
-         rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') AS path FROM pages)
+  SELECT pattern, category, a.at AS a, action = 'add' AND NOT EXISTS (
+           SELECT 1 FROM entries r WHERE r.pattern = a.pattern AND r.category = a.category AND r.at = a.at AND r.action = 'remove') AS held,
+         (SELECT min(n.at) FROM entries n WHERE n.pattern = a.pattern AND n.category = a.category AND n.at > a.at) AS b
+  FROM entries a),
+keys AS (
+  SELECT DISTINCT host, path, unnest(list_concat(
+           [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')) + 1)],
+           [host || array_to_string(string_split(path, '/')[1:i], '/') for i in range(2, len(string_split(path, '/')) + 1)])) AS key
+  FROM seen WHERE host <> '')
 SELECT s.page_id, s.url, s.fetched_s, s.host, count(l.pattern) > 0 AS blocked,
        CAST(count(l.pattern) AS BIGINT) AS n_entries, coalesce(string_agg(DISTINCT l.category, ',' ORDER BY l.category), '') AS categories
-FROM seen s LEFT JOIN spans l
-  ON l.action = 'add' AND s.fetched_s >= l.a AND (l.b IS NULL OR s.fetched_s < l.b)
-  AND (s.host = l.pattern OR s.host LIKE '%.' || l.pattern
-       OR (s.host || s.path) = l.pattern OR (s.host || s.path) LIKE l.pattern || '/%')
+FROM seen s LEFT JOIN keys k ON s.host = k.host AND s.path = k.path
+LEFT JOIN spans l ON l.pattern = k.key AND l.held AND s.fetched_s >= l.a AND (l.b IS NULL OR s.fetched_s < l.b)
 GROUP BY ALL
 """
 )
@@ -162,7 +197,11 @@ WITH words AS (
   SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
 grams AS (
   SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+  UNION
+  SELECT 'd', id, array_to_string(w[i:i + n - 1], ' ')
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM words JOIN (SELECT DISTINCT len(w) AS n FROM words WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4) ON len(w) >= n WHERE kind = 'd')),
 sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'i' GROUP BY id),
 shared AS (
   SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k

@@ -14,7 +14,9 @@ DataFrame functions only. The list side is a stored table, which the planner
 broadcasts below its size threshold and deals out by pattern above it. Only
 matching captures are aggregated.
 
-Defined cases: hosts compare in lower case without user, port and trailing dot;
+Defined cases: hosts compare in lower case without user, port and trailing dot, paths as
+they are; blanks before a URL are skipped, a URL may begin with the two slashes, an IPv6
+host keeps its brackets;
 null or hostless URLs and null fetch times match nothing; entries with a null
 pattern, date or action are ignored; a null category is one of its own; of
 entries for one pattern and category at the same time a removal wins and repeats
@@ -30,15 +32,19 @@ from pyspark.sql import functions as F
 from cladespark.llm.common import written
 
 
+#: What may stand before the host: blanks and control characters, and a scheme, which may be missing before the slashes.
+_BEFORE = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+
+
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL, '' if it has none."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The lower-case host of a URL (an IPv6 address with its brackets), '' if it has none."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _BEFORE + r"(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     return F.regexp_replace(host, r"\.+$", "")
 
 
 def path_of(url: Column) -> Column:
     """The path of a URL without slashes at its end, query and fragment."""
-    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), _BEFORE + r"[^/?#]*(/[^?#]*)", 1)
     return F.regexp_replace(path, "/+$", "")
 
 
@@ -55,7 +61,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     ``entries`` has pattern, listed_at, action ('add' or 'remove') and category.
     """
-    rows = entries.select(F.regexp_replace(F.lower("pattern"), "/+$", "").alias("pattern"), F.col("listed_at").cast("timestamp").alias("at"), "action", "category")
+    rows = entries.select(F.regexp_replace(F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.regexp_replace("pattern", "^[^/]*", "")), "/+$", "").alias("pattern"), F.col("listed_at").cast("timestamp").alias("at"), "action", "category")
     rows = rows.filter("pattern is not null and at is not null and action in ('add', 'remove')").distinct()
     later = Window.partitionBy("pattern", "category").orderBy(F.unix_micros("at")).rangeBetween(1, Window.unboundedFollowing)
     removed = F.max((F.col("action") == "remove").cast("int")).over(Window.partitionBy("pattern", "category", "at"))

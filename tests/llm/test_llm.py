@@ -446,7 +446,11 @@ def brute_contained(docs, items):
         w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    own = [(i, grams(t)) for i, t in docs]
+    def short(t):  # n-grams of one to four words, which items of that length are looked for among
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return {tuple(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1)}
+
+    own = [(i, grams(t) | short(t)) for i, t in docs]
     return sorted((d, i, len(g), len(g & s)) for i, t in items if (g := grams(t)) for d, s in own if 5 * len(g & s) >= 4 * len(g))
 
 
@@ -478,12 +482,34 @@ def test_contained_items_equal_brute_force(spark):
     assert contained_items(df, bench.limit(0)).count() == 0 and contained_items(df.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    from cladespark.llm.decontaminate import contained_items
+
+    items = spark.createDataFrame([(1, "The secret answer"), (2, "forty-two"), (3, "xyzzy"), (3, "xyzzy"), (4, "never here at all"), (None, "plugh it")], "item_id long, text string")
+    rows = [(1, "word " * 3000 + "the SECRET, answer! " + "word " * 3000), (2, "the answer is secret"), (3, "forty two xyzzy"), (3, "forty two xyzzy"), (4, "xyzzy"), (None, "so plugh it goes"), (5, None), (6, "")]
+    got = contained_items(spark.createDataFrame(rows, "doc_id long, text string"), items).select("doc", "item_id", "containment").collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([(1, 1, 1.0), (3, 2, 1.0), (3, 2, 1.0), (3, 3, 1.0), (3, 3, 1.0), (4, 3, 1.0), (-(2**63), None, 1.0)], key=str)
+
+
 def test_no_python_in_native_plans(spark):
     from cladespark.llm.decontaminate import contained_items
+    from cladespark.llm.queries import block_list
+    from cladespark.llm.url_filter import url_filter
 
     df = docs_of(spark, ["a b c d e f g"])
-    plan = contained_items(df, df.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.lit("2024-03-01").alias("fetched_at"))
+    for made in (contained_items(df, df.select(F.col("doc_id").alias("item_id"), "text")), url_filter(pages, block_list(spark, pages))):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_url_forms(spark):
+    from cladespark.llm.url_filter import url_filter
+
+    entries = spark.createDataFrame([("bad.com", "2024-01-01", "add", "a"), ("[2001:db8::1]", "2024-01-01", "add", "six"), ("Case.com/Path", "2024-01-01", "add", "p")], "pattern string, listed_at string, action string, category string")
+    cases = [("http://user:p@ss@bad.com/", "a"), (" \thttp://bad.com/", "a"), ("//bad.com/x", "a"), ("http://[2001:DB8::1]:80/x", "six"), ("http://case.COM/Path/q", "p"), ("http://case.com/path", ""), ("http://x/@bad.com", ""), ("bad.com/x", "")]
+    df = spark.createDataFrame([(i, u, "2024-05-01") for i, (u, _) in enumerate(cases)], "page_id long, url string, fetched_at string")
+    assert [r["categories"] for r in sorted(url_filter(df, entries).collect())] == [c for _, c in cases]
 
 
 # -- quality -------------------------------------------------------------------
@@ -509,6 +535,66 @@ def test_quality_keeps_clean_documents(spark):
     assert keep_good(df, lab.limit(0)).count() == 402 and quality(df.limit(0), lab).count() == 0
 
 
+def test_sparse_and_dense_sites_differ_from_the_flat_answer(spark):
+    from cladespark.llm.quality import posteriors, url_levels
+
+    rows = [("dense.bad", "/x", -0.4)] * 400 + [("dense.good", "/x", 0.4)] * 400 + [("dense.good", "/bad", -2.0)] * 200
+    rows += [(f"site{i}.com", "/", 1.0 if i % 5 else -1.0) for i in range(200)] + [("sparse.bad", "/x", -0.4)]
+    df = spark.createDataFrame([(f"https://{h}{p}", llr) for h, p, llr in rows], "url string, llr double")
+    table = {(r["host"], r["path"]): r["prior"] for r in posteriors(url_levels(df, "url"), ["host", "path"], 0.5).collect()}
+    p = [1 / (1 + np.exp(-x)) for *_, x in rows]
+    share = float(np.mean(p))
+    # brute force: moment estimates level by level
+    groups = {}
+    for (h, q, _), x in zip(rows, p):
+        groups.setdefault((h, q), []).append(x)
+    up, want = {}, {}
+    for depth in (1, 2):
+        own = {}
+        for key, xs in groups.items():
+            own.setdefault(key[:depth], []).extend(xs)
+        parent = {k: up.get(k[:-1], share) for k in own}
+        n = sum(map(len, own.values()))
+        between = max(0.0, (sum(len(x) * (np.mean(x) - parent[k]) ** 2 for k, x in own.items()) - sum(np.var(x) for x in own.values())) / n)
+        strength = min(max(share * (1 - share) / between - 1 if between else 1e5, 1.0), 1e5)
+        up = want = {k: (sum(x) + strength * parent[k]) / (len(x) + strength) for k, x in own.items()}
+    assert table.keys() == want.keys() and all(table[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    final = lambda site, llr: llr + np.log(table[site] / (1 - table[site]))
+    weak = 0.3  # weakly good evidence: a dense bad site overrules it, a sparse one doesn't, nor would the flat share
+    assert final(("dense.bad", "/x"), weak) < 0 < final(("sparse.bad", "/x"), weak) and weak + np.log(share / (1 - share)) > 0
+    assert final(("dense.good", "/bad"), weak) < 0 < final(("dense.good", "/x"), -weak)
+
+
+def test_quality_of_ties_repeats_and_long_texts(spark):
+    from cladespark.llm.quality import keep_good, quality
+
+    texts = ["good words in a row. " * 5, "%%% | bad | %%% " * 5] * 30 + ["good words in a row. " * 20_000, None, "", "%%% | bad |"]
+    df = docs_of(spark, texts).withColumn("llr", F.lit(5.0)).withColumn("_good", F.lit(9)).withColumn("_llr", F.lit("z"))
+    df = df.unionByName(df.limit(4))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(60)] + [(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = keep_good(df, labels)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert {r["llr"] for r in rows} == {5.0} and {r["_good"] for r in rows} == {9}
+    assert {i for i in range(60) if i % 2 == 0} | {60} <= {r["doc_id"] for r in rows} and not {r["doc_id"] for r in rows} & {63, *range(1, 60, 2)}
+    scores = {}
+    for r in quality(df, labels).collect():
+        assert scores.setdefault(r["doc_id"], r["quality"]) == r["quality"]
+
+
+def test_clashing_columns_stay(spark):
+    from cladespark.llm.decontaminate import drop_contaminated
+    from cladespark.llm.line_dedup import line_dedup
+    from cladespark.llm.ngram_jaccard import keep_one
+
+    names = ["_k_doc", "_k_row", "_h_doc", "_h_row", "_c_doc", "_c_row", "_b_doc", "_b_row", "_lost", "_keep", "_d_doc", "_d_row", "component", "doc", "keep"]
+    df = spark.createDataFrame([(i, f"text {i} a b c", *range(len(names))) for i in range(3)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(1, "text 2 a b c")], "item_id long, text string")
+    for made, n in ((line_dedup(df).drop("_n_lines", "_n_dropped"), 3), (keep_one(df), 3), (drop_contaminated(df, items), 2)):
+        rows = made.collect()
+        assert made.columns == df.columns and len(rows) == n and all(tuple(r)[2:] == tuple(range(len(names))) for r in rows)
+
+
 # -- components, pipeline --------------------------------------------------------
 
 
