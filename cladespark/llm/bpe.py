@@ -5,7 +5,8 @@ of that pair joined with its place, so the root is the leftmost pair of lowest
 rank. Nodes have 16 children, so a word of up to 17 symbols is one node. A
 merge changes three leaves, each a logarithmic update; the word is done when
 the root has no rank. Texts are normalized and cut into words the
-way the vocabulary file prescribes; ids of words met before come from a
+way the vocabulary file prescribes, and a file that prescribes anything else is
+refused; ids of words met before come from a
 bounded cache in each worker.
 
 Defined cases: a null text is the empty text and gives no ids; special tokens
@@ -28,14 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import sliced
+from cladespark.llm.common import give_back, sliced
 
 #: No pair to merge.
 NONE = 1 << 62
 #: Children of a node of the segment tree; the pairs of most words fit below one root.
 FAN = 16
 #: Cached chunks and words in each worker; a full cache is emptied, results don't depend on it.
-CACHE = 600_000
+CACHE = 250_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -45,12 +46,32 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def check_supported(spec: dict) -> None:
+    """ValueError if a file asks for anything that this encoder doesn't do."""
+    parts = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in parts(spec.get("normalizer"), "normalizers")]
+    # fixed values: composition, runs of white space to one space, lower case
+    if steps != [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]:
+        raise ValueError(f"normalizer not supported: {steps}")
+    cuts = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    if [x["type"] for x in cuts] != ["Split", "ByteLevel"] or (cuts[0]["behavior"], cuts[0]["invert"]) != ("Removed", True) or cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"):
+        raise ValueError(f"pre-tokenizer not supported: {cuts}")
+    if spec.get("decoder") is not None or spec.get("post_processor") is not None:
+        raise ValueError("decoders and post-processors are not supported")
+    model = spec["model"]
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain BPE models are supported")
+    if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with rules of their own are not supported")
+
+
 class SegmentTreeBpe:
     """A word-level BPE model read from a ``tokenizers`` JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -149,7 +170,7 @@ class SegmentTreeBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
-        if self.special_re is None or "<" not in text:
+        if not any(x in text for x in self.special):
             return np.frombuffer(self._plain(text), np.int32)
         parts, at = [], 0
         for m in self.special_re.finditer(text):
@@ -185,9 +206,7 @@ def _release_when_idle() -> None:
     global _timer
 
     def clear() -> None:
-        for model in _MODELS.values():
-            model.words.clear()
-            model.chunks.clear()
+        give_back(*(cache for model in _MODELS.values() for cache in (model.words, model.chunks)))
 
     _in_use()
     _timer = threading.Timer(IDLE, clear)

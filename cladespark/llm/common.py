@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +22,20 @@ ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, as ``spark.checkpoint.dir`` names it; one of our own only where that is unset."""
+    """The folder the cluster shares, as ``spark.checkpoint.dir`` names it. A local session without one gets a folder of its own; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
-    return found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        found = _own_folder()
+    return found.rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="cladespark-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,9 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     without running the plan again, and gives the planner true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cladespark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{shared_dir(spark)}/cladespark-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # gone when the driver's JVM ends
+    return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -71,6 +86,14 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, megabytes: float
             yield batch.slice(start, step)
 
 
+def give_back(*caches) -> None:
+    """Empty a worker's caches and return free memory to the system: workers outlive their tasks and share an executor with its JVM."""
+    for cache in caches:
+        cache.clear()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null ids count as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

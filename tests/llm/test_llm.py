@@ -123,6 +123,25 @@ def test_bpe_merges_like_a_plain_loop():
         assert model.merge(s) == plain(s)
 
 
+def test_bpe_refuses_what_it_does_not_do(tmp_path):
+    import json
+
+    with open(word_bpe_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    changes = [("normalizer", {"type": "NFKC"}), ("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("post_processor", {"type": "ByteLevel"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", spec["model"] | {"byte_fallback": True}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])]
+    for key, value in changes:
+        (tmp_path / "t.json").write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match="support"):
+            bpe_module.SegmentTreeBpe(str(tmp_path / "t.json"))
+
+
+def test_bpe_of_nothing_and_of_null_ids(spark):
+    df = docs_of(spark, ["one two", None])
+    rows = bpe_module.encode(df.withColumn("doc_id", F.lit(None).cast("long")), word_bpe_path(), round_trip=True).collect()
+    assert sorted(len(r["ids"]) for r in rows) == [0, 2] and all(r["doc_id"] is None for r in rows)
+    assert bpe_module.encode(df.limit(0), word_bpe_path()).count() == 0
+
+
 # -- n-gram Jaccard ------------------------------------------------------------
 
 
@@ -284,6 +303,62 @@ def test_lm_keeps_every_context_that_passes(spark):
     assert sum(map(len, want.values())) > 12_000
 
 
+def test_lm_of_null_and_repeated_ids(spark):
+    from cladespark.llm.suffix_tree_lm import score_corpus
+
+    rows = [(None, "the cat sat"), (None, None), (3, "the cat sat"), (3, "the cat sat"), (3, "on a mat"), (4, "the cat")]
+    got = score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and len({(r["score"], r["base_score"]) for r in got if r["n_tokens"] == 4 and r["doc_id"] == 3}) == 2
+    assert all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 1) for r in got)
+
+
+def test_lm_score_equals_a_plain_tree(spark):
+    """Counts, divergence test, smoothing and longest suffix by dictionaries over every context of the training text."""
+    import math
+    from collections import Counter
+
+    from cladespark.llm.suffix_tree_lm import DEPTH, END, LEAST, PAD, PENALTY, log10_probability, tokens, train
+
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "that", "hat"]) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    spelled = [bytes([PAD]) * DEPTH + b" ".join(tokens(t)) + bytes([END]) for t in texts]
+    counts = {k: Counter() for k in range(DEPTH + 1)}
+    for data in spelled:
+        for at in range(DEPTH, len(data)):
+            for k in range(DEPTH + 1):
+                counts[k][data[at - k : at], data[at]] += 1
+    nexts = {k: {} for k in range(DEPTH + 1)}
+    for k, own in counts.items():
+        for (ctx, sym), n in own.items():
+            nexts[k].setdefault(ctx, {})[sym] = n
+    kept = set()
+    for k in range(1, DEPTH + 1):
+        for ctx, own in nexts[k].items():
+            n, up = sum(own.values()), nexts[k - 1][ctx[1:]]
+            gain = sum(c * math.log(c / n / (up[s] / sum(up.values()))) for s, c in own.items())
+            if n >= LEAST and gain > PENALTY * len(own):
+                kept |= {ctx[j:] for j in range(k)}
+
+    def p(ctx, sym):
+        if not ctx:
+            own, below = nexts[0][b""], 1 / 256
+        else:
+            own, below = nexts[len(ctx)][ctx], p(ctx[1:], sym)
+        n, kinds = sum(own.values()), len(own)
+        return (own.get(sym, 0) + kinds * below) / (n + kinds)
+
+    def score(text):
+        data, total = bytes([PAD]) * DEPTH + b" ".join(tokens(text)) + bytes([END]), 0.0
+        for at in range(DEPTH, len(data)):
+            ctx = next(c for k in range(DEPTH, -1, -1) if (c := data[at - k : at]) in kept or not k)
+            total += math.log10(p(ctx, data[at]))
+        return total
+
+    model = train(docs_of(spark, texts))
+    tests = [*texts[:20], "", "unseen words Here", "the cat sat on the mat " * 5]
+    assert log10_probability(dict(model), [tokens(t) for t in tests]) == pytest.approx([score(t) for t in tests], rel=1e-5)
+
+
 # -- embeddings ----------------------------------------------------------------
 
 
@@ -357,6 +432,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity(df, lab.limit(0)).collect()} == {0}
 
 
+def test_toxicity_of_repeated_ids_and_long_texts(spark):
+    from cladespark.llm.toxicity import Hasher, toxicity
+
+    bad, good = "you vile horrid thing", "a calm and pleasant day"
+    rows = [(i, bad if i % 3 == 0 else good) for i in range(300)] + [(1, good), (1, bad), (400, "word " * 200_000 + bad), (400, "word " * 200_000 + bad), (None, bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(2, 0), (2, 0)], "doc_id long, toxic int")
+    first = {(r["doc_id"], r["held_out"]): r["score"] for r in toxicity(df, labels).collect() if r["doc_id"] not in (None, 1)}
+    again = {(r["doc_id"], r["held_out"]): r["score"] for r in toxicity(df.repartition(7), labels).collect() if r["doc_id"] not in (None, 1)}
+    assert first == again and all((s >= 0.5) == (i % 3 == 0) for (i, _), s in first.items() if i < 300)
+    hasher = Hasher()
+    assert len(hasher("हिन्दी भाषा")) == len(hasher("two words")) == 3 and len(hasher("!!! ...")) == 0
+
+
 # -- HTML ----------------------------------------------------------------------
 
 
