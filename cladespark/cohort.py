@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spellings of roles in cohort files (fixed values).
 TARGET_WORDS = ("target", "targets", "case", "cases")
-OFF_TARGET_WORDS = ("off_target", "off_targets", "offtarget", "offtargets", "background", "control", "controls")
+OFF_TARGET_WORDS = ("off_target", "off_targets", "offtarget", "offtargets", "background", "backgrounds", "comparison", "comparisons", "control", "controls")
 IGNORED_WORDS = ("ignored", "ignore", "exclude", "excluded")
+#: Accepted names of the two columns of a cohort table, best first (fixed values).
+SAMPLE_COLUMNS = ("sample_id", "sample", "sample_name")
+ROLE_COLUMNS = ("cohort_role", "role", "group")
 
 
 class CohortError(ValueError):
@@ -38,7 +41,6 @@ class Cohort:
     targets: tuple[str, ...]
     off_targets: tuple[str, ...]
     ignored: tuple[str, ...] = ()
-    metadata: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.targets or not self.off_targets:
@@ -78,7 +80,9 @@ def inferred_groups(samples, targets, off_targets=None, ignored=()) -> dict[str,
 
 def read_cohort(path: str) -> Cohort:
     """A cohort from TSV (a sample and a role column) or YAML (lists by role)."""
-    if path.endswith((".yaml", ".yml")):
+    if not path.lower().endswith((".yaml", ".yml", ".tsv")):
+        raise ValueError(f"a cohort file is .tsv, .yaml or .yml, not {path}")
+    if path.lower().endswith((".yaml", ".yml")):
         import yaml
 
         with open(path, encoding="utf-8") as f:
@@ -95,17 +99,18 @@ def read_cohort(path: str) -> Cohort:
     with open(path, encoding="utf-8", newline="") as f:
         rows = list(csv.DictReader((x for x in f if not x.startswith("#")), delimiter="\t"))
     names = rows[0].keys() if rows else ()
-    sample = next((c for c in ("sample_id", "sample", "sample_name") if c in names), None)
-    role = next((c for c in ("cohort_role", "role", "group") if c in names), None)
+    sample = next((c for c in SAMPLE_COLUMNS if c in names), None)
+    role = next((c for c in ROLE_COLUMNS if c in names), None)
     if sample is None or role is None:
         raise CohortError("a cohort table needs a sample column and a role column")
     groups = {"target": [], "off_target": [], "ignored": []}
     for row in rows:
-        groups[role_of(row[role])].append(row[sample])
+        if (row[sample] or "").strip():
+            groups[role_of(row[role] or "")].append(row[sample])
     return Cohort.of(groups["target"], groups["off_target"], groups["ignored"])
 
 
 def read_sample_list(path: str) -> tuple[str, ...]:
-    """One sample a line; # starts a comment line."""
+    """The first word of each line; lines that begin with # and blank ones are skipped."""
     with open(path, encoding="utf-8") as f:
-        return unique(x for x in f if not x.startswith("#"))
+        return unique(x.split()[0] for x in f if x.strip() and not x.strip().startswith("#"))

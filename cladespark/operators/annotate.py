@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.operators.intervals import best, range_join
+from cladespark.operators.intervals import best, nearest, range_join
 from cladespark.operators.scaffold import dense
 
 CLASSES = ("CDS", "UTR", "exon", "intronic", "intergenic")
@@ -48,12 +48,10 @@ def annotation_summary(annotated: DataFrame) -> DataFrame:
     return out.select("annotation_class", "n_loci", F.when(F.col("_total") > 0, 100 * F.col("n_loci") / F.col("_total")).otherwise(0.0).alias("pct_total"))
 
 
-def nearest_gene(loci: DataFrame, genes: DataFrame, reach: int = 1_000_000, width: int = 262_144) -> DataFrame:
-    """The nearest gene within ``reach``, ties to the least (start, end, name); closed 1-based distance, 0 inside."""
-    pairs = range_join(_left(loci), _right(genes, F.col("gene_id")), width, reach)
-    gap = F.greatest(F.lit(0), F.col("b_start") - (F.col("a_end") - 1), F.col("a_start") - (F.col("b_end") - 1))
-    near = best(pairs.withColumn("distance", gap), ["a_ord"], "distance", "b_start", "b_end", "gene_id")
-    return loci.join(near.select(F.col("a_ord").alias("ord"), "gene_id", "distance"), "ord", "left")
+def nearest_gene(loci: DataFrame, genes: DataFrame) -> DataFrame:
+    """The nearest gene on the contig, however far, ties to the least (start, end, name); closed 1-based distance, 0 inside."""
+    near = nearest(_left(loci), _right(genes, F.col("gene_id")), "gene_id")
+    return loci.join(near.withColumnRenamed("a_ord", "ord"), "ord", "left")
 
 
 def feature_counts(features: DataFrame, sites: DataFrame, width: int = 16_384) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +14,39 @@ from pyspark.sql import Window
 
 
 def shared_folder(spark) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``), one of our own only where it is unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). A local session without one gets a folder of its own; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        found = _own_folder()
     return found.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="cladespark-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/cladespark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The copies go when the session's Python process ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/cladespark-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    _delete_at_exit(spark, root)
+    return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+
+def _delete_at_exit(spark, path: str) -> None:
+    """The file system deletes the path when the driver's JVM ends."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def global_row_number(df: DataFrame, column: str, *order, start: int = 0) -> DataFrame:

@@ -22,10 +22,6 @@ def category(present: Column, size: Column) -> Column:
     return F.when(present == 0, "absent").when(present == size, "core").when(present == 1, "private").otherwise("accessory")
 
 
-def group_bridge(spark, groups: dict[str, tuple[str, ...]]) -> DataFrame:
-    return spark.createDataFrame([(g, s) for g, names in groups.items() for s in names], "grp string, sample string")
-
-
 def feature_group_counts(features: DataFrame, presence: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
     """(feature_id, length_bp, grp, present_n): one partial-aggregating shuffle over presence, dense over groups."""
     flags = [F.count_if(F.col("sample").isin(*names)).alias(g) for g, names in groups.items()]
@@ -74,18 +70,28 @@ def permutations(groups: dict[str, tuple[str, ...]], trials: int, seed: int) ->
 def growth_curves(features: DataFrame, presence: DataFrame, groups: dict[str, tuple[str, ...]], trials: int = 100, seed: int = 42) -> DataFrame:
     """Per group, trial and number of samples n: features and base pairs met so far, new ones and those in just one sample.
 
-    Per (trial, feature) only the two lowest places matter: a feature is met
-    from the first on and is a singleton until the second. So each feature gives
-    two events and the curves are running sums, without a pass per n.
+    Features carried by the same samples behave alike in every trial, so they are
+    summed by presence pattern first; the trials meet patterns, not features.
+    Per (trial, pattern) only the two lowest places matter: a feature is met
+    from the first on and is a singleton until the second. The curves are
+    running sums of those two events, without a pass per n.
     """
     spark = features.sparkSession
-    # as many rows as samples x trials x groups
-    places = spark.createDataFrame(permutations(groups, trials, seed), "grp string, trial int, sample string, place int")
-    met = presence.distinct().join(F.broadcast(places), "sample").groupBy("grp", "trial", "feature_id").agg(F.min("place").alias("p1"), F.sort_array(F.collect_set("place")).alias("all"))
-    met = met.select("grp", "trial", "feature_id", "p1", F.expr("try_element_at(all, 2)").alias("p2")).join(features.select("feature_id", "length_bp"), "feature_id")
-    first = met.groupBy("grp", "trial", F.col("p1").alias("n")).agg(F.count("*").alias("new_features"), F.sum("length_bp").alias("new_bp"))
-    second = met.filter("p2 is not null").groupBy("grp", "trial", F.col("p2").alias("n")).agg(F.count("*").alias("ended"))
-    frame = places.select("grp", "trial", F.col("place").alias("n"))
+    names = sorted({s for own in groups.values() for s in own})
+    index = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)])
+    carriers = presence.filter(F.col("sample").isin(*names)).select("feature_id", index[F.col("sample")].alias("k")).distinct().groupBy("feature_id").agg(F.sort_array(F.collect_set("k")).alias("pattern"))
+    patterns = carriers.join(features.select("feature_id", "length_bp"), "feature_id").groupBy("pattern").agg(F.count("*").alias("features"), F.sum("length_bp").alias("bp"))
+    # one row per group and trial: the place of each sample, null outside the group
+    shuffles: dict[tuple[str, int], list[int | None]] = {}
+    for g, trial, sample, place in permutations(groups, trials, seed):
+        shuffles.setdefault((g, trial), [None] * len(names))[names.index(sample)] = place
+    orders = spark.createDataFrame([(g, t, own) for (g, t), own in shuffles.items()], "grp string, trial int, places array<int>")
+    met = patterns.crossJoin(F.broadcast(orders))  # groups x trials rows, parameters of the call
+    met = met.withColumn("at", F.array_sort(F.array_compact(F.transform("pattern", lambda k: F.get("places", k)))))
+    met = met.select("grp", "trial", "features", "bp", F.get("at", F.lit(0)).alias("p1"), F.get("at", F.lit(1)).alias("p2")).filter("p1 is not null")
+    first = met.groupBy("grp", "trial", F.col("p1").alias("n")).agg(F.sum("features").alias("new_features"), F.sum("bp").alias("new_bp"))
+    second = met.filter("p2 is not null").groupBy("grp", "trial", F.col("p2").alias("n")).agg(F.sum("features").alias("ended"))
+    frame = orders.select("grp", "trial", F.explode(F.array_compact("places")).alias("n"))
     rows = frame.join(first, ["grp", "trial", "n"], "left").join(second, ["grp", "trial", "n"], "left").na.fill(0)
     w = Window.partitionBy("grp", "trial").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("grp", "trial", "n", F.sum("new_features").over(w).alias("features"), F.sum("new_bp").over(w).alias("bp"), "new_features", "new_bp", (F.sum("new_features").over(w) - F.sum("ended").over(w)).alias("singletons"))

@@ -14,8 +14,3 @@ def dense(df: DataFrame, values: dict[str, list], fill: dict) -> DataFrame:
         one = df.sparkSession.createDataFrame([(v,) for v in items], f"{column} {kind.simpleString()}")
         frame = one if frame is None else frame.crossJoin(one)  # products of literals, a handful of rows
     return frame.join(df, list(values), "left").na.fill(fill)
-
-
-def dense_range(df: DataFrame, column: str, low: int, high: int, fill: dict) -> DataFrame:
-    """Every integer from low to high, with zeros where ``df`` has no row."""
-    return df.sparkSession.range(low, high + 1).select(F.col("id").cast(df.schema[column].dataType).alias(column)).join(df, column, "left").na.fill(fill)

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladespark.operators.intervals import STRETCH, carried, stretched
 
-def record_index(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Adds i, the 0-based number of each row within its keys, and n, the number of rows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
+
+def record_index(df: DataFrame, keys: list[str], order: str, width: int = STRETCH) -> DataFrame:
+    """Adds i, the 0-based number of each row within its keys by ``order`` (a number), and n, the number of rows.
+
+    Rows are numbered within stretches of ``order`` and the counts of the stretches
+    before are added, so a contig isn't one task.
+    """
+    rows = stretched(df, order, width)
+    rows = carried(rows, keys, [order], _before=(F.count("*"), "sum"), n=(F.count("*"), "total"))
+    w = Window.partitionBy(*keys, "_s").orderBy(order)
+    return rows.withColumn("i", F.row_number().over(w) - 1 + F.coalesce("_before", F.lit(0))).drop("_s", "_before")
 
 
 def window_range(size: int, step: int, i: str = "i", n: str = "n") -> tuple:
@@ -44,14 +52,18 @@ def pane_windows(panes: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def bp_windows(df: DataFrame, size: int, step: int, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """One row for each (row, window it overlaps) on a grid anchored at the least start; only windows with rows are numbered (``w``)."""
-    base = df.groupBy(*keys).agg(F.min("start").alias("_base"))
+    """One row for each (row, window it overlaps) on a grid anchored at the least start; only windows with rows are numbered (``w``).
+
+    The first window that reaches the greatest end is the last.
+    """
+    base = df.groupBy(*keys).agg(F.min("start").alias("_base"), F.max("end").alias("_far"))
     rows = df.join(base, list(keys))
+    last = F.greatest(F.ceil((F.col("_far") - F.col("_base") - size) / step).cast("long"), F.lit(0))
     low = F.greatest(F.floor((F.col("start") - F.col("_base") - size) / step).cast("long") + 1, F.lit(0))
-    high = F.floor((F.col("end") - 1 - F.col("_base")) / step).cast("long")
-    rows = rows.withColumns({"_lo": low, "_hi": F.greatest(high, low)}).withColumn("_grid", F.explode(F.sequence("_lo", "_hi")))
+    high = F.least(F.floor((F.col("end") - 1 - F.col("_base")) / step).cast("long"), last)
+    rows = rows.withColumns({"_lo": low, "_hi": high}).filter("_lo <= _hi").withColumn("_grid", F.explode(F.sequence("_lo", "_hi")))
     at = F.col("_base") + F.col("_grid") * step
     rows = rows.filter((F.col("start") < at + size) & (F.col("end") > at))
     # grid numbers are few against rows: number them apart, then join
     numbers = rows.select(*keys, "_grid").distinct().withColumn("w", F.row_number().over(Window.partitionBy(*keys).orderBy("_grid")) - 1)
-    return rows.join(numbers, [*keys, "_grid"]).drop("_base", "_lo", "_hi", "_grid")
+    return rows.join(numbers, [*keys, "_grid"]).drop("_base", "_far", "_lo", "_hi", "_grid")

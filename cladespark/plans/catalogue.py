@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from cladespark.operators import annotate as ann
 from cladespark.operators import compare as cmp
 from cladespark.operators import kernel, landscape, pangenome
-from cladespark.operators.intervals import best, consecutive_runs, gaps_between, matching, merge_loci, range_join, region_rollup, union_of_intervals
-from cladespark.operators.scaffold import dense
+from cladespark.operators.intervals import consecutive_runs, gaps_between, matching, merge_loci, region_rollup, union_of_intervals
 from cladespark.operators.windows import bp_windows
 from cladespark.plans.driver_tables import COHORT, GROUPS, calls, events, genotypes, items, loci, table, with_sql
 
@@ -17,6 +16,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _COUNTS = ["target_support_n", "target_total_n", "offtarget_support_n", "offtarget_total_n", "target_missing_n", "offtarget_missing_n"]
 _SUMS = list(landscape.SUMS)
+_RATES = ("het", "nonref", "minor_genotype", "rare_alt", "private_alt")
 
 
 def query(ctes: str | None = None, sql: str | None = None):
@@ -51,13 +51,6 @@ def sides(spark, sf):
 # -- discovery kernel ------------------------------------------------------------
 
 
-@query("items", "SELECT locus_key, sample, l_returnflag AS allele, CAST(count(*) AS BIGINT) AS n FROM items GROUP BY ALL")
-def allele_explode(spark, sf):
-    """One row per allele of each cell: alleles gathered as an array, then exploded."""
-    cells = items(spark, sf).groupBy("locus_key", "sample").agg(F.collect_list("l_returnflag").alias("alleles"))
-    return cells.select("locus_key", "sample", F.explode("alleles").alias("allele")).groupBy("locus_key", "sample", "allele").agg(F.count("*").alias("n"))
-
-
 @query("counts", "SELECT * FROM counts")
 def cohort_counts(spark, sf):
     return kernel.cohort_counts(calls(spark, sf), COHORT)
@@ -83,31 +76,12 @@ def topk_hits(spark, sf):
     return kernel.top(hits(spark, sf), 20).select("rank", "locus_key", "final_score")
 
 
-@query("hits", "SELECT printf('PPX%08d', row_number() OVER (ORDER BY ord) - 1) AS locus_id, locus_key FROM hits")
+@query("hits", "SELECT printf('PPX%08d', row_number() OVER (ORDER BY ord)) AS locus_id, locus_key FROM hits")
 def locus_ids(spark, sf):
-    rows = kernel.numbered(hits(spark, sf).select("locus_key", "ord"), "n", F.col("ord").asc())
-    return rows.select(F.format_string("PPX%08d", "n").alias("locus_id"), "locus_key")
-
+    from cladespark.scan import with_ids
 
-@query("hits calls", "SELECT h.locus_key, s.sample, CASE WHEN s.sample IN ('0', '1') THEN 'target' ELSE 'off_target' END AS cohort_role, CASE WHEN c.carry IS NULL THEN 'uninformative' WHEN s.sample IN ('0', '1') THEN CASE WHEN c.carry THEN 'support' ELSE 'absence' END ELSE CASE WHEN c.carry THEN 'contradiction' ELSE 'absence' END END AS evidence_class FROM hits h CROSS JOIN (VALUES ('0'), ('1'), ('2'), ('3'), ('4')) s(sample) LEFT JOIN calls c ON c.locus_key = h.locus_key AND c.sample = s.sample")
-def sample_support(spark, sf):
-    """Every hit with every cohort sample: samples come from a literal array, so there is no product join."""
-    wide = hits(spark, sf).select("locus_key", F.explode(F.array(*[F.lit(s) for s in GROUPS["full"]])).alias("sample"))
-    rows = wide.join(calls(spark, sf), ["locus_key", "sample"], "left")
-    target = F.col("sample").isin(*COHORT.targets)
-    kind = F.when(F.col("state").isNull(), "uninformative").when(F.col("state") == "absent", "absence").when(target, "support").otherwise("contradiction")
-    return rows.select("locus_key", "sample", F.when(target, "target").otherwise("off_target").alias("cohort_role"), kind.alias("evidence_class"))
-
-
-@query("hits calls", "SELECT 'vcf' AS source_type, h.locus_key, c.sample, CASE WHEN c.carry THEN 'support' ELSE 'absence' END AS evidence_class FROM hits h JOIN calls c USING (locus_key) UNION ALL SELECT 'bam', h.locus_key, i.sample, CASE WHEN count(*) < 2 THEN 'uninformative' WHEN count(*) FILTER (WHERE l_returnflag = 'R') / count(*) >= 0.2 THEN CASE WHEN i.sample IN ('0', '1') THEN 'support' ELSE 'contradiction' END ELSE CASE WHEN i.sample IN ('0', '1') THEN 'ambiguous' ELSE 'absence' END END FROM hits h JOIN items i USING (locus_key) GROUP BY h.locus_key, i.sample")
-def evidence_union(spark, sf):
-    """Genotype evidence and read evidence, one below the other; line items stand for reads."""
-    own = hits(spark, sf).select("locus_key")
-    vcf = own.join(calls(spark, sf), "locus_key").select(F.lit("vcf").alias("source_type"), "locus_key", "sample", F.when(F.col("state") == "carry", "support").otherwise("absence").alias("evidence_class"))
-    depth = own.join(items(spark, sf), "locus_key").groupBy("locus_key", "sample").agg(F.count("*").alias("depth"), F.count_if(F.col("l_returnflag") == "R").alias("alt"))
-    target = F.col("sample").isin(*COHORT.targets)
-    kind = F.when(F.col("depth") < 2, "uninformative").when(F.col("alt") / F.col("depth") >= 0.2, F.when(target, "support").otherwise("contradiction")).otherwise(F.when(target, "ambiguous").otherwise("absence"))
-    return vcf.unionByName(depth.select(F.lit("bam").alias("source_type"), "locus_key", "sample", kind.alias("evidence_class")))
+    rows = hits(spark, sf).select("locus_key", F.col("ord").alias("place"))
+    return with_ids(rows, "PPX", F.col("place").asc()).select("locus_id", "locus_key")
 
 
 @query("graded", "SELECT 'alleles_evaluated' AS metric, CAST(count(*) AS BIGINT) AS value FROM graded UNION ALL SELECT 'alleles_passed', count(*) FILTER (WHERE pattern_pass) FROM graded UNION ALL SELECT 'alleles_contradicted', count(*) FILTER (WHERE strictness_class = 'contradicted') FROM graded UNION ALL SELECT 'strictness_' || strictness_class, count(*) FROM graded WHERE pattern_pass GROUP BY strictness_class")
@@ -171,26 +145,11 @@ def coverage_semi_join(spark, sf):
     return matching(left, right, "locus_id").select("locus_id")
 
 
-@query("calls loci", """SELECT locus_key, CAST(count(*) FILTER (WHERE carry AND sample IN ('0', '1')) AS BIGINT) AS target_traverse_n, CAST(count(*) FILTER (WHERE sample IN ('0', '1')) AS BIGINT) AS target_covered_n,
-CAST(count(*) FILTER (WHERE carry AND sample NOT IN ('0', '1')) AS BIGINT) AS offtarget_traverse_n, CAST(count(*) FILTER (WHERE sample NOT IN ('0', '1')) AS BIGINT) AS offtarget_covered_n,
-CASE WHEN any_value("end" - start) <= 0 THEN 'unknown' WHEN any_value("end" - start) = 1 THEN 'snp_like' WHEN any_value("end" - start) < 50 THEN 'small_indel_like' WHEN any_value("end" - start) < 1000 THEN 'sv_like' ELSE 'large_sv_like' END AS segment_length_class
-FROM calls JOIN loci USING (locus_key) GROUP BY locus_key HAVING count(*) FILTER (WHERE carry AND sample IN ('0', '1')) > 0""")
-def graph_segment_counts(spark, sf):
-    """Parts as segments: only those that some target traverses are evaluated."""
-    from cladespark.scan import segment_length_class
-
-    c = calls(spark, sf)
-    target, carry = F.col("sample").isin(*COHORT.targets), F.col("state") == "carry"
-    counts = c.groupBy("locus_key").agg(F.count_if(target & carry).alias("target_traverse_n"), F.count_if(target).alias("target_covered_n"), F.count_if(~target & carry).alias("offtarget_traverse_n"), F.count_if(~target).alias("offtarget_covered_n"))
-    rows = counts.filter("target_traverse_n > 0").join(loci(spark, sf).select("locus_key", (F.col("end") - F.col("start")).alias("len")), "locus_key")
-    return rows.withColumn("segment_length_class", segment_length_class(F.col("len"))).drop("len")
-
-
 # -- compare -----------------------------------------------------------------------
 
 
 def _compare_sql(passes: str, score: str, tail: str) -> str:
-    return f"""WITH RECURSIVE_DUMMY AS (SELECT 1), {{EV}},
+    return f"""WITH {{EV}},
 p AS (SELECT a.locus_id AS locus_id_a, b.locus_id AS locus_id_b, a.ord AS a_ord, b.ord AS b_ord, a.contig, a.start AS sa, a."end" AS ea, b.start AS sb, b."end" AS eb, a.strictness_class AS ca, b.strictness_class AS cb, b.final_score AS score_b,
  greatest(0, least(a."end", b."end") - greatest(a.start, b.start)) AS bp, greatest(0, greatest(a.start, b.start) - least(a."end", b."end")) AS dist FROM ev a JOIN ev b ON a.side = 0 AND b.side = 1 AND a.contig = b.contig AND b.start <= a."end" + 200 AND b."end" >= a.start - 200),
 q AS (SELECT *, CASE WHEN bp > 0 THEN bp / (greatest(ea, eb) - least(sa, sb)) ELSE 0 END AS reciprocal, CASE WHEN bp > 0 THEN least(1, greatest(bp / (ea - sa), bp / (eb - sb))) ELSE 0 END AS containment FROM p),
@@ -207,13 +166,14 @@ def _ev(sql: str) -> str:
     return sql.replace("{EV}", SQL["ev"])
 
 
-_PAIR_TAIL = "SELECT locus_id_a, locus_id_b, CAST(overlap AS DOUBLE) AS overlap, method, match_class FROM m"
+_SCORE = "round(CASE match_class WHEN 'supported' THEN 1.0::DOUBLE * greatest(overlap, 0.01::DOUBLE) WHEN 'partially_supported' THEN 0.5::DOUBLE * greatest(overlap, 0.01::DOUBLE) WHEN 'source_specific' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END, 4)"
+_PAIR_TAIL = f"SELECT locus_id_a, locus_id_b, CAST(overlap AS DOUBLE) AS overlap, method, match_class, {_SCORE} AS comparison_score FROM m"
 
 
 def _pairs(mode: str):
     def run(spark, sf):
         a, b = sides(spark, sf)
-        return cmp.matches(a, b, cmp.CompareRules(overlap_mode=mode)).select("locus_id_a", "locus_id_b", "overlap", "method", "match_class")
+        return cmp.matches(a, b, cmp.CompareRules(overlap_mode=mode)).select("locus_id_a", "locus_id_b", "overlap", "method", "match_class", "comparison_score")
 
     return run
 
@@ -239,23 +199,23 @@ def compare_unmatched(spark, sf):
     return cmp.compare(a, b).filter("match_class = 'source_specific'").select("locus_id_a", "locus_id_b", "match_class")
 
 
-@query(None, _ev(_compare_sql("containment >= 0.5", "containment", f""", z AS (SELECT match_class FROM m UNION ALL SELECT match_class FROM ({_ALONE}))
-SELECT c.match_class, CAST(count(z.match_class) AS BIGINT) AS n_loci FROM (VALUES ('supported'), ('partially_supported'), ('contradicted'), ('source_specific'), ('uninformative'), ('novel')) c(match_class) LEFT JOIN z USING (match_class) GROUP BY ALL""")))
+@query(None, _ev(_compare_sql("containment >= 0.5", "containment", f""", z AS (SELECT match_class, overlap FROM m UNION ALL SELECT match_class, NULL FROM ({_ALONE}))
+SELECT c.match_class, CAST(count(z.match_class) AS BIGINT) AS n_loci, round(100.0::DOUBLE * count(z.match_class) / (SELECT count(*) FROM z), 6) AS pct_total, round(avg(overlap), 3) AS mean_overlap FROM (VALUES ('supported'), ('partially_supported'), ('contradicted'), ('source_specific'), ('uninformative'), ('novel')) c(match_class) LEFT JOIN z USING (match_class) GROUP BY ALL""")))
 def compare_summary(spark, sf):
     a, b = sides(spark, sf)
-    return cmp.summary(cmp.compare(a, b)).select("match_class", "n_loci")
+    return cmp.summary(cmp.compare(a, b)).select("match_class", "n_loci", F.round("pct_total", 6).alias("pct_total"), F.round("mean_overlap", 3).alias("mean_overlap"))
 
 
 # -- annotation and export -------------------------------------------------------------
 
-_GENES = """, genes AS (SELECT locus_id AS gene_id, contig, start, "end" + 300 AS "end", ord FROM ev WHERE ord % 20 = 0), parts AS (SELECT contig, start, "end", CASE ord % 3 WHEN 0 THEN 'CDS' WHEN 1 THEN 'three_prime_UTR' ELSE 'exon' END AS type FROM ev WHERE ord % 10 = 5), q AS (SELECT * FROM ev WHERE ord % 4 = 1)"""
+_GENES = """, genes AS (SELECT locus_id AS gene_id, contig, start, "end" + 300 AS "end", ord FROM ev WHERE side = 1), parts AS (SELECT contig, start, "end", CASE ord % 3 WHEN 0 THEN 'CDS' WHEN 1 THEN 'three_prime_UTR' ELSE 'exon' END AS type FROM ev WHERE side = 1), q AS (SELECT * FROM ev WHERE side = 0)"""
 
 
 def _annotated(spark, sf):
-    e = events(spark, sf)
-    genes = e.filter("ord % 20 = 0").select(F.col("locus_id").alias("gene_id"), "contig", "start", (F.col("end") + 300).alias("end"), F.lit("+").alias("strand"), "ord")
-    parts = e.filter("ord % 10 = 5").select("contig", "start", "end", F.expr("case ord % 3 when 0 then 'CDS' when 1 then 'three_prime_UTR' else 'exon' end").alias("type"))
-    return e.filter("ord % 4 = 1"), genes, parts
+    """Every event: those of side 0 are the loci, those of side 1 the genes and their parts."""
+    a, b = sides(spark, sf)
+    genes = b.select(F.col("locus_id").alias("gene_id"), "contig", "start", (F.col("end") + 300).alias("end"), F.lit("+").alias("strand"), "ord")
+    return a, genes, b.select("contig", "start", "end", F.expr("case ord % 3 when 0 then 'CDS' when 1 then 'three_prime_UTR' else 'exon' end").alias("type"))
 
 
 _ANN = _GENES + """, g AS (SELECT ord, gene_id FROM (SELECT q.ord, gene_id, row_number() OVER (PARTITION BY q.ord ORDER BY g.start, g.ord) AS t FROM q JOIN genes g ON q.contig = g.contig AND q.start < g."end" AND g.start < q."end") WHERE t = 1),
@@ -268,39 +228,16 @@ def annotate_hierarchy(spark, sf):
     return ann.annotate(*_annotated(spark, sf)).select("locus_id", "gene_id", "annotation_class")
 
 
-@query("ev", _ANN + " SELECT c.annotation_class, CAST(count(a.locus_id) AS BIGINT) AS n_loci FROM (VALUES ('CDS'), ('UTR'), ('exon'), ('intronic'), ('intergenic')) c(annotation_class) LEFT JOIN a USING (annotation_class) GROUP BY ALL")
+@query("ev", _ANN + " SELECT c.annotation_class, CAST(count(a.locus_id) AS BIGINT) AS n_loci, round(100.0::DOUBLE * count(a.locus_id) / (SELECT count(*) FROM a), 9) AS pct_total FROM (VALUES ('CDS'), ('UTR'), ('exon'), ('intronic'), ('intergenic')) c(annotation_class) LEFT JOIN a USING (annotation_class) GROUP BY ALL")
 def annotation_summary(spark, sf):
-    return ann.annotation_summary(ann.annotate(*_annotated(spark, sf))).select("annotation_class", "n_loci")
+    return ann.annotation_summary(ann.annotate(*_annotated(spark, sf))).select("annotation_class", "n_loci", F.round("pct_total", 9).alias("pct_total"))
 
 
-@query("ev", _GENES + """, d AS (SELECT q.locus_id, q.ord, g.gene_id, g.start, g."end", greatest(0, g.start - (q."end" - 1), q.start - (g."end" - 1)) AS distance FROM q JOIN genes g ON q.contig = g.contig AND g.start <= q."end" + 100000 AND g."end" >= q.start - 100000),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY distance, start, "end", gene_id) AS t FROM d) WHERE t = 1) SELECT q.locus_id, b.gene_id, CAST(b.distance AS BIGINT) AS distance FROM q LEFT JOIN b USING (ord)""")
+@query("ev", _GENES + """, d AS (SELECT q.locus_id, q.ord, g.gene_id, g.start, g."end", greatest(0, g.start - (q."end" - 1), q.start - (g."end" - 1)) AS distance FROM q JOIN genes g ON q.contig = g.contig),
+b AS (SELECT ord, arg_min(gene_id, (distance, start, "end", gene_id)) AS gene_id, min(distance) AS distance FROM d GROUP BY ord) SELECT q.locus_id, b.gene_id, CAST(b.distance AS BIGINT) AS distance FROM q LEFT JOIN b USING (ord)""")
 def annotate_nearest(spark, sf):
     loci_, genes, _ = _annotated(spark, sf)
-    return ann.nearest_gene(loci_, genes, reach=100_000, width=65_536).select("locus_id", "gene_id", "distance")
-
-
-def _annotated_all(spark, sf):
-    """Every event: those of side 0 are the loci, those of side 1 the genes and their parts."""
-    a, b = sides(spark, sf)
-    genes = b.select(F.col("locus_id").alias("gene_id"), "contig", "start", (F.col("end") + 300).alias("end"), F.lit("+").alias("strand"), "ord")
-    return a, genes, b.select("contig", "start", "end", F.expr("case ord % 3 when 0 then 'CDS' when 1 then 'three_prime_UTR' else 'exon' end").alias("type"))
-
-
-@query()
-def annotate_hierarchy_all(spark, sf):
-    return ann.annotate(*_annotated_all(spark, sf)).select("locus_id", "gene_id", "annotation_class")
-
-
-@query()
-def annotation_summary_all(spark, sf):
-    return ann.annotation_summary(ann.annotate(*_annotated_all(spark, sf))).select("annotation_class", "n_loci")
-
-
-@query()
-def annotate_nearest_all(spark, sf):
-    loci_, genes, _ = _annotated_all(spark, sf)
-    return ann.nearest_gene(loci_, genes, reach=100_000, width=65_536).select("locus_id", "gene_id", "distance")
+    return ann.nearest_gene(loci_, genes).select("locus_id", "gene_id", "distance")
 
 
 @query("hits", """SELECT contig || chr(9) || start || chr(9) || "end" || chr(9) || 'K' || locus_key || chr(9) || CAST(round(least(greatest(final_score * 1000, 0), 1000)) AS BIGINT) || chr(9) || '.' AS line FROM hits""")
@@ -350,22 +287,25 @@ def composition(spark, sf):
     return pangenome.composition(*_matrix(spark, sf), GROUPS)
 
 
-_TRIALS = pangenome.permutations(GROUPS, 5, 42)
+_TRIALS = pangenome.permutations(GROUPS, 100, 42)
 
 
-@query("loci calls", ", f AS (SELECT locus_key AS feature_id, \"end\" - start AS length_bp FROM loci), pr AS (SELECT locus_key AS feature_id, sample FROM calls WHERE carry), pl(grp, trial, sample, place) AS (VALUES " + ", ".join(f"('{g}', {t}, '{s}', {n})" for g, t, s, n in _TRIALS) + """),
+_GROWTH = ", f AS (SELECT locus_key AS feature_id, \"end\" - start AS length_bp FROM loci), pr AS (SELECT locus_key AS feature_id, sample FROM calls WHERE carry), pl(grp, trial, sample, place) AS (VALUES " + ", ".join(f"('{g}', {t}, '{s}', {n})" for g, t, s, n in _TRIALS) + """),
 r AS (SELECT grp, trial, pr.feature_id, place, row_number() OVER (PARTITION BY grp, trial, pr.feature_id ORDER BY place) AS k FROM pl JOIN pr USING (sample)),
-m AS (SELECT grp, trial, feature_id, min(place) AS p1, min(place) FILTER (WHERE k = 2) AS p2 FROM r GROUP BY ALL)
-SELECT l.grp, CAST(l.trial AS INTEGER) AS trial, CAST(l.place AS INTEGER) AS n, CAST(count(*) FILTER (WHERE p1 <= place) AS BIGINT) AS features, CAST(coalesce(sum(length_bp) FILTER (WHERE p1 <= place), 0) AS BIGINT) AS bp, CAST(count(*) FILTER (WHERE p1 = place) AS BIGINT) AS new_features, CAST(count(*) FILTER (WHERE p1 <= place AND (p2 IS NULL OR p2 > place)) AS BIGINT) AS singletons
-FROM pl l JOIN m ON m.grp = l.grp AND m.trial = l.trial JOIN f USING (feature_id) GROUP BY l.grp, l.trial, l.place""")
+m AS (SELECT grp, trial, feature_id, min(place) AS p1, min(place) FILTER (WHERE k = 2) AS p2 FROM r GROUP BY ALL),
+g AS (SELECT l.grp, CAST(l.trial AS INTEGER) AS trial, CAST(l.place AS INTEGER) AS n, CAST(count(*) FILTER (WHERE p1 <= place) AS BIGINT) AS features, CAST(coalesce(sum(length_bp) FILTER (WHERE p1 <= place), 0) AS BIGINT) AS bp, CAST(count(*) FILTER (WHERE p1 = place) AS BIGINT) AS new_features, CAST(coalesce(sum(length_bp) FILTER (WHERE p1 = place), 0) AS BIGINT) AS new_bp, CAST(count(*) FILTER (WHERE p1 <= place AND (p2 IS NULL OR p2 > place)) AS BIGINT) AS singletons
+FROM pl l JOIN m ON m.grp = l.grp AND m.trial = l.trial JOIN f USING (feature_id) GROUP BY l.grp, l.trial, l.place)"""
+
+
+@query("loci calls", _GROWTH + " SELECT * FROM g")
 def growth_curve(spark, sf):
-    return pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 5, 42).drop("new_bp")
+    return pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 100, 42)
 
 
-@query()
+@query("loci calls", _GROWTH + " SELECT grp, n, round(avg(features), 6) AS mean_features, round(avg(bp), 6) AS mean_bp, round(quantile_cont(features, 0.025), 6) AS low, round(quantile_cont(features, 0.975), 6) AS high FROM g GROUP BY grp, n")
 def growth_quantiles(spark, sf):
-    """Means and quantiles over trials (the trials' shuffles aren't SQL)."""
-    return pangenome.growth_summary(pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 100, 42))
+    out = pangenome.growth_summary(pangenome.growth_curves(*_matrix(spark, sf), GROUPS, 100, 42))
+    return out.select("grp", "n", *[F.round(c, 6).alias(c) for c in ("mean_features", "mean_bp", "low", "high")])
 
 
 # -- landscape ------------------------------------------------------------------------
@@ -385,7 +325,7 @@ def record_windows(spark, sf):
     return landscape.window_extent(marks, 20, 10).select("contig", "w", "n_variants", "start", "end")
 
 
-@query("ev", """, b AS (SELECT contig, min(start) AS base FROM ev GROUP BY contig), g AS (SELECT e.*, base, unnest(range(greatest(0, CAST(floor((start - base - 7200) / 3600) AS BIGINT) + 1), CAST(floor(("end" - 1 - base) / 3600) AS BIGINT) + 1)) AS grid FROM ev e JOIN b USING (contig)),
+@query("ev", """, b AS (SELECT contig, min(start) AS base, greatest(0, CAST(ceil((max("end") - min(start) - 7200) / 3600) AS BIGINT)) AS last FROM ev GROUP BY contig), g AS (SELECT e.*, base, unnest(range(greatest(0, CAST(floor((start - base - 7200) / 3600) AS BIGINT) + 1), least(CAST(floor(("end" - 1 - base) / 3600) AS BIGINT), last) + 1)) AS grid FROM ev e JOIN b USING (contig)),
 h AS (SELECT * FROM g WHERE start < base + grid * 3600 + 7200 AND "end" > base + grid * 3600) SELECT contig, CAST(dense_rank() OVER (PARTITION BY contig ORDER BY grid) - 1 AS BIGINT) AS w, n, start, "end" FROM (SELECT contig, grid, CAST(count(*) AS BIGINT) AS n, min(start) AS start, max("end") AS "end" FROM h GROUP BY contig, grid)""")
 def bp_window_counts(spark, sf):
     rows = bp_windows(events(spark, sf).select("contig", "start", "end"), 7200, 3600)
@@ -397,9 +337,9 @@ def _windowed(spark, sf):
     return marks, landscape.sample_windows(marks, 20, 10, 3)
 
 
-@query("sw", "SELECT contig, w, sample, " + ", ".join(_SUMS) + ", missing_n / n_variants AS missing_rate, CASE WHEN called_n > 0 THEN nonref_n / called_n END AS nonref_rate FROM sw")
+@query("sw", "SELECT contig, w, sample, " + ", ".join(_SUMS) + ", missing_n / n_variants AS missing_rate, " + ", ".join(f"CASE WHEN called_n > 0 THEN {c}_n / called_n END AS {c}_rate" for c in _RATES) + " FROM sw")
 def window_sample_metrics(spark, sf):
-    return _windowed(spark, sf)[1].select("contig", "w", "sample", *_SUMS, "missing_rate", "nonref_rate")
+    return _windowed(spark, sf)[1].select("contig", "w", "sample", *_SUMS, "missing_rate", *[f"{c}_rate" for c in _RATES])
 
 
 @query("marks", "SELECT contig, CAST(i AS INTEGER) AS i, sample, CAST(minor_gt AS BIGINT) AS minor_genotype_n, CAST(rare AS BIGINT) AS rare_alt_n, CAST(private AS BIGINT) AS private_alt_n, call_freq FROM marks")
@@ -414,19 +354,22 @@ def call_freq_median(spark, sf):
 
 @query("pairs", "SELECT * FROM pairs")
 def pairwise_similarity(spark, sf):
-    marks = landscape.variant_marks(genotypes(spark, sf))
-    return landscape.pair_similarity(marks, 20, 10).select("contig", "w", "sample_a", "sample_b", F.col("compared").cast("long").alias("compared"), F.col("matches").cast("long").alias("matches"), "similarity")
+    return landscape.pair_similarity(genotypes(spark, sf), 20, 10).select("contig", "w", "sample_a", "sample_b", F.col("compared").cast("long").alias("compared"), F.col("matches").cast("long").alias("matches"), "similarity")
 
 
 @query("near", "SELECT contig, w, sample, nearest, nearest_similarity, nearest_compared FROM near")
 def nearest_background(spark, sf):
-    pairs = landscape.pair_similarity(landscape.variant_marks(genotypes(spark, sf)), 20, 10)
+    pairs = landscape.pair_similarity(genotypes(spark, sf), 20, 10)
     return landscape.nearest_background(pairs).withColumn("nearest_compared", F.col("nearest_compared").cast("long"))
 
 
 def _with_nearest(spark, sf):
-    marks, rows = _windowed(spark, sf)
-    pairs = landscape.pair_similarity(marks, 20, 10)
+    from cladespark.operators.ordering import stored
+
+    records = stored(landscape.records_of(genotypes(spark, sf)), "records")
+    marks = stored(landscape.variant_marks(records, min_called_for_freq=2), "marks")  # read by sums, medians, extents
+    rows = landscape.sample_windows(marks, 20, 10, 3)
+    pairs = stored(landscape.pair_similarity(records, 20, 10), "pairs")
     near = landscape.nearest_background(pairs)
     own = landscape.nearest_background(pairs, COHORT.targets).select("contig", "w", "sample", F.col("nearest_similarity").alias("target_similarity"))
     role = F.when(F.col("nearest").isin(*COHORT.targets), "target").otherwise("off_target")
@@ -437,41 +380,43 @@ _SWN = """, swn AS (SELECT sw.*, near.nearest, round(near.nearest_similarity, 6)
 
 
 @query("sw near", _SWN + """, x AS (SELECT *, CASE WHEN sim >= 0.5 THEN nearest ELSE 'unassigned' END AS nn FROM swn), y AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> nn THEN 1 ELSE 0 END) OVER (PARTITION BY sample, contig ORDER BY w) AS k FROM (SELECT *, lag(nn) OVER (PARTITION BY sample, contig ORDER BY w) AS p FROM x))
-SELECT sample, contig, arg_min(start, w) AS start, arg_max("end", w) AS "end", CAST(count(*) AS BIGINT) AS n_windows, min(nn) AS nearest_background FROM y GROUP BY sample, contig, k""")
+SELECT sample, contig, arg_min(start, w) AS start, arg_max("end", w) AS "end", CAST(count(*) AS BIGINT) AS n_windows, min(nn) AS nearest_background, min(CASE WHEN nn = 'unassigned' THEN nn ELSE nrole END) AS nearest_background_role, min(role) AS cohort_role, round(avg(CASE WHEN nn <> 'unassigned' THEN sim END), 9) AS mean_similarity FROM y GROUP BY sample, contig, k""")
 def background_blocks(spark, sf):
-    return landscape.background_blocks(_with_nearest(spark, sf), 0.5).select("sample", "contig", "start", "end", "n_windows", "nearest_background")
+    return landscape.background_blocks(_with_nearest(spark, sf), 0.5).select("sample", "contig", "start", "end", "n_windows", "nearest_background", "nearest_background_role", "cohort_role", F.round("mean_similarity", 9).alias("mean_similarity"))
 
 
 @query("sw near pairs", _SWN + """, tn AS (SELECT contig, w, sample, max(similarity) AS ts FROM (SELECT contig, w, sample_a AS sample, sample_b AS other, similarity FROM pairs UNION ALL SELECT contig, w, sample_b, sample_a, similarity FROM pairs) WHERE other IN ('0', '1') GROUP BY ALL),
 c AS (SELECT swn.*, ts FROM swn LEFT JOIN tn USING (contig, w, sample) WHERE role = 'target' AND nrole = 'off_target' AND sim >= 0.4 AND lost <= 0.9 AND (ts IS NULL OR sim - ts >= 0.01)),
 y AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> nearest OR pw + 1 <> w THEN 1 ELSE 0 END) OVER (PARTITION BY sample, contig ORDER BY w) AS k FROM (SELECT *, lag(nearest) OVER (PARTITION BY sample, contig ORDER BY w) AS p, lag(w) OVER (PARTITION BY sample, contig ORDER BY w) AS pw FROM c))
-SELECT sample, contig, arg_min(start, w) AS start, arg_max("end", w) AS "end", CAST(count(*) AS BIGINT) AS n_windows, min(nearest) AS candidate_donor, max(lost) AS max_missing_rate FROM y GROUP BY sample, contig, k HAVING count(*) >= 2""")
+SELECT sample, contig, arg_min(start, w) AS start, arg_max("end", w) AS "end", CAST(count(*) AS BIGINT) AS n_windows, min(nearest) AS candidate_donor, max(lost) AS max_missing_rate, round(avg(sim), 9) AS mean_donor_similarity, round(avg(ts), 9) AS mean_nearest_target_similarity, round(avg(sim - ts), 9) AS mean_similarity_delta, round(avg(round(private_alt_n / called_n, 6)), 9) AS mean_private_alt_rate, round(avg(round(nonref_n / called_n, 6)), 9) AS mean_nonref_rate,
+CASE WHEN avg(sim - ts) IS NULL THEN 'donor_like_single_target' WHEN avg(sim - ts) > 0 THEN 'offtarget_closer_than_target' ELSE 'candidate_introgression' END AS evidence_class FROM y GROUP BY sample, contig, k HAVING count(*) >= 2""")
 def introgression_blocks(spark, sf):
     out = landscape.introgression_blocks(_with_nearest(spark, sf), 0.4, 0.01, 0.9, 2)
-    return out.select("sample", "contig", "start", "end", "n_windows", "candidate_donor", "max_missing_rate")
+    return out.select("sample", "contig", "start", "end", "n_windows", "candidate_donor", "max_missing_rate", *[F.round(c, 9).alias(c) for c in ("mean_donor_similarity", "mean_nearest_target_similarity", "mean_similarity_delta", "mean_private_alt_rate", "mean_nonref_rate")], "evidence_class")
 
 
-@query("pairs", "SELECT sample_a, sample_b, CAST(count(*) AS BIGINT) AS n_windows, CAST(sum(compared) AS BIGINT) AS compared_variants FROM pairs GROUP BY ALL")
+@query("pairs", "SELECT sample_a, sample_b, CAST(count(*) AS BIGINT) AS n_windows, CAST(sum(compared) AS BIGINT) AS compared_variants, round(avg(similarity), 5) AS mean_similarity FROM pairs GROUP BY ALL")
 def similarity_summary(spark, sf):
-    pairs = landscape.pair_similarity(landscape.variant_marks(genotypes(spark, sf)), 20, 10)
+    pairs = landscape.pair_similarity(genotypes(spark, sf), 20, 10)
     out = landscape.similarity_summary(pairs)
-    return out.select("sample_a", "sample_b", "n_windows", F.col("compared_variants").cast("long").alias("compared_variants"))
+    return out.select("sample_a", "sample_b", "n_windows", F.col("compared_variants").cast("long").alias("compared_variants"), F.round("mean_similarity", 5).alias("mean_similarity"))
 
 
 @query()
 def local_pca(spark, sf):
     """Classical scaling per window; signs of axes are arbitrary, so there is no SQL oracle."""
-    pairs = landscape.pair_similarity(landscape.variant_marks(genotypes(spark, sf)), 20, 10)
+    pairs = landscape.pair_similarity(genotypes(spark, sf), 20, 10)
     return landscape.local_pca(pairs, GROUPS["full"])
 
 
 # -- reports, plots, dashboards -----------------------------------------------------------
 
 
-@query("hits", "SELECT c.strictness_class, CAST(count(h.locus_key) AS BIGINT) AS n_loci FROM (VALUES ('strict_complete'), ('strict_target_missing'), ('strict_offtarget_missing'), ('strict_both_missing'), ('relaxed_threshold')) c(strictness_class) LEFT JOIN hits h USING (strictness_class) GROUP BY ALL")
+@query("hits", "SELECT c.strictness_class, CAST(count(h.locus_key) AS BIGINT) AS n_loci, round(100.0::DOUBLE * count(h.locus_key) / (SELECT count(*) FROM hits), 1) AS pct_hits FROM (VALUES ('strict_complete'), ('strict_target_missing'), ('strict_offtarget_missing'), ('strict_both_missing'), ('relaxed_threshold')) c(strictness_class) LEFT JOIN hits h USING (strictness_class) GROUP BY ALL")
 def strictness_summary(spark, sf):
-    got = hits(spark, sf).groupBy("strictness_class").agg(F.count("*").alias("n_loci"))
-    return dense(got, {"strictness_class": ["strict_complete", "strict_target_missing", "strict_offtarget_missing", "strict_both_missing", "relaxed_threshold"]}, {"n_loci": 0})
+    from cladespark.operators.summaries import strictness_summary as summed
+
+    return summed(hits(spark, sf)).drop("place")
 
 
 @query(None, "SELECT source_type, evidence_class, CAST(n AS BIGINT) AS n_records, n / sum(n) OVER (PARTITION BY source_type) AS share FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'vcf' ELSE 'bam' END AS source_type, l_returnflag AS evidence_class, count(*) AS n FROM lineitem GROUP BY ALL)")
@@ -482,11 +427,11 @@ def support_summary(spark, sf):
     return summed(lines)
 
 
-@query("hits", """, e AS (SELECT max(final_score) + 0.05 AS top FROM hits) SELECT strictness_class, CAST(least(floor(final_score / (top / 20)), 19) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM hits, e GROUP BY ALL""")
+@query("hits", """, e AS (SELECT max(final_score) + 0.05 AS top, least(count(*) + 2, 30) - 1 AS bins FROM hits) SELECT strictness_class, CAST(least(floor(final_score / (top / bins)), bins - 1) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM hits, e GROUP BY ALL""")
 def score_histogram(spark, sf):
     from cladespark.operators.summaries import score_histogram as binned
 
-    return binned(hits(spark, sf), 20)
+    return binned(hits(spark, sf))
 
 
 @query("hits", """, r AS (SELECT contig, min(start) AS lo, max(start) AS hi FROM hits GROUP BY contig), b AS (SELECT contig, lo, unnest(range((hi - lo) // 50000 + 1)) AS bin FROM r) SELECT b.contig, CAST(b.bin AS BIGINT) AS bin, CAST(count(h.locus_key) AS BIGINT) AS n FROM b LEFT JOIN hits h ON h.contig = b.contig AND (h.start - b.lo) // 50000 = b.bin GROUP BY ALL""")
@@ -504,15 +449,3 @@ def candidate_rank(spark, sf):
     sites, genes, _ = _annotated(spark, sf)
     sites = sites.withColumn("display_type", F.expr("case ord % 3 when 0 then 'SNP' when 1 then 'INDEL' else 'SV-like' end"))
     return candidate_features(ann.feature_counts(genes, sites), 50).select("rank", "gene_id", "rank_score")
-
-
-@query()
-def candidate_rank_all(spark, sf):
-    from cladespark.operators.summaries import candidate_features
-
-    sites, genes, _ = _annotated_all(spark, sf)
-    sites = sites.withColumn("display_type", F.expr("case ord % 3 when 0 then 'SNP' when 1 then 'INDEL' else 'SV-like' end"))
-    return candidate_features(ann.feature_counts(genes, sites), 50).select("rank", "gene_id", "rank_score")
-
-
-__all__ = ["ORACLES", "QUERIES", "best", "range_join"]

@@ -16,6 +16,17 @@ def segment_length_class(length: Column) -> Column:
     return F.when(length <= 0, "unknown").when(length == 1, "snp_like").when(length < 50, "small_indel_like").when(length < 1000, "sv_like").otherwise("large_sv_like")
 
 
+def graph_interpretation() -> Column:
+    """What a private segment means, by how much of the off-targets was seen (fixed texts)."""
+    seen_none = F.col("offtarget_missing_n") == F.col("offtarget_total_n")
+    clear = (F.col("offtarget_missing_n") == 0) & (F.col("offtarget_support_n") == 0)
+    return (
+        F.when(seen_none, "Targets traverse this graph segment; off-target coordinate-overlapping graph coverage was not observed, so this is private-node evidence rather than confirmed alternate-path absence.")
+        .when(clear, "Targets traverse this graph segment; off-targets have coordinate-overlapping graph coverage but do not traverse this same segment.")
+        .otherwise("Targets traverse this graph segment; off-target same-segment traversal and coordinate coverage are mixed or incomplete.")
+    )
+
+
 def _indices(samples: list[str], names: tuple[str, ...]) -> list[int]:
     return [samples.index(s) for s in names if s in samples]
 
@@ -46,8 +57,8 @@ def vcf_alleles(records: DataFrame, samples: list[str], cohort: Cohort, rules: k
 
 
 def with_ids(hits: DataFrame, prefix: str, *order) -> DataFrame:
-    """Adds ord and locus_id, numbered in scan order from 0."""
-    return kernel.numbered(hits, "ord", *order).withColumn("locus_id", F.format_string(f"{prefix}%08d", "ord"))
+    """Adds ord and locus_id, numbered in scan order from 1."""
+    return kernel.numbered(hits, "ord", *order, start=1).withColumn("locus_id", F.format_string(f"{prefix}%08d", "ord"))
 
 
 def scan_vcf(records: DataFrame, samples: list[str], contigs: list[str], cohort: Cohort, **options) -> DataFrame:

@@ -40,12 +40,15 @@ def gff3_line(score: str | None, attributes: list[str], kind: str = "sequence_va
     return F.concat_ws(_TAB, "contig", F.lit(source), F.lit(kind), start + 1, F.greatest(end, start + 1), value, F.lit("."), F.lit("."), F.concat_ws(";", *parts))
 
 
-def _one_file(folder: str, path: str) -> None:
-    part = next(p for p in sorted(os.listdir(folder)) if p.startswith("part-"))
-    os.replace(os.path.join(folder, part), path)
-    for p in os.listdir(folder):
-        os.remove(os.path.join(folder, p))
-    os.rmdir(folder)
+def _one_file(spark, folder: str, path: str) -> None:
+    """Moves a folder's only part to ``path``, through Hadoop's file system: any store will do."""
+    jvm = spark._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    fs.delete(place(path), False)
+    fs.rename(part, place(path))
+    fs.delete(place(folder), True)
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, single_file: bool = True) -> None:
@@ -58,21 +61,20 @@ def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, single
     out = df.select(*map(show, names))
     (out.coalesce(1) if single_file else out).write.csv(path + ".parts" if single_file else path, sep="\t", header=True, quote="", escape="", emptyValue="", mode="overwrite")
     if single_file:
-        _one_file(path + ".parts", path)
+        _one_file(df.sparkSession, path + ".parts", path)
 
 
 def write_lines(df: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """The column ``line`` as one text file, in the table's order."""
-    df.select("line").coalesce(1).write.mode("overwrite").text(path + ".parts", lineSep="\n")
-    _one_file(path + ".parts", path)
+    """The column ``line`` as one text file behind the header, in the table's order."""
+    body = df.select("line")
     if header:
-        with open(path, encoding="utf-8") as f:
-            body = f.read()
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("".join(x + "\n" for x in header) + body)
+        body = df.sparkSession.createDataFrame([(x,) for x in header], "line string").coalesce(1).unionByName(body)
+    body.coalesce(1).write.mode("overwrite").text(path + ".parts", lineSep="\n")
+    _one_file(df.sparkSession, path + ".parts", path)
 
 
 def write_json(path: str, payload: dict) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(payload, f, indent=2, sort_keys=False, default=str)
         f.write("\n")

@@ -66,12 +66,71 @@ def scan_index(graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"segments": placed, "segment_sample": steps, "coverage": union_of_intervals(coverage, ["sample", "contig"])}
 
 
-def write_index(index: dict[str, DataFrame], path: str) -> None:
-    """Parquet tables; segments are laid out by contig and start, so a region reads few row groups."""
+#: Version of the index tables, kept in their metadata.
+INDEX_VERSION = 1
+
+
+def default_index(path: str) -> str:
+    """Where a graph's index is looked for."""
+    return f"{path}.index"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Size and time of change of a graph file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    changed = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+    return f"{status.getLength()}:{changed}"
+
+
+def write_index(index: dict[str, DataFrame], path: str, source: str | None = None) -> None:
+    """Parquet tables and their metadata; segments are laid out by contig and start, so a region reads few row groups."""
     index["segments"].repartitionByRange("contig", "start").sortWithinPartitions("contig", "start").write.mode("overwrite").parquet(f"{path}/segments")
     for name in ("segment_sample", "coverage"):
         index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = index["segments"].sparkSession
+    meta = [(INDEX_VERSION, source, fingerprint(spark, source) if source else None)]
+    spark.createDataFrame(meta, "version int, source string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str, source: str | None = None) -> dict[str, DataFrame]:
+    """The tables of an index; an error if it is missing, of another version or made from another state of ``source``."""
+    if not _exists(spark, f"{path}/meta"):
+        raise GfaError(f"no index of this engine at {path}")
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if meta["version"] != INDEX_VERSION:
+        raise GfaError(f"index {path} has version {meta['version']}, not {INDEX_VERSION}: build it again")
+    if source and meta["fingerprint"] and meta["fingerprint"] != fingerprint(spark, source):
+        raise GfaError(f"index {path} was built from another state of {source}: build it again")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("segments", "segment_sample", "coverage")}
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("segments", "segment_sample", "coverage")}
+def index_for(spark: SparkSession, path: str, index: str | None = None) -> dict[str, DataFrame]:
+    """The index given (an error if it doesn't fit), else the one beside the graph, else one made from the graph."""
+    if index:
+        return read_index(spark, index, path)
+    beside = default_index(path)
+    if _exists(spark, f"{beside}/meta"):
+        return read_index(spark, beside, path)
+    return scan_index(read_gfa(spark, path, length_from_tag=True))
+
+
+def segments_at(index: dict[str, DataFrame], contig: str, start: int, end: int) -> DataFrame:
+    """Segments that overlap [start, end) of a contig."""
+    return index["segments"].filter((F.col("contig") == contig) & (F.col("start") < end) & (F.col("end") > start))
+
+
+def traversing(index: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(name, sample): who traverses any of the named segments."""
+    return index["segment_sample"].filter(F.col("name").isin(*names)).distinct()
+
+
+def present_at(graph: dict[str, DataFrame], index: dict[str, DataFrame], contig: str, start: int, end: int) -> DataFrame:
+    """Samples with segments or walks over any part of [start, end) of a contig; here the walks' own coordinates count."""
+    meets = (F.col("contig") == contig) & (F.col("start") < end) & (F.col("end") > start)
+    return index["coverage"].filter(meets).select("sample").unionByName(graph["walks"].filter(meets).select("sample")).distinct()

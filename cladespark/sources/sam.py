@@ -6,25 +6,45 @@ tool to SAM, or to Parquet with the same columns.
 
 from __future__ import annotations
 
+import csv
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.operators.intervals import range_join
-from cladespark.sources.text import lines
+from cladespark.sources.text import head_lines, lines
 
 UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
 
 
 def sample_name(spark: SparkSession, path: str) -> str | None:
-    """SM of the first read group."""
-    row = lines(spark, path).filter(F.col("line").startswith("@RG")).orderBy("rec_ord").select(F.regexp_extract("line", r"\tSM:([^\t]+)", 1).alias("s")).limit(1).collect()
-    return row[0]["s"] or None if row else None
+    """SM of the first read group; only the header is read."""
+    group = next((x for x in head_lines(spark, path, lambda x: x.startswith("@")) if x.startswith("@RG")), "")
+    return next((f[3:] for f in group.split("\t") if f.startswith("SM:") and len(f) > 3), None)
+
+
+def read_manifest(path: str) -> list[tuple[str, str]]:
+    """(path, sample) rows of a manifest: a header with bam_path and sample_id, lines with # skipped."""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = csv.DictReader((x for x in f if not x.startswith("#")), delimiter="\t")
+        names = rows.fieldnames or ()
+        if missing := [c for c in ("bam_path", "sample_id") if c not in names]:
+            raise ValueError(f"{path} lacks the column {missing[0]}")
+        return [(r["bam_path"], r["sample_id"]) for r in rows]
+
+
+def sample_pairs(spark: SparkSession, paths: list[str] | None, manifest: str | None) -> list[tuple[str, str]]:
+    """(path, sample) of all read files: a manifest comes before paths; a file's sample is its first read group's, else its name."""
+    if manifest:
+        return read_manifest(manifest)
+    return [(p, sample_name(spark, p) or os.path.splitext(os.path.basename(p))[0]) for p in paths or ()]
 
 
 def read_sam(spark: SparkSession, path: str, sample: str) -> DataFrame:
     """(sample, read, contig, start, mapq, flag, cigar, seq, qual), 0-based start."""
     rows = lines(spark, path).filter(~F.col("line").startswith("@")).select(F.split("line", "\t").alias("f"), "rec_ord")
-    at = lambda i: F.col("f")[i]
+    at = lambda i: F.get("f", F.lit(i))
     return rows.select(F.lit(sample).alias("sample"), F.col("rec_ord").alias("read"), at(2).alias("contig"), (at(3).cast("long") - 1).alias("start"), at(4).cast("int").alias("mapq"), at(1).cast("int").alias("flag"), at(5).alias("cigar"), at(9).alias("seq"), at(10).alias("qual"))
 
 
@@ -66,6 +86,15 @@ def allele_counts(loci: DataFrame, blocks: DataFrame, samples: list[str], min_ba
     return frame.join(got.withColumnRenamed("a_ord", "ord"), ["ord", "sample"], "left").na.fill(0, ["ref_n", "alt_n", "depth"])
 
 
+def position_depth(blocks: DataFrame, contig: str, start: int, end: int) -> DataFrame:
+    """(sample, pos, depth) for every position of [start, end) and every sample of ``blocks``, zeros included; deletions and skips don't count."""
+    own = blocks.filter((F.col("contig") == contig) & F.col("op").isin("M", "=", "X") & (F.col("start") < end) & (F.col("end") > start))
+    low, high = F.greatest("start", F.lit(start)), F.least("end", F.lit(end)) - 1
+    got = own.select("sample", F.explode(F.sequence(low, high)).alias("pos")).groupBy("sample", "pos").agg(F.count("*").alias("depth"))
+    frame = blocks.select("sample").distinct().withColumn("pos", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - 1).cast("long"))))
+    return frame.join(got, ["sample", "pos"], "left").na.fill(0, ["depth"])
+
+
 def read_evidence(counts: DataFrame, targets: tuple[str, ...], min_depth: int = 8, min_fraction: float = 0.2, min_alt: int = 2) -> DataFrame:
     """Adds allele_fraction (four decimals, as the threshold sees it), evidence_class and its value."""
     from cladespark.functions.rounding import half_even
@@ -80,5 +109,7 @@ def read_evidence(counts: DataFrame, targets: tuple[str, ...], min_depth: int =
 
 
 def locus_support(evidence: DataFrame) -> DataFrame:
-    """Mean of the informative values per locus."""
-    return evidence.groupBy("ord").agg(F.avg("evidence_value").alias("support"))
+    """(ord, support): mean of the informative values per locus, at most 1, with six decimals; 0 without any."""
+    from cladespark.functions.rounding import half_even
+
+    return evidence.groupBy("ord").agg(half_even(F.least(F.coalesce(F.avg("evidence_value"), F.lit(0.0)), F.lit(1.0)), 6).alias("support"))

@@ -15,6 +15,35 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("rec_ord"))
 
 
+def head_lines(spark: SparkSession, path: str, test) -> list[str]:
+    """The first lines of a file (of a folder's first file), up to the first for which ``test`` fails.
+
+    Read through Hadoop's file system on the driver, so any store works and no
+    more than the header is read.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    if not fs.exists(place):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(place).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not files:
+            return []
+        place = jvm.org.apache.hadoop.fs.Path(files[0])
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    stream = fs.open(place)
+    stream = codec.createInputStream(stream) if codec else stream
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    out = []
+    try:
+        while (line := reader.readLine()) is not None and test(line):
+            out.append(line)
+    finally:
+        reader.close()
+    return out
+
+
 def parse_region(region: str | None) -> tuple[str | None, int | None, int | None]:
     """contig, 0-based start and end of ``contig:start-end`` (1-based, commas allowed); coordinates that can't be read mean the whole contig."""
     if not region:

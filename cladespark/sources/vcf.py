@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.sources.text import in_region, lines, parse_region
+from cladespark.sources.text import head_lines, in_region, lines, parse_region
 
 
 def header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Sample names and contig names, in file order."""
-    rows = [r["line"] for r in lines(spark, path).filter(F.col("line").startswith("#")).orderBy("rec_ord").collect()]
+    """Sample names and contig names, in file order; only the header is read."""
+    rows = head_lines(spark, path, lambda x: x.startswith("#"))
     samples = next((r.split("\t")[9:] for r in rows if r.startswith("#CHROM")), [])
     contigs = [r.split("ID=", 1)[1].split(",")[0].split(">")[0] for r in rows if r.startswith("##contig=<") and "ID=" in r]
     return samples, contigs
@@ -21,6 +21,16 @@ def genotype(text: Column) -> Column:
     return F.transform(F.split(text, "[/|]"), lambda a: a.try_cast("int"))
 
 
+def require_index(spark: SparkSession, path: str) -> None:
+    """An error unless a .tbi or .csi lies beside the file. Spark needs no index; this is for pipelines that promise one."""
+    jvm = spark._jvm
+    for suffix in (".tbi", ".csi"):
+        place = jvm.org.apache.hadoop.fs.Path(path + suffix)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return
+    raise FileNotFoundError(f"no index beside {path}")
+
+
 def read_vcf(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
     """(contig, pos, start, end, ref, alts, qual, filters, gts, rec_ord): one row per record, gts one array per header sample."""
     f = F.split("line", "\t")
@@ -33,7 +43,7 @@ def read_vcf(spark: SparkSession, path: str, region: str | None = None) -> DataF
     alts = F.when(at(4) == ".", F.lit(None).cast("array<string>")).otherwise(F.split(at(4), ","))
     filters = F.when(at(6) == ".", F.array().cast("array<string>")).otherwise(F.split(at(6), ";"))
     gts = F.transform(F.slice("f", 10, 1_000_000), lambda s: F.when(F.col("gt_at") >= 0, genotype(F.get(F.split(s, ":"), F.col("gt_at")))))
-    pos = at(1).cast("long")
+    pos = at(1).try_cast("long")  # a pushed-down filter may meet header lines
     out = rows.select(at(0).alias("contig"), pos.alias("pos"), (pos - 1).alias("start"), (pos - 1 + F.length(ref)).alias("end"), ref.alias("ref"), alts.alias("alts"), at(5).try_cast("double").alias("qual"), filters.alias("filters"), gts.alias("gts"), "rec_ord")
     return out.filter(in_region(F.col("contig"), F.col("start"), F.col("end"), parse_region(region)))
 
@@ -42,6 +52,14 @@ def variant_type(ref: Column, alt: Column) -> Column:
     return F.when(alt.startswith("<"), "sv").when((F.length(ref) == 1) & (F.length(alt) == 1), "snp").otherwise("indel")
 
 
+def record_type(ref: Column, alts: Column) -> Column:
+    """sv if any ALT is symbolic or a breakend, snp if all alleles are one letter, else indel (also without ALT)."""
+    own = F.coalesce(alts, F.array().cast("array<string>"))
+    symbolic = F.exists(own, lambda a: a.startswith("<") | a.contains("[") | a.contains("]"))
+    single = (F.size(own) > 0) & (F.length(ref) == 1) & F.forall(own, lambda a: F.length(a) == 1)
+    return F.when(symbolic, "sv").when(single, "snp").otherwise("indel")
+
+
 def display_type(ref: Column, alts: Column, sv_length: int = 50) -> Column:
     """SNP, SV-like (symbolic or long), INDEL or complex, for a record."""
     longest = F.greatest(F.length(ref), F.array_max(F.transform(alts, F.length)))

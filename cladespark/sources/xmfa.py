@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_xmfa(spark: SparkSession, path: str) -> DataFrame:
-    """(block, sample, start, end, strand, seq): entries of each '='-separated block; coordinates 1-based closed as in the file."""
-    blocks = spark.read.text(path, lineSep="=").select(F.monotonically_increasing_id().alias("block"), F.col("value").alias("text"))
+    """(block, sample, start, end, strand, seq): entries of the blocks that lines beginning with '=' end; coordinates 1-based closed as in the file."""
+    blocks = spark.read.text(path, lineSep="\n=").select(F.monotonically_increasing_id().alias("block"), F.col("value").alias("text"))
     entries = blocks.select("block", F.explode(F.split("text", "(?m)^>")).alias("e")).filter(F.col("e").rlike(r"^\s*\S+:\d+-\d+"))
     head = lambda i: F.regexp_extract("e", r"^\s*(\S+):(\d+)-(\d+)\s*([+-])\s*(\S*)", i)
     name = F.when(head(5) != "", F.element_at(F.split(head(5), "/"), -1)).otherwise(head(1))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladespark import runs, scan
-from cladespark.cohort import Cohort, CohortError, inferred_groups, read_cohort, role_of
+from cladespark.cohort import Cohort, CohortError, inferred_groups, read_cohort, read_sample_list, role_of
 from cladespark.functions.rounding import fixed, half_even
 from cladespark.operators import compare as cmp
 from cladespark.operators import focus, kernel, landscape, pangenome, private_sites
@@ -21,13 +21,13 @@ from cladespark.operators.windows import bp_windows, record_index, record_window
 from cladespark.sources import gfa, gff, sam, vcf, xmfa
 from cladespark.sources.text import parse_region
 
-COHORT = Cohort.of(["T1", "T2"], ["O1", "O2", "O3"])
-HEAD = "##fileformat=VCFv4.2\n##contig=<ID=chr1,length=10000>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
-# pos, ref, alt, qual, filter, genotypes of T1 T2 O1 O2 O3
+COHORT = Cohort.of(["F1", "F2"], ["B1", "B2", "B3"])
+HEAD = "##fileformat=VCFv4.2\n##contig=<ID=ctgA,length=900>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+# pos, ref, alt, qual, filter, genotypes of F1 F2 B1 B2 B3
 RECORDS = [
-    (100, "A", "T", 50, "PASS", "0/1 0/1 0/0 0/0 0/0"), (200, "A", "T", 50, "PASS", "0/1 ./. 0/0 0/0 0/0"), (300, "A", "T", 50, "PASS", "0/1 0/1 0/0 0/0 ./."),
-    (400, "A", "T", 50, "PASS", "0/1 ./. 0/0 0/0 ./."), (500, "A", "T", 50, "PASS", "0/1 0/1 0/1 0/0 0/0"), (600, "A", "T", 50, "FAIL", "0/1 0/1 0/0 0/0 0/0"),
-    (700, "A", "T", 5, "PASS", "0/1 0/1 0/0 0/0 0/0"), (800, "A", "T,G", 50, "PASS", "0/1 0/1 0/0 0/0 0/0"), (900, "AGG", "A", 50, "PASS", "0/1 0/1 0/0 0/0 0/0"),
+    (40, "C", "G", 60, "PASS", "0/1 1/1 0/0 0/0 0/0"), (75, "G", "T", 30, "PASS", "1/1 ./. 0/0 0/0 0/0"), (130, "T", "C", 30, ".", "0/1 0|1 0/0 ./. 0/0"),
+    (210, "A", "C", 30, "PASS", "0/1 ./. ./. 0/0 0/0"), (260, "C", "A", 90, "PASS", "0/1 0/1 0/0 0/1 0/0"), (333, "G", "A", 30, "lowq", "0/1 0/1 0/0 0/0 0/0"),
+    (410, "T", "G", 6, "PASS", "0/1 0/1 0/0 0/0 0/0"), (505, "A", "C,G", 30, "PASS", "0/1 0/1 0/0 0/0 0/0"), (620, "CAT", "C", 60, "PASS", "0/1 0/1 0/0 0/0 0/0"),
 ]
 
 
@@ -39,15 +39,16 @@ def rows_of(path):
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("genomes")
-    body = "".join(f"chr1\t{p}\t.\t{r}\t{a}\t{q}\t{f}\t.\tGT\t" + g.replace(" ", "\t") + "\n" for p, r, a, q, f, g in RECORDS)
-    (d / "small.vcf").write_text(HEAD + "T1\tT2\tO1\tO2\tO3\n" + body)
-    (d / "donor.vcf").write_text(HEAD + "T1\tT2\tO1\tO2\n" + "".join(f"chr1\t{p}\t.\tA\tT\t50\tPASS\t.\tGT\t0/1\t1/1\t0/1\t0/0\n" for p in range(100, 700, 100)))
-    seg = [("s1", 8, 0), ("s2_target", 10, 8), ("s2_offt", 10, 8), ("s3", 8, 18), ("s4_target", 7, 60), ("s4_offt", 7, 60), ("s5", 8, 80)]
-    walks = [(s, 0, 26, f">s1>s2_{'target' if s[0] == 'T' else 'offt'}>s3") for s in ("T1", "T2", "O1", "O2", "O3")] + [(s, 57, 88, f">s4_{'target' if s[0] == 'T' else 'offt'}>s5") for s in ("T1", "O1", "O2", "O3")]
-    text = "H\tVN:Z:1.1\n" + "".join(f"S\t{n}\t{'A' * k}\tLN:i:{k}\tSN:Z:chr1\tSO:i:{o}\n" for n, k, o in seg) + "".join(f"W\t{s}\t1\tchr1\t{a}\t{b}\t{w}\n" for s, a, b, w in walks) + "L\ts1\t+\ts3\t+\t0M\nP\tX#1#c\ts1+,s3-\t*\n"
-    (d / "small.gfa").write_text(text)
-    line = lambda kind, a, b, s, attr: f"chr1\tx\t{kind}\t{a}\t{b}\t.\t{s}\t.\t{attr}\n"
-    (d / "small.gff3").write_text("##gff-version 3\n" + line("gene", 51, 350, "+", "ID=GeneA;Name=GeneA") + line("exon", 91, 110, "+", "Parent=m") + line("CDS", 91, 110, "+", "Parent=m") + line("five_prime_UTR", 191, 210, "+", "Parent=m") + line("exon", 191, 210, "+", "Parent=m") + line("exon", 291, 310, "+", "Parent=m") + line("CDS", 291, 310, "+", "Parent=m") + line("three_prime_UTR", 341, 350, "+", "Parent=m") + line("gene", 451, 550, "-", "ID=GeneB;Name=GeneB") + line("exon", 451, 470, "-", "Parent=n") + line("CDS", 451, 470, "-", "Parent=n") + "bad\trow\n")
+    body = "".join(f"ctgA\t{p}\t.\t{r}\t{a}\t{q}\t{f}\t.\tGT\t" + g.replace(" ", "\t") + "\n" for p, r, a, q, f, g in RECORDS)
+    (d / "small.vcf").write_text(HEAD + "F1\tF2\tB1\tB2\tB3\n" + body)
+    (d / "donor.vcf").write_text(HEAD + "F1\tF2\tB1\tB2\n" + "".join(f"ctgA\t{p}\t.\tG\tC\t40\tPASS\t.\tGT\t0/1\t1/1\t0/1\t0/0\n" for p in range(15, 135, 20)))
+    # two bubbles: n2 or n3 after n1, n5 or n6 further on, where F2 isn't seen
+    segments = [("n1", 12, 0), ("n2", 6, 12), ("n3", 9, 12), ("n4", 5, 30), ("n5", 11, 50), ("n6", 11, 50)]
+    walks = [(s, ">n1>n2>n4" if s[0] == "F" else ">n1>n3>n4") for s in ("F1", "F2", "B1", "B2", "B3")] + [("F1", ">n5"), *((s, ">n6") for s in ("B1", "B2", "B3"))]
+    graph = ["H\tVN:Z:1.1", *(f"S\t{n}\t{'C' * k}\tLN:i:{k}\tSN:Z:ctgA\tSO:i:{o}" for n, k, o in segments), *(f"W\t{s}\t0\tctgA\t0\t61\t{w}" for s, w in walks), "L\tn1\t+\tn4\t+\t0M", "P\tX#1#c\tn1+,n4-\t*"]
+    (d / "small.gfa").write_text("\n".join(graph) + "\n")
+    line = lambda kind, a, b, s, attr: f"ctgA\tx\t{kind}\t{a}\t{b}\t.\t{s}\t.\t{attr}\n"
+    (d / "small.gff3").write_text("##gff-version 3\n" + line("gene", 30, 220, "+", "ID=g1;Name=wx1") + line("mRNA", 30, 220, "+", "ID=t1;Parent=g1") + line("exon", 36, 80, "+", "Parent=t1") + line("CDS", 36, 60, "+", "Parent=t1") + line("five_prime_UTR", 61, 80, "+", "Parent=t1") + line("exon", 120, 140, "+", "Parent=t1") + line("CDS", 120, 125, "+", "Parent=t1") + line("gene", 400, 450, "-", "ID=g2;Name=wx2") + "bad\trow\n")
     return d
 
 
@@ -61,12 +62,17 @@ def test_vcf_scan(vcf_hits, folder):
     got = {h["locus_id"]: h for h in vcf_hits}
     assert len(got) == len(vcf_hits) == 7
     scores = {int(h["start"]) + 1: (h["strictness_class"], float(h["final_score"])) for h in got.values()}
-    assert scores == {100: ("strict_complete", 1.283333), 200: ("strict_target_missing", 0.923333), 300: ("strict_offtarget_missing", 1.003333), 400: ("strict_both_missing", 0.843333), 700: ("strict_complete", 1.208333), 800: ("strict_complete", 1.283333), 900: ("strict_complete", 1.283333)}
-    assert [int(h["start"]) + 1 for h in vcf_hits] == [100, 800, 900, 700, 300, 200, 400]
-    assert got["PPX00000006"]["end"] == "902" and got["PPX00000006"]["variant_type"] == "indel"
+    # (1 + 1) / 2, 0.2 if complete, QUAL / 60 * 0.1; less 0.8 * (0.4 * missing targets / 2 + 0.3 * missing off-targets / 3)
+    assert scores == {40: ("strict_complete", 1.3), 75: ("strict_target_missing", 0.89), 130: ("strict_offtarget_missing", 0.97), 210: ("strict_both_missing", 0.81), 410: ("strict_complete", 1.21), 505: ("strict_complete", 1.25), 620: ("strict_complete", 1.3)}
+    assert [int(h["start"]) + 1 for h in vcf_hits] == [40, 620, 505, 410, 130, 75, 210]
+    assert got["PPX00000001"]["start"] == "39" and got["PPX00000007"]["end"] == "622" and got["PPX00000007"]["variant_type"] == "indel"
     qc = {r["metric"]: int(r["value"]) for r in rows_of(folder / "vcf" / "qc.tsv")}
     assert [qc[k] for k in ("records_evaluated", "records_skipped_filter", "alleles_evaluated", "alleles_passed", "alleles_contradicted", "strictness_relaxed_threshold", "regions_emitted", "n_target_samples", "n_contigs_scanned")] == [9, 1, 9, 7, 1, 1, 7, 2, 1]
-    assert len(rows_of(folder / "vcf" / "sample_support.tsv")) == 35
+    support = rows_of(folder / "vcf" / "sample_support.tsv")
+    assert len(support) == 35 and {r["allele_supported"] for r in support} == {"true", "false"} and {r["depth"] for r in support} == {"NA"}
+    evidence = rows_of(folder / "vcf" / "evidence.tsv")
+    assert [(r["locus_id"], r["sample_id"], r["evidence_class"], r["metric_name"]) for r in evidence] == [(f"PPX{i:08d}", "", "support", "allele_pattern") for i in range(1, 8)]
+    assert evidence[0]["metric_value"] == "1.3" and "all targets support" in evidence[0]["details"]
 
 
 @pytest.mark.parametrize(("options", "n"), [({"min_qual": 10}, 6), ({"allow_multiallelic": False}, 6), ({"pass_only": False}, 8), ({"rules": kernel.Thresholds(relaxed_target_missing=0.4)}, 7)])
@@ -78,43 +84,91 @@ def test_vcf_scan_options(spark, folder, options, n):
 
 def test_region_and_missing_samples(spark, folder):
     path = str(folder / "small.vcf")
-    assert vcf.read_vcf(spark, path, "chr1:300-500").count() == 3
-    assert vcf.read_vcf(spark, path, "chr1:bad").count() == 9 and parse_region("a:1,000-2,000") == ("a", 999, 2000)
+    assert vcf.read_vcf(spark, path, "ctgA:75-260").count() == 4
+    assert vcf.read_vcf(spark, path, "ctgA:bad").count() == 9 and parse_region("a:1,000-2,000") == ("a", 999, 2000)
     with pytest.raises(CohortError):
-        scan.vcf_alleles(vcf.read_vcf(spark, path), ["T1", "T2"], COHORT)
-    far = Cohort.of(["T1", "T2"], ["O1", "O2", "O3", "nobody"])
+        scan.vcf_alleles(vcf.read_vcf(spark, path), ["F1", "F2"], COHORT)
+    far = Cohort.of(["F1", "F2"], ["B1", "B2", "B3", "nobody"])
     samples, contigs = vcf.header(spark, path)
-    got = scan.scan_vcf(vcf.read_vcf(spark, path), samples, contigs, far).filter("pos = 100").first()
+    got = scan.scan_vcf(vcf.read_vcf(spark, path), samples, contigs, far).filter("pos = 40").first()
     assert (got["offtarget_missing_n"], got["strictness_class"]) == (1, "strict_offtarget_missing")
+    with pytest.raises(FileNotFoundError):
+        vcf.require_index(spark, path)
+    (folder / "small.vcf.tbi").write_text("")
+    vcf.require_index(spark, path)
 
 
 def test_gfa_scan(spark, folder):
-    hits = runs.scan_gfa(spark, str(folder / "small.gfa"), COHORT, str(folder / "gfa"))
+    path = str(folder / "small.gfa")
+    hits = runs.scan_gfa(spark, path, COHORT, str(folder / "gfa"))
     got = [(r["locus_id"], r["name"], r["strictness_class"], r["final_score"]) for r in hits.orderBy("rank").collect()]
-    assert got == [("GPX00000000", "s2_target", "strict_complete", 1.2), ("GPX00000001", "s4_target", "strict_target_missing", 0.84)]
+    assert got == [("GPX00000001", "n2", "strict_complete", 1.2), ("GPX00000002", "n5", "strict_target_missing", 0.84)]
     qc = {r["metric"]: int(r["value"]) for r in rows_of(folder / "gfa" / "qc.tsv")}
-    assert qc == {"segments_evaluated": 5, "segments_contradicted": 3, "segments_passed": 2}
-    graph = gfa.read_gfa(spark, str(folder / "small.gfa"))
-    assert gfa.samples(graph) == ["O1", "O2", "O3", "T1", "T2", "X"]
-    index = str(folder / "index")
-    gfa.write_index(gfa.scan_index(graph), index)
-    assert scan.gfa_hits(scan.scan_gfa(gfa.read_index(spark, index), COHORT)).count() == 2
+    assert qc == {"segments_evaluated": 4, "segments_contradicted": 2, "segments_passed": 2}
+    texts = {r["segment_name"]: r["interpretation"] for r in rows_of(folder / "gfa" / "graph_segments.tsv")}
+    assert all("do not traverse this same segment" in t for t in texts.values()) and set(texts) == {"n2", "n5"}
+    graph = gfa.read_gfa(spark, path)
+    assert gfa.samples(graph) == ["B1", "B2", "B3", "F1", "F2", "X"]
+    index = gfa.scan_index(graph)
+    assert {r["name"] for r in gfa.segments_at(index, "ctgA", 11, 13).collect()} == {"n1", "n2", "n3"}
+    assert {r["sample"] for r in gfa.traversing(index, ["n5", "n2"]).collect()} == {"F1", "F2"}
+    assert {r["sample"] for r in gfa.present_at(graph, index, "ctgA", 40, 45).collect()} == {"F1", "F2", "B1", "B2", "B3"}  # by their walks
+
+
+def test_gfa_index(spark, folder, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "g.gfa")
+    shutil.copy(folder / "small.gfa", path)
+    index = str(tmp_path / "other")
+    gfa.write_index(gfa.scan_index(gfa.read_gfa(spark, path)), index, path)
+    assert scan.gfa_hits(scan.scan_gfa(gfa.read_index(spark, index, path), COHORT)).count() == 2
+    with pytest.raises(gfa.GfaError, match="no index"):
+        gfa.read_index(spark, str(tmp_path / "nowhere"))
+    gfa.write_index(gfa.scan_index(gfa.read_gfa(spark, path)), gfa.default_index(path), path)
+    assert gfa.index_for(spark, path)["segments"].inputFiles()[0].startswith(f"file://{gfa.default_index(path)}")
+    with open(path, "a") as f:
+        f.write("S\tn9\tC\n")
+    with pytest.raises(gfa.GfaError, match="another state"):
+        gfa.index_for(spark, path)
 
 
 def test_annotation_and_export(spark, folder, vcf_hits):
     path = str(folder / "vcf" / "hits.tsv")
     runs.annotate_hits(spark, path, str(folder / "small.gff3"), str(folder / "ann"))
     kinds = {int(r["start"]) + 1: (r["annotation_class"], r["gene_id"]) for r in rows_of(folder / "ann" / "annotated_hits.tsv")}
-    assert kinds == {100: ("CDS", "GeneA"), 200: ("UTR", "GeneA"), 300: ("CDS", "GeneA"), 400: ("intergenic", "NA"), 700: ("intergenic", "NA"), 800: ("intergenic", "NA"), 900: ("intergenic", "NA")}
-    assert {r["annotation_class"]: int(r["n_loci"]) for r in rows_of(folder / "ann" / "annotation_summary.tsv")} == {"CDS": 2, "UTR": 1, "exon": 0, "intronic": 0, "intergenic": 4}
+    assert kinds == {40: ("CDS", "wx1"), 75: ("UTR", "wx1"), 130: ("exon", "wx1"), 210: ("intronic", "wx1"), 410: ("intronic", "wx2"), 505: ("intergenic", "NA"), 620: ("intergenic", "NA")}
+    assert {r["annotation_class"]: int(r["n_loci"]) for r in rows_of(folder / "ann" / "annotation_summary.tsv")} == {"CDS": 1, "UTR": 1, "exon": 1, "intronic": 2, "intergenic": 2}
     runs.export(spark, path, str(folder / "h.bed"), track="t")
     bed = (folder / "h.bed").read_text().splitlines()
-    assert bed[0] == 'track name="t"' and bed[1].split("\t")[:5] == ["chr1", "99", "100", "PPX00000000", "1000"]
+    assert bed[0] == 'track name="t"' and bed[1].split("\t")[:5] == ["ctgA", "39", "40", "PPX00000001", "1000"]
     runs.export(spark, path, str(folder / "h.gff3"), form="gff3")
     line = (folder / "h.gff3").read_text().splitlines()[1].split("\t")
-    assert line[3:6] == ["100", "100", "1.28333"] and "allele_key=chr1:100:A:T" in line[8]
-    out = runs.report(spark, path, str(folder / "rep"), evidence=str(folder / "vcf" / "evidence.tsv"), top_n=3)
-    assert out["ranked_hits"].count() == 3 and os.path.exists(folder / "rep" / "report.md")
+    assert line[3:6] == ["40", "40", "1.3"] and "allele_key=ctgA:40:C:G" in line[8]
+    assert runs.export_all(spark, str(folder / "exp"), path, str(folder / "vcf" / "regions.tsv"), form="gff3") == [str(folder / "exp" / f"{k}.gff3") for k in ("hits", "regions")]
+    with pytest.raises(FileNotFoundError):
+        runs.export_all(spark, str(folder / "exp"), None, None)
+    v = folder / "vcf"
+    out = runs.report(spark, path, str(folder / "rep"), str(v / "evidence.tsv"), 3, str(v / "regions.tsv"), str(v / "qc.tsv"), run=str(v / "run.json"))
+    assert out["ranked_hits"].count() == 3 and os.path.exists(folder / "rep" / "report.md") and "<table>" in (folder / "rep" / "report.html").read_text()
+    assert [(r["strictness_class"], r["n_loci"], r["pct_hits"]) for r in out["strictness_summary"].collect()] == [("strict_complete", 4, 57.1), ("strict_target_missing", 1, 14.3), ("strict_offtarget_missing", 1, 14.3), ("strict_both_missing", 1, 14.3), ("relaxed_threshold", 0, 0.0)]
+    assert {r["metric"]: r["value"] for r in out["summary"].collect()}["top_locus_id"] == "PPX00000001"
+    assert [tuple(r)[:2] for r in out["contradiction_summary"].collect()] == [("alleles_contradicted", "1")]
+
+
+def test_plot_tables(spark, folder, vcf_hits):
+    path, ev = str(folder / "vcf" / "hits.tsv"), str(folder / "vcf" / "evidence.tsv")
+    out = runs.plot_tables(spark, path, str(folder / "plots"), evidence=ev)
+    assert set(out) == {"locus_panel", "strictness_bar", "score_distribution", "support_bar"}
+    assert sum(r["n"] for r in out["score_distribution"].collect()) == 7 and max(r["bin"] for r in out["score_distribution"].collect()) <= 7
+    for kind, word in (("support_bar", "--evidence"), ("compare_summary", "--compare"), ("pie", "plot type")):
+        with pytest.raises(ValueError, match=word):
+            runs.plot_tables(spark, path, str(folder / "plots"), kind)
+    runs.plot_tables(spark, path, str(folder / "plots"), "locus_panel", top_n=2)
+    import json
+
+    meta = json.loads((folder / "plots" / "plots.json").read_text())
+    assert len(meta["outputs"]) == 4 and meta["parameters"] == {"plot_type": "locus_panel", "top_n": 2}
 
 
 def test_compare(spark, folder, vcf_hits):
@@ -136,15 +190,16 @@ def test_compare(spark, folder, vcf_hits):
 def test_pangenome(spark, folder):
     path = str(folder / "small.vcf")
     samples, _ = vcf.header(spark, path)
-    groups = inferred_groups(samples, ["T1", "T2"])
+    groups = inferred_groups(samples, ["F1", "F2"])
     out = runs.pangenome_tables(*runs.vcf_matrix(vcf.read_vcf(spark, path), samples), groups, str(folder / "pan"), trials=3)
     comp = {(r["grp"], r["category"]): (r["features"], r["bp"]) for r in out["composition"].collect()}
+    # ten alleles: one carried by nobody, two by one sample, the others by F1 and F2 (and one by B2 too); the longest letter count of an allele is its length
     want = {"full": [(1, 1), (2, 2), (7, 9), (0, 0)], "target": [(1, 1), (2, 2), (0, 0), (7, 9)], "off_target": [(9, 11), (1, 1), (0, 0), (0, 0)]}
     assert comp == {(g, c): v for g, vs in want.items() for c, v in zip(pangenome.CATEGORIES, vs)}
     graph = gfa.read_gfa(spark, str(folder / "small.gfa"))
     f, p = runs.gfa_matrix(graph)
     comp = {r["category"]: (r["features"], r["bp"]) for r in pangenome.composition(f, p.filter("sample <> 'X'"), groups).filter("grp = 'full'").collect()}
-    assert comp == {"absent": (0, 0), "private": (1, 7), "accessory": (4, 35), "core": (2, 16)}
+    assert comp == {"absent": (0, 0), "private": (1, 11), "accessory": (3, 26), "core": (2, 17)}
 
 
 def test_growth_curves_equal_a_loop(spark):
@@ -168,9 +223,10 @@ def test_growth_curves_equal_a_loop(spark):
 
 
 def test_landscape(spark, folder):
-    out = runs.landscape_vcf(spark, str(folder / "donor.vcf"), ["T1", "T2"], str(folder / "land"), ["O1", "O2"], window=3, step=3, min_called=0, min_freq_values=0, introgression={"min_similarity": 0.9, "min_delta": 0.5, "min_windows": 2}, pca=True)
+    out = runs.landscape_vcf(spark, str(folder / "donor.vcf"), ["F1", "F2"], str(folder / "land"), ["B1", "B2"], window=3, step=3, min_called=0, min_freq_values=0, introgression={"min_similarity": 0.9, "min_delta": 0.5, "min_windows": 2}, pca=True)
     blocks = out["candidate_introgression_blocks"].collect()
-    assert [(b["sample"], b["candidate_donor"], b["n_windows"], b["mean_donor_similarity"], b["mean_similarity_delta"], b["evidence_class"]) for b in blocks] == [("T1", "O1", 2, 1.0, 1.0, "offtarget_closer_than_target")]
+    assert [(b["sample"], b["candidate_donor"], b["n_windows"], b["mean_donor_similarity"], b["mean_similarity_delta"], b["evidence_class"]) for b in blocks] == [("F1", "B1", 2, 1.0, 1.0, "offtarget_closer_than_target")]
+    assert [b["block_id"] for b in blocks] == ["IB00000001"] and sorted(r["window_id"] for r in out["windows"].collect()) == ["LW00000001", "LW00000002"]
     pca = out["local_pca"].collect()
     assert len(pca) == 8 and all(0 <= r["local_pc1_variance"] <= 1 for r in pca)
     records = vcf.read_vcf(spark, str(folder / "small.vcf"))
@@ -194,7 +250,7 @@ def test_record_windows_equal_a_loop(spark, n, size, step):
 
 def test_bp_windows_number_only_filled_ones(spark):
     df = spark.createDataFrame([("c", 100, 101), ("c", 130, 140), ("c", 400, 401)], "contig string, start long, end long")
-    assert sorted((r["w"], r["start"]) for r in bp_windows(df, 50, 25).collect()) == [(0, 100), (0, 130), (1, 130), (2, 400), (3, 400)]
+    assert sorted((r["w"], r["start"]) for r in bp_windows(df, 50, 25).collect()) == [(0, 100), (0, 130), (1, 130), (2, 400)]  # the first window that reaches the end is the last
 
 
 def test_intervals_equal_brute_force(spark):
@@ -265,12 +321,18 @@ def test_cohorts(tmp_path):
     assert read_cohort(str(tmp_path / "c.tsv")) == Cohort.of(["a"], ["b"], ["c"])
     (tmp_path / "c.yaml").write_text("cohorts:\n  targets: [a]\n  off_targets: [b]\n")
     assert read_cohort(str(tmp_path / "c.yaml")) == Cohort.of(["a"], ["b"])
+    (tmp_path / "d.tsv").write_text("sample_id\tcohort_role\na\tTarget\nb\tcomparisons\n\ttarget\nc\tBackgrounds\n")
+    assert read_cohort(str(tmp_path / "d.tsv")) == Cohort.of(["a"], ["b", "c"])
+    (tmp_path / "l.txt").write_text("# names\n  a  first\n\nb\tx\na\n")
+    assert read_sample_list(str(tmp_path / "l.txt")) == ("a", "b")
+    with pytest.raises(ValueError, match=".tsv"):
+        read_cohort(str(tmp_path / "c.csv"))
 
 
 def test_reads(spark, tmp_path):
     seq = "ACGTACGTACGTACGTACGTACGTACGTAC"
     line = lambda k, base, cigar="30M", q="I" * 30, flag=0: f"r{k}\t{flag}\tchr1\t86\t60\t{cigar}\t*\t0\t0\t{seq[:14] + base + seq[15:]}\t{q}\n"
-    files = {"T1": 12 * [line(0, "T")], "O1": 12 * [line(0, "A")], "O2": 12 * [line(0, "T")], "T2": 3 * [line(0, "T")], "O3": [*12 * [line(0, "A", "10M2D20M")], line(1, "T", flag=256), line(2, "T", q="!" * 30)]}
+    files = {"F1": 12 * [line(0, "T")], "B1": 12 * [line(0, "A")], "B2": 12 * [line(0, "T")], "F2": 3 * [line(0, "T")], "B3": [*12 * [line(0, "A", "10M2D20M")], line(1, "T", flag=256), line(2, "T", q="!" * 30)]}
     blocks = None
     for s, body in files.items():
         (tmp_path / f"{s}.sam").write_text(f"@RG\tID:1\tSM:{s}\n" + "".join(body))
@@ -279,15 +341,17 @@ def test_reads(spark, tmp_path):
         blocks = own if blocks is None else blocks.unionByName(own)
     loci = spark.createDataFrame([(0, "chr1", 99, 100, "A", "T", "snp"), (1, "chr1", 90, 95, "AAAAA", "A", "indel"), (2, "chr9", 1, 2, "A", "T", "snp")], "ord long, contig string, start long, end long, ref string, alt string, variant_type string")
     counts = sam.allele_counts(loci, blocks, list(files))
-    ev = {(r["ord"], r["sample"]): r for r in sam.read_evidence(counts, ("T1", "T2")).collect()}
+    ev = {(r["ord"], r["sample"]): r for r in sam.read_evidence(counts, ("F1", "F2")).collect()}
     assert len(ev) == 15
-    assert [(ev[0, s]["depth"], ev[0, s]["alt_n"], ev[0, s]["evidence_class"]) for s in ("T1", "O1", "O2", "T2")] == [(12, 12, "support"), (12, 0, "absence"), (12, 12, "contradiction"), (3, 3, "uninformative")]
-    assert ev[0, "O3"]["alt_n"] == 0 and ev[1, "T1"]["depth"] == 12 and ev[1, "T1"]["evidence_class"] == "uninformative" and ev[2, "T1"]["depth"] == 0
-    assert {r["ord"]: r["support"] for r in sam.locus_support(sam.read_evidence(counts, ("T1", "T2"))).collect()}[0] == pytest.approx((1 + 1 - 1 + 1) / 4)
+    assert [(ev[0, s]["depth"], ev[0, s]["alt_n"], ev[0, s]["evidence_class"]) for s in ("F1", "B1", "B2", "F2")] == [(12, 12, "support"), (12, 0, "absence"), (12, 12, "contradiction"), (3, 3, "uninformative")]
+    assert ev[0, "B3"]["alt_n"] == 0 and ev[1, "F1"]["depth"] == 12 and ev[1, "F1"]["evidence_class"] == "uninformative" and ev[2, "F1"]["depth"] == 0
+    depth = {(r["sample"], r["pos"]): r["depth"] for r in sam.position_depth(blocks, "chr1", 94, 97).collect()}
+    assert len(depth) == 15 and depth["F1", 95] == 12 and depth["B3", 95] == 1 and depth["B3", 94] == 13
+    assert {r["ord"]: r["support"] for r in sam.locus_support(sam.read_evidence(counts, ("F1", "F2"))).collect()}[0] == pytest.approx((1 + 1 - 1 + 1) / 4)
 
 
 def test_xmfa(spark, tmp_path):
-    (tmp_path / "a.xmfa").write_text("#FormatVersion Mauve1\n>1:11-18 + ref.fa\nACGTACGT\n>2:1-8 + t1.fa\nATGTA-GT\n>3:1-8 + t2.fa\nATGTA-GT\n>4:1-8 + o1.fa\nACGTACGT\n=\n")
+    (tmp_path / "a.xmfa").write_text("#FormatVersion Mauve1\n#Key=value\n>1:11-18 + ref.fa\nACGTACGT\n>2:1-8 + t1.fa\nATGTA-GT\n>3:1-8 + t2.fa\nATGTA-GT\n>4:1-8 + o1.fa\nACGTACGT\n=\n")
     states = xmfa.reference_states(xmfa.read_xmfa(spark, str(tmp_path / "a.xmfa")), "ref")
     sites = private_sites.judged(private_sites.from_states(states, ("t1", "t2")), 2)
     got = sorted((r["pos"], r["target_allele"], r["strictness"], r["classification"]) for r in sites.collect())
@@ -315,11 +379,11 @@ def test_focus(spark, folder):
         focus.parse_focus("chr1")
     path = str(folder / "donor.vcf")
     samples, _ = vcf.header(spark, path)
-    rows = focus.focus_sites(vcf.read_vcf(spark, path), samples, "T1", "O1", "O2").collect()
+    rows = focus.focus_sites(vcf.read_vcf(spark, path), samples, "F1", "B1", "B2").collect()
     assert len(rows) == 6 and {(r["pattern_class"], r["derived_state"], tuple(r["shared_private_alts"]), r["display_type"]) for r in rows} == {("target_private", "het", (1,), "SNP")}
-    feats = gff.read_gff(spark, str(folder / "small.gff3")).select(F.lit("g").alias("gene_id"), "type", (F.col("start") + 1).alias("start"), "end", "strand").filter("end <= 350")
-    parts = {(r["part"], r["start"], r["end"]) for r in focus.gene_models(feats, 40).collect()}
-    assert {("intron", 111, 190), ("intron", 211, 290), ("promoter", 11, 50), ("cds", 91, 110), ("gene", 51, 350)} <= parts
+    feats = gff.read_gff(spark, str(folder / "small.gff3")).select(F.lit("g").alias("gene_id"), "type", (F.col("start") + 1).alias("start"), "end", "strand").filter("end <= 220")
+    parts = {(r["part"], r["start"], r["end"]) for r in focus.gene_models(feats, 20).collect()}
+    assert {("intron", 81, 119), ("promoter", 10, 29), ("cds", 36, 60), ("exon", 120, 140), ("gene", 30, 220)} <= parts
 
 
 def test_growth_quantiles_rest_on_100_trials(spark, monkeypatch):
@@ -338,7 +402,7 @@ def test_every_event_is_annotated(spark):
     from cladespark.plans.driver_tables import events
 
     sf = "/root/testdata/sf0.001"
-    got = {name: QUERIES[f"{name}_all"](spark, sf).collect() for name in ("annotate_hierarchy", "annotation_summary", "annotate_nearest", "candidate_rank")}
+    got = {name: QUERIES[name](spark, sf).collect() for name in ("annotate_hierarchy", "annotation_summary", "annotate_nearest", "candidate_rank")}
     rows = events(spark, sf).collect()
     loci, others = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
     classes, nearest, burden = {}, {}, Counter()
@@ -351,7 +415,7 @@ def test_every_event_is_annotated(spark):
         for b in genes:
             burden[b["start"], b["locus_id"]] += (1, 2, 4)[a["ord"] % 3]
         near = [(max(0, b["start"] - (a["end"] - 1), a["start"] - (b["end"] + 299)), b["start"], b["end"], b["locus_id"]) for b in others if b["contig"] == a["contig"]]
-        nearest[a["locus_id"]] = min((x for x in near if x[0] <= 100_000), default=(None, 0, 0, None))
+        nearest[a["locus_id"]] = min(near, default=(None, 0, 0, None))
     assert {r["locus_id"]: (r["gene_id"], r["annotation_class"]) for r in got["annotate_hierarchy"]} == classes and len(got["annotate_hierarchy"]) == len(loci)
     assert {r["annotation_class"]: r["n_loci"] for r in got["annotation_summary"] if r["n_loci"]} == Counter(name for _, name in classes.values())
     assert {r["locus_id"]: (r["distance"], r["gene_id"]) for r in got["annotate_nearest"]} == {i: (x[0], x[3]) for i, x in nearest.items()}
@@ -372,7 +436,7 @@ def test_dashboards_and_plot_data(spark, folder, vcf_hits):
     (folder / "scan").mkdir()
     os.symlink(folder / "vcf", folder / "scan" / "vcf")
     payload = dashboards.scan_payload(spark, str(folder / "scan"), hits=3)
-    assert payload["n_hits"] == 7 and len(payload["sources"][0]["hits"]) == 3 and payload["sources"][0]["best_score"] == 1.283333
+    assert payload["n_hits"] == 7 and len(payload["sources"][0]["hits"]) == 3 and payload["sources"][0]["best_score"] == 1.3
     dashboards.write_page(payload, str(folder / "page.html"))
     assert dashboards.read_json(str(folder / "page.json"))["n_hits"] == 7 and dashboards.read_json("/nowhere.json") == {}
     pairs = spark.createDataFrame([("c", 0, "a", "b", 0.2), ("c", 0, "a", "c", 0.9), ("c", 0, "b", "c", 0.1)], "contig string, w int, sample_a string, sample_b string, similarity double")
@@ -384,15 +448,115 @@ def test_dashboards_and_plot_data(spark, folder, vcf_hits):
 def test_cli(spark, folder):
     from cladespark.cli import main
 
-    base = ["--targets", "T1", "T2", "--off-targets", "O1", "O2", "O3"]
-    out = str(folder / "cli")
-    assert main(["scan", "--vcf", str(folder / "small.vcf"), "--gfa", str(folder / "small.gfa"), "--outdir", out, *base], spark) == 0
+    base = ["--targets", "F1", "F2", "--off-targets", "B1", "B2", "B3"]
+    out, small = str(folder / "cli"), str(folder / "small.vcf")
+    assert main(["scan", "--vcf", small, "--gfa", str(folder / "small.gfa"), "--outdir", out, *base], spark) == 0
     assert {r["match_class"] for r in rows_of(folder / "cli" / "compare" / "compare.tsv")} <= {"supported", "partially_supported", "source_specific", "contradicted"}
     assert main(["scan", "--outdir", out, *base], spark) == 2
-    assert main(["scan", "--vcf", str(folder / "small.vcf"), "--outdir", out, "--targets", "T1", "--off-targets", "T1"], spark) == 2
+    assert main(["scan", "--vcf", small, "--outdir", out, "--targets", "F1", "--off-targets", "F1"], spark) == 2
+    assert main(["scan", "--vcf", small, "--outdir", out, "--gfa-index", "x", *base], spark) == 1
+    assert main(["scan", "--vcf", small, "--outdir", out, "--mode", "private_genotype", *base], spark) == 1
     assert main(["index", "--gfa", str(folder / "small.gfa")], spark) == 0 and os.path.isdir(f"{folder}/small.gfa.index")
 
 
+def test_settings_file_and_options(spark, folder, tmp_path):
+    import json
+
+    from cladespark import config
+    from cladespark.cli import main
+
+    (tmp_path / "c.yaml").write_text("project_name: trial\nscan:\n  min_qual: 10\n  merge_distance: 7\nscoring:\n  penalty_weight: 0.5\nunknown: 1\n")
+    s = config.load(str(tmp_path / "c.yaml"), {"scan": {"merge_distance": 9}})
+    assert (s.project_name, s.scan.min_qual, s.scan.merge_distance, s.scan.pass_only, s.scoring.penalty_weight, s.scoring.support_weight) == ("trial", 10, 9, True, 0.5, 0.7)
+    for bad in ({"scan": {"min_target_support": 2}}, {"bam": {"min_depth": -1}}, {"mode": "private_sv_state"}, {"gfa": {"min_segment_length": 0}}, {"scan": 3}):
+        with pytest.raises(ValueError, match="must|mode"):
+            config.load(None, bad)
+    args = ["scan", "--vcf", str(folder / "small.vcf"), "--config", str(tmp_path / "c.yaml"), "--outdir", str(tmp_path / "o"), "--targets", "F1", "F2", "--off-targets", "B1", "B2", "B3"]
+    assert main(args, spark) == 0 and len(rows_of(tmp_path / "o" / "hits.tsv")) == 6
+    run = json.loads((tmp_path / "o" / "run.json").read_text())
+    assert run["project_name"] == "trial" and run["config"]["scan"]["min_qual"] == 10 and run["version"]
+    assert {float(r["penalty_score"]) for r in rows_of(tmp_path / "o" / "hits.tsv") if r["strictness_class"] == "strict_target_missing"} == {0.1}
+    assert main([*args, "--min-qual", "0"], spark) == 0 and len(rows_of(tmp_path / "o" / "hits.tsv")) == 7
+
+
+def test_scan_with_reads(spark, folder, tmp_path):
+    from cladespark.cli import main
+
+    def sam_file(name, sample, base, n, flag=0):
+        read = "A" * 9 + base + "A" * 10  # covers 31..50; base 40 is the tenth
+        body = "".join(f"r{k}\t{flag}\tctgA\t31\t60\t20M\t*\t0\t0\t{read}\t{'I' * 20}\n" for k in range(n))
+        body += "".join(f"i{k}\t0\tctgA\t615\t60\t20M\t*\t0\t0\t{'A' * 20}\t{'I' * 20}\n" for k in range(9))
+        (tmp_path / name).write_text((f"@RG\tID:1\tSM:{sample}\n" if sample else "@HD\tVN:1.6\n") + body)
+        return str(tmp_path / name)
+
+    files = [sam_file("a.sam", "F1", "G", 10), sam_file("F2.sam", None, "C", 10), sam_file("b.sam", "B1", "C", 12), sam_file("c.sam", "B2", "G", 3)]
+    base = ["--vcf", str(folder / "small.vcf"), "--targets", "F1", "F2", "--off-targets", "B1", "B2", "B3"]
+    assert main(["scan", *base, "--outdir", str(tmp_path / "o"), "--bam", *files], spark) == 0
+    hits = {int(r["start"]) + 1: r for r in rows_of(tmp_path / "o" / "hits.tsv")}
+    # F1 supports (1), F2 is ambiguous (0.3), B1 lacks the allele (1), B2 has too few reads: mean 0.766667, times 0.7
+    assert float(hits[40]["support_score"]) == 0.536667 and float(hits[40]["final_score"]) == 1.836667 and float(hits[75]["support_score"]) == 0
+    bam = [r for r in rows_of(tmp_path / "o" / "evidence.tsv") if r["source_type"] == "bam"]
+    assert len(bam) == 7 * 4
+    at = {r["sample_id"]: r for r in bam if r["locus_id"] == hits[40]["locus_id"]}
+    assert {s: (r["evidence_class"], r["metric_name"], r["metric_value"]) for s, r in at.items()} == {"F1": ("support", "allele_fraction", "1.0"), "F2": ("ambiguous", "allele_fraction", "0.0"), "B1": ("absence", "allele_fraction", "0.0"), "B2": ("uninformative", "allele_fraction", "1.0")}
+    indel = next(r for r in bam if r["locus_id"] == hits[620]["locus_id"] and r["sample_id"] == "F1")
+    assert (indel["evidence_class"], indel["metric_name"], indel["metric_value"], indel["details"]) == ("uninformative", "depth", "9.0", "BAM pileup at ctgA:619")
+    support = {(r["locus_id"], r["sample_id"]): (r["depth"], r["allele_fraction"]) for r in rows_of(tmp_path / "o" / "sample_support.tsv")}
+    assert support[hits[40]["locus_id"], "F1"] == ("10", "1.0") and support[hits[620]["locus_id"], "F1"] == ("9", "NA") and support[hits[40]["locus_id"], "B3"] == ("NA", "NA")
+    (tmp_path / "m.tsv").write_text("# a comment\nbam_path\tsample_id\tgroup\n" + f"{files[0]}\tB1\tx\n")
+    assert sam.sample_pairs(spark, files, str(tmp_path / "m.tsv")) == [(files[0], "B1")]
+    (tmp_path / "n.tsv").write_text("path\tsample_id\n")
+    with pytest.raises(ValueError, match="bam_path"):
+        sam.read_manifest(str(tmp_path / "n.tsv"))
+
+
+def test_landscape_command(spark, folder, tmp_path):
+    from cladespark.cli import main
+
+    base = ["landscape", "--vcf", str(folder / "small.vcf"), "--targets", "F1", "F2", "--off-targets", "B1", "B2", "B3", "--outdir", str(tmp_path / "l")]
+    for bad in (["--window-records", "0"], ["--max-site-missing-rate", "2"], ["--variant-type", "cnv"], ["--min-alt-carrier-freq", "0.6", "--max-alt-carrier-freq", "0.5"], ["--min-introgression-windows", "0"]):
+        assert main([*base, *bad], spark) == 1
+    assert main([*base, "--window-bp", "200", "--step-bp", "100", "--variant-type", "snp", "--biallelic-only", "--min-alt-carriers", "2", "--local-pca"], spark) == 0
+    got = {r["metric"]: r["value"] for r in rows_of(tmp_path / "l" / "filter_summary.tsv")}
+    assert list(got) == [name for name, _ in landscape.FILTER_METRICS]
+    # seen, then: one FILTER, one with two ALTs, one indel, two with a single carrier
+    assert [got[k] for k in ("records_seen", "records_kept", "skipped_filter", "skipped_multiallelic", "skipped_variant_type", "skipped_min_alt_carriers", "kept_fraction")] == ["9", "4", "1", "1", "1", "2", "0.444444"]
+    windows = rows_of(tmp_path / "l" / "windows.tsv")
+    # kept: 40, 130, 260, 410 (0-based 39..410): grid from 39; windows that hold records, the last reaches 410
+    assert [(r["window_id"], int(r["start"]), int(r["end"]), int(r["n_variants"])) for r in windows] == [("LW00000001", 39, 130, 2), ("LW00000002", 259, 260, 1), ("LW00000003", 259, 410, 2)]
+    assert main(["plot", "--landscape", str(tmp_path / "l"), "--outdir", str(tmp_path / "p")], spark) == 0
+    cells = rows_of(tmp_path / "p" / "cluster_map.tsv")
+    assert len(cells) == 25 and all(float(r["similarity"]) == 1 for r in cells if r["row"] == r["column"])
+    (tmp_path / "mixed.vcf").write_text(HEAD + "F1\tB1\n" + "".join(f"{c}\t{p}\t.\tG\tC\t4\tPASS\t.\tGT\t0/1\t0/0\n" for c, p in (("x", 1), ("y", 1), ("x", 2))))
+    assert main(["landscape", "--vcf", str(tmp_path / "mixed.vcf"), "--targets", "F1", "--off-targets", "B1", "--outdir", str(tmp_path / "m")], spark) == 1
+
+
+def test_interactive_command(spark, folder, tmp_path, vcf_hits):
+    import json
+
+    from cladespark.cli import main
+
+    (tmp_path / "f.tsv").write_text("gene\tproduct\nwx1\tWaxy kinase\n")
+    args = ["interactive", "--vcf", str(folder / "small.vcf"), "--gff3", str(folder / "small.gff3"), "--functional-tsv", str(tmp_path / "f.tsv"), "--samples", "B1", "F1", "F2", "--promoter-bp", "10", "--keyword-group", "Kinases!=kinase,other", "--sample-abbrev", "bg=B1", "--track-gff", f"extra={folder}/small.gff3", "--outdir", str(tmp_path / "i")]
+    assert main([*args, "--focus", "ctgA:1-300", "--focus", "ctgA:301-700", "--scan-dir", str(folder / "vcf")], spark) == 0
+    page = json.loads((tmp_path / "i" / "ctgA_1_300.json").read_text())
+    # 75 and 210 lack a genotype of F2; 40 differs between the targets; at 130 and 260 both share what B1 lacks
+    assert page["counters"] == {"records_seen": 5, "records_written": 3, "skipped_filter": 0, "skipped_variant_type": 0, "skipped_missing": 2, "skipped_biallelic": 0}
+    assert page["patterns"] == {"target_private": 2, "other": 1}
+    genes = {(r["feature_type"], r["start"], r["end"]): (r["snp_n"], r["functional"]) for r in page["features"]}
+    assert genes["gene", 30, 220] == (1, "Waxy kinase") and genes["exon", 120, 140] == (1, "Waxy kinase") and genes["promoter", 20, 29][0] == 0 and genes["CDS", 120, 125][0] == 0 and genes["intron", 81, 119][0] == 0
+    groups = {g["key"]: g["rows"] for g in page["candidate_groups"]}
+    assert set(groups) == {"all", "gene_models", "promoters", "extra_tracks", "kinases"} and {r["feature_type"] for r in groups["kinases"]} == {"gene", "exon"} and groups["promoters"] == []
+    assert [(b["start"], b["end"], b["target"]) for b in page["bins"]] == [(1, 300, 2)]
+    sites = rows_of(tmp_path / "i" / "ctgA_1_300.sites.tsv")
+    assert [(r["pos"], r["nearest_gene_name"], r["overlapping_gene_names"], r["F1_state"]) for r in sites] == [("40", "wx1", "wx1", "het"), ("130", "wx1", "wx1", "het"), ("260", "wx1", "NA", "het")]
+    assert {os.path.basename(p) for p in map(str, (tmp_path / "i").iterdir())} >= {"index.html", "scan.html", "ctgA_301_700.html"}
+    again = ["interactive", "--sites-tsv", str(tmp_path / "i" / "ctgA_1_300.sites.tsv"), "--samples", "B1", "F1", "F2", "--focus", "ctgA:100-300", "--outdir", str(tmp_path / "j")]
+    assert main(again, spark) == 0 and json.loads((tmp_path / "j" / "ctgA_100_300.json").read_text())["patterns"] == {"target_private": 2}
+    assert main(["interactive", "--outdir", str(tmp_path / "k")], spark) == 2 and main(["interactive", "--focus", "ctgA:1-2", "--outdir", str(tmp_path / "k")], spark) == 2
+    assert main([*args, "--focus", "ctgA:x"], spark) == 1 and main([*args, "--focus", "ctgA:1-300", "--samples", "no", "F1", "F2"], spark) == 1
+
+
 def test_stream_equals_batch(spark, folder):
     from cladespark.streaming.alleles import append_hits, classified
 
