@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import doc_key, free_names, real_id, sliced, written
+from cladespark.llm.common import doc_key, free_names, give_back, real_id, sliced, written
 from cladespark.llm.components import connected_components
 from cladespark.llm.near_groups import centres, distinct_nodes, proved, tasks
 
@@ -66,7 +66,7 @@ class Shingler:
     def _hash(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= 400_000:
+            if len(self.known) >= 150_000:
                 self.known.clear()
             found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
             if len(word) <= 64:
@@ -125,6 +125,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 paths.append(minhash(s, TREES * LEVELS).astype(">u4").tobytes())
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(paths, pa.binary())], names=["doc", "row", "s1", "s2", "n", "paths"])
+        give_back(shingle.known)
 
     rows = docs.select(doc_key(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc long, row long, s1 long, s2 long, n int, paths binary")
@@ -185,6 +186,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle(text) for text in batch.column(2).to_pylist()]
         paths = [minhash(x, TREES * LEVELS).astype(">u4").tobytes() for x in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(paths, pa.binary())], names=["rep", "copies", "sh", "paths"])
+    give_back(shingle.known)
 
 
 def _distances(threshold: float):

@@ -36,9 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cladespark.llm.common import free_names, sliced, written
+from cladespark.llm.common import free_names, give_back, sliced, written
 
 #: Most labelled rows that the document model is fitted on, and buckets of hashed features.
 SAMPLE, BITS = 8_000, 18
@@ -62,7 +61,7 @@ class Features:
         self.mask, self.known = np.uint64(2**bits - 1), {}
 
     def _hash(self, word: str) -> tuple[int, int]:
-        if len(self.known) >= 200_000:
+        if len(self.known) >= 100_000:
             self.known.clear()
         found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) | 1 << 32
         if len(word) <= 64:
@@ -160,25 +159,28 @@ def fit_document_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     base = float(np.clip(y.mean(), 0.5 / len(y), 1 - 0.5 / len(y)))
     w *= a
     used = np.flatnonzero(w)
-    return {"i": used, "w": w[used].astype(np.float32), "bias": a * b + c - math.log(base / (1 - base)), "base": base}
+    return {"i": used.astype(np.int32), "w": w[used].astype(np.float32), "bias": a * b + c - math.log(base / (1 - base)), "base": base}
 
 
-def _evidence(model: dict, at: int):
-    """A mapInArrow function that adds the log likelihood ratio of good against bad for the text in column ``at``."""
+def _evidence(model: dict):
+    """An Arrow UDF: text to the log likelihood ratio of good against bad. Only texts go to Python, only numbers come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = np.zeros(2**BITS, np.float32)
         dense[model["i"]] = model["w"]
         features = Features()
-        for batch in sliced(batches):
-            llr = np.full(batch.num_rows, model["bias"])
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                found = features(text)
-                if len(found):
-                    llr[i] += dense[found].mean(dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(llr, -30, 30))], names=[f"c{i}" for i in range(batch.num_columns + 1)])
+        for texts in parts:
+            llr = np.full(len(texts), model["bias"])
+            for start in range(0, len(texts), 256):  # so that few texts are Python strings at a time
+                for i, text in enumerate(texts.slice(start, 256).to_pylist(), start):
+                    found = features(text)
+                    if len(found):
+                        llr[i] += dense[found].mean(dtype=np.float64)
+            yield pa.array(np.clip(llr, -30, 30))
+        give_back(features.known)
 
-    return run
+    return score
 
 
 def _group(column: str):
@@ -214,28 +216,24 @@ def posteriors(scored: DataFrame, levels: list[str], base: float) -> DataFrame:
     return written(above, "posteriors")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], levels: tuple[str, ...], id_col: str, text_col: str) -> tuple[DataFrame, list[str], str, str]:
-    """``keep`` columns of ``docs`` with level, evidence, prior and final columns under free names; texts are read once and scored once."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], levels: tuple[str, ...], id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """``keep`` columns of ``docs`` with evidence, prior and final probability, and those three's names, which are free ones; texts are read and scored once."""
     model = fit_document_model(docs, labels, id_col, text_col)
-    *names, llr, prior, good, text = free_names(docs, *(f"level{i}" for i in range(len(levels))), "llr", "prior", "good", "text")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *(_group(c).alias(n) for c, n in zip(levels, names)), F.col(text_col).alias(text))
-    schema = StructType([*rows.schema.fields, StructField(llr, DoubleType())])
-    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    scored = rows.mapInArrow(_evidence(model, len(rows.columns) - 1), plain).toDF(*schema.names).drop(text)
-    scored = written(scored, "evidence")
+    *names, llr, prior, good = free_names(docs, *(f"level{i}" for i in range(len(levels))), "llr", "prior", "good")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *(_group(c).alias(n) for c, n in zip(levels, names)), _evidence(model)(F.col(text_col)).alias(llr))
+    scored = written(rows, "evidence")
     table = posteriors(scored.select(*names, F.col(llr).alias("llr")), names, model["base"]).withColumnRenamed("prior", prior)
     joined = scored.join(table, names, "left")
-    joined = joined.withColumn(good, 1 / (1 + F.exp(-(F.col(llr) + F.log(F.col(prior) / (1 - F.col(prior)))))))
-    return joined, names, llr, (prior, good)
+    return joined.withColumn(good, 1 / (1 + F.exp(-(F.col(llr) + F.log(F.col(prior) / (1 - F.col(prior))))))), llr, prior, good
 
 
 def quality(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, llr, prior, quality): each document's evidence, its path's prior and its final probability."""
-    out, _, llr, (prior, good) = _scored(docs, labels, [id_col], levels, id_col, text_col)
+    out, llr, prior, good = _scored(docs, labels, [id_col], levels, id_col, text_col)
     return out.select(id_col, F.col(llr).alias("llr"), F.col(prior).alias("prior"), F.col(good).alias("quality"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, levels: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those whose probability is below ``threshold``."""
-    out, _, _, (_, good) = _scored(docs, labels, docs.columns, levels, id_col, text_col)
+    out, _, _, good = _scored(docs, labels, docs.columns, levels, id_col, text_col)
     return out.filter(F.col(good) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
