@@ -111,7 +111,9 @@ def feature_table(spark: SparkSession, sites: DataFrame, parts: DataFrame | None
     private = sites.filter("pattern_class = 'target_private'").select("contig", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "display_type")
     counted = feature_counts(features.withColumn("start", F.col("start") - 1), private).withColumn("start", F.col("start") + 1)
     if functional is not None:
-        counted = focus.functional(counted.withColumn("gene_name", F.col("gene")), functional).drop("gene_name")
+        # features of further tracks belong to no gene
+        named = counted.withColumnRenamed("gene_id", "feature_id").withColumns({"gene_name": F.col("gene"), "gene_id": F.when(F.col("gene") != "", F.col("feature_id"))})
+        counted = focus.functional(named, functional).drop("gene_name", "gene_id").withColumnRenamed("feature_id", "gene_id")
     return counted.withColumn("functional", F.col("functional") if functional is not None else F.lit(None).cast("string"))
 
 

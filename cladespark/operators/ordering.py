@@ -38,11 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = f"{shared_folder(spark)}/cladespark-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    _delete_at_exit(spark, root)
+    delete_at_exit(spark, root)
     return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
 
-def _delete_at_exit(spark, path: str) -> None:
+def delete_at_exit(spark, path: str) -> None:
     """The file system deletes the path when the driver's JVM ends."""
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,6 +31,14 @@ def query(ctes: str | None = None, sql: str | None = None):
     return register
 
 
+def _scored_from(counts: str, loci: str) -> dict[str, str]:
+    """The common tables graded and scored over other counts and loci, as bodies by name."""
+    from cladespark.plans.driver_tables import SQL
+
+    body = lambda name: SQL[name].removeprefix(f"{name} AS (")[:-1]
+    return {"graded": body("graded").replace("FROM counts", f"FROM {counts}"), "scored": body("scored").replace("JOIN loci l", f"JOIN {loci} l")}
+
+
 def graded(spark, sf):
     return kernel.classify(kernel.cohort_counts(calls(spark, sf), COHORT), RULES)
 

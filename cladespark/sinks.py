@@ -40,14 +40,19 @@ def gff3_line(score: str | None, attributes: list[str], kind: str = "sequence_va
     return F.concat_ws(_TAB, "contig", F.lit(source), F.lit(kind), start + 1, F.greatest(end, start + 1), value, F.lit("."), F.lit("."), F.concat_ws(";", *parts))
 
 
-def _one_file(spark, folder: str, path: str) -> None:
-    """Moves a folder's only part to ``path``, through Hadoop's file system: any store will do."""
-    jvm = spark._jvm
+def _one_file(spark, folder: str, path: str, header: list[str] | None = None) -> None:
+    """Moves a folder's only part to ``path``, behind the header's lines, through Hadoop's file system: any store will do."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = place(folder).getFileSystem(conf)
     part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
     fs.delete(place(path), False)
-    fs.rename(part, place(path))
+    if header:
+        out = fs.create(place(path))
+        out.write(bytearray("".join(x + "\n" for x in header), "utf-8"))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(part), out, conf, True)
+    else:
+        fs.rename(part, place(path))
     fs.delete(place(folder), True)
 
 
@@ -66,11 +71,8 @@ def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, single
 
 def write_lines(df: DataFrame, path: str, header: list[str] | None = None) -> None:
     """The column ``line`` as one text file behind the header, in the table's order."""
-    body = df.select("line")
-    if header:
-        body = df.sparkSession.createDataFrame([(x,) for x in header], "line string").coalesce(1).unionByName(body)
-    body.coalesce(1).write.mode("overwrite").text(path + ".parts", lineSep="\n")
-    _one_file(df.sparkSession, path + ".parts", path)
+    df.select("line").coalesce(1).write.mode("overwrite").text(path + ".parts", lineSep="\n")
+    _one_file(df.sparkSession, path + ".parts", path, header)
 
 
 def write_json(path: str, payload: dict) -> None:

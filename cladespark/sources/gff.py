@@ -12,9 +12,9 @@ PARTS = ("CDS", "exon", "five_prime_UTR", "three_prime_UTR", "UTR")
 
 def _attributes(text: Column, decode: bool) -> Column:
     plain = (lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))) if decode else (lambda c: c)
-    items = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: F.contains(x, F.lit("=")))
+    items = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("=")))
     # only the first = separates; a repeated key keeps its last value
-    entries = F.transform(items, lambda x: F.struct(plain(F.trim(F.substring_index(x, "=", 1))).alias("key"), plain(F.trim(F.regexp_replace(x, "^[^=]*=", ""))).alias("value")))
+    entries = F.transform(items, lambda x: F.struct(plain(F.trim(F.substring_index(x, "=", 1))).alias("key"), plain(F.trim(F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)))).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(100_000)), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
 
