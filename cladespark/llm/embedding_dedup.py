@@ -8,9 +8,9 @@ On one line a pair at the threshold shares a strip with a known chance, so the
 chance to meet in some table is known too (``meeting_recall``). A vector has ``TABLES``
 keys whatever the number of vectors under its label.
 
-Counting: pairs that meet are sorted by one line, so that a window centred on a
-vector is a range, and collisions in windows of ``WINDOW`` are counted over
-``PROJECTIONS`` lines. A pair at the threshold collides on a line with chance p; the
+Counting: vectors that meet are sorted by one line, so that what a vector can reach is
+a range, and collisions in windows of ``WINDOW`` centred on it are counted over
+``PROJECTIONS`` lines; small buckets, most of them, are counted many at a time. A pair at the threshold collides on a line with chance p; the
 count that it must reach is the largest that keeps the target recall under a
 binomial law with p. Pairs that reach it are verified with the exact cosine.
 
@@ -42,8 +42,10 @@ from cladespark.llm.common import doc_key, real_id, written
 from cladespark.llm.components import connected_components
 from cladespark.llm.near_groups import UNITS, centres, distinct_nodes, proved, proved_mask, tasks
 
-TABLES, LINES, STRIP = 56, 14, 2.2
+TABLES, LINES, STRIP = 128, 20, 2.2
 PROJECTIONS, WINDOW, BLOCK = 128, 0.35, 1024
+#: Buckets of at most so many members are compared together, larger ones one by one.
+SMALL, CHUNK = 24, 16_384
 
 
 def _spread(threshold: float) -> float:
@@ -82,7 +84,7 @@ def _units(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, copies, v, keys) of (rep, copies, label, emb): the vector and its 64-bit compound keys, one for each table."""
+    """(rep, copies, v, keys) of (rep, copies, label, emb): the vector and its 32-bit compound keys, one for each table."""
     drawn: dict[int, tuple] = {}
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
@@ -106,7 +108,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 code ^= labels[at].astype(np.uint64)[:, None] ^ np.uint64(dim)
                 code = (code ^ (code >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
                 for i, v, k in zip(at.tolist(), raw, code):
-                    blobs[i], keys[i] = np.ascontiguousarray(v).tobytes(), k.astype(">u8").tobytes()
+                    blobs[i], keys[i] = np.ascontiguousarray(v).tobytes(), (k >> np.uint64(32)).astype(">u4").tobytes()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary()), pa.array(keys, pa.binary())], names=["rep", "copies", "v", "keys"])
 
 
@@ -130,58 +132,105 @@ def _distances(threshold: float, kind: type):
     return run
 
 
+class _Bucketed:
+    """Rows of whole tasks, in task order: unit vectors, projections, keys, and what decides which pairs count."""
+
+    def __init__(self, table: pa.Table, kind: type):
+        vectors = [np.frombuffer(v, kind) for v in table["v"].to_pylist()]
+        self.dim = np.array([len(v) for v in vectors])
+        self.x = np.zeros((len(vectors), self.dim.max()))
+        self.at = np.zeros((len(vectors), PROJECTIONS), np.float32)
+        for dim in np.unique(self.dim).tolist():
+            own = np.flatnonzero(self.dim == dim)
+            unit = _units([vectors[i] for i in own])
+            self.x[own, :dim] = unit
+            self.at[own] = unit @ lines(dim)[:, :PROJECTIONS]
+        self.keys = np.frombuffer(b"".join(table["keys"].to_pylist()), ">u4").astype(np.uint32).reshape(-1, TABLES)
+        self.rep, self.copies, self.blk, self.tree, self.lo, self.hi = (table[c].to_numpy() for c in ("rep", "copies", "blk", "tree", "lo", "hi"))
+        self.leader, self.near = table["leader"].fill_null(0).to_numpy(), table["near"].fill_null(UNITS + 1).to_numpy()
+
+    def compared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are this task's: of its two blocks, not proved, and met in no earlier table."""
+        proved = (self.leader[i] == self.leader[j]) & (self.near[i] + self.near[j] <= UNITS)
+        own = ((self.lo[i] == self.hi[i]) | (self.blk[i] != self.blk[j])) & ~proved & (self.rep[i] != self.rep[j]) & (self.dim[i] == self.dim[j])
+        i, j = i[own], j[own]
+        met = (self.keys[i] == self.keys[j]) & (np.arange(TABLES)[None, :] < self.tree[i][:, None])
+        own[np.flatnonzero(own)[met.any(axis=1)]] = False
+        return own
+
+    def linked(self, i: np.ndarray, j: np.ndarray, threshold: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that collide on enough lines and reach the threshold."""
+        own = self.compared(i, j)
+        i, j = i[own], j[own]
+        enough = (np.abs(self.at[i] - self.at[j]) <= WINDOW).sum(axis=1) >= count
+        i, j = i[enough], j[enough]
+        close = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= threshold
+        return i[close], j[close]
+
+
+def _candidates(rows: _Bucketed, start: np.ndarray, size: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within tasks, in pieces of bounded size."""
+    for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        a, b = np.triu_indices(m, 1)
+        first = start[size == m]
+        step = max(1, CHUNK // len(a))
+        for k in range(0, len(first), step):
+            part = first[k : k + step, None]
+            yield (part + a).ravel(), (part + b).ravel()
+    for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        # on the sorted line, what a vector can reach is a range
+        own = s + np.argsort(rows.at[s : s + m, 0], kind="stable")
+        line = rows.at[own, 0]
+        right = np.searchsorted(line, line + reach, "right")
+        for k in range(0, m, 64):
+            i, j = np.meshgrid(np.arange(k, min(k + 64, m)), np.arange(k, m), indexing="ij")
+            keep = (j > i) & (j < right[i])
+            i, j = own[i[keep]], own[j[keep]]
+            for c in range(0, len(i), CHUNK):
+                yield i[c : c + CHUNK], j[c : c + CHUNK]
+
+
 def _pairs(threshold: float, count: int, kind: type):
-    def run(table: pa.Table) -> pa.Table:
-        rep, pick = np.unique(table["rep"].to_numpy(), return_index=True)
-        nothing = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        own_keys = np.stack([np.frombuffer(table["keys"][int(i)].as_py(), ">u8") for i in pick])
-        tree, lo, hi = (table[c][0].as_py() for c in ("tree", "lo", "hi"))
-        vectors = [np.frombuffer(table["v"][int(i)].as_py(), kind) for i in pick]
-        if len(rep) < 2 or len({len(v) for v in vectors}) > 1:
-            return nothing
-        x = _units(vectors)
-        at = x @ lines(x.shape[1])[:, :PROJECTIONS]
-        order = np.argsort(at[:, 0], kind="stable")  # the sorted line: a window is a range
-        rep, pick, x, at, own_keys = rep[order], pick[order], x[order], at[order], own_keys[order]
-        copies, blk = table["copies"].to_numpy()[pick], table["blk"].to_numpy()[pick]
-        leader = table["leader"].fill_null(0).to_numpy()[pick]
-        near = table["near"].fill_null(UNITS + 1).to_numpy()[pick]
-        total = np.zeros(len(rep), np.int64)
-        found = []
-        for start in range(0, len(rep), 256):
-            a = slice(start, start + 256)
-            live = np.arange(len(rep))[None, :] > np.arange(len(rep))[a, None]
-            if lo != hi:
-                live &= blk[a, None] != blk[None, :]
-            live &= ~((leader[a, None] == leader[None, :]) & (near[a, None] + near[None, :] <= UNITS))
-            for t in range(tree):  # counted in the first table where both meet
-                live &= own_keys[a, t, None] != own_keys[None, :, t]
-            i, j = np.nonzero(live)
-            hits = np.zeros(len(i), np.int16)
-            for k in range(PROJECTIONS):  # a pair is let go once it can't reach the count any more
-                hits += np.abs(at[a][i, k] - at[j, k]) <= WINDOW
-                if k % 8 == 7:
-                    alive = hits + (PROJECTIONS - 1 - k) >= count
-                    if not alive.all():
-                        i, j, hits = i[alive], j[alive], hits[alive]
-            if len(i):
-                close = np.einsum("ij,ij->i", x[a][i], x[j]) >= threshold
-                found.append(np.stack([i[close] + start, j[close]]))
-        if not found or not sum(f.shape[1] for f in found):
-            return nothing
-        ia, ib = np.concatenate(found, axis=1)
-        np.add.at(total, ia, copies[ib])
-        np.add.at(total, ib, copies[ia])
-        label = rep.copy()
-        while True:  # least representative reachable inside the task
-            new = label.copy()
-            np.minimum.at(new, ia, label[ib])
-            np.minimum.at(new, ib, label[ia])
-            if (new == label).all():
-                break
-            label = new
+    """Links per member, (rep, links, root), of tasks that lie together in the partition; a task cut by a batch is held for the next."""
+    task, reach = ("tree", "node", "lo", "hi"), 5 * _spread(threshold)  # beyond five deviations of a pair at the threshold
+
+    def found(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        rows = _Bucketed(table, kind)
+        size = np.diff(np.append(start, table.num_rows))
+        total, root = np.zeros(table.num_rows, np.int64), rows.rep.copy()
+        links = [rows.linked(i, j, threshold, count) for i, j in _candidates(rows, start, size, reach)]
+        if links:
+            ia, ib = (np.concatenate([x[k] for x in links]) for k in (0, 1))
+            np.add.at(total, ia, rows.copies[ib])
+            np.add.at(total, ib, rows.copies[ia])
+            while len(ia):  # least representative reachable inside the task
+                new = root.copy()
+                np.minimum.at(new, ia, root[ib])
+                np.minimum.at(new, ib, root[ia])
+                if (new == root).all():
+                    break
+                root = new
         has = total > 0
-        return pa.table({"rep": pa.array(rep[has]), "links": pa.array(total[has]), "root": pa.array(label[has])})
+        return pa.RecordBatch.from_arrays([pa.array(rows.rep[has]), pa.array(total[has]), pa.array(root[has])], names=["rep", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                held.append(batch.slice(k, 4096))
+                table = pa.Table.from_batches(held).combine_chunks()
+                columns = [table[c].to_numpy() for c in task]
+                new = np.ones(table.num_rows, bool)
+                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+                start = np.flatnonzero(new)
+                last = int(start[-1])  # its task may go on
+                if last:
+                    yield found(table.slice(0, last), start[:-1])
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows > 1:
+                yield found(table, np.zeros(1, np.int64))
 
     return run
 
@@ -202,12 +251,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float =
     classes = classes.select(F.xxhash64("rep", "rep2").alias("rep"), "copies", F.xxhash64("label").alias("label"), "emb", "least")
     classes = written(classes, "classes")
     body = written(classes.select("rep", "copies", "label", "emb").mapInArrow(_keyed, "rep long, copies long, v binary, keys binary"), "keyed")
-    met = body.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TABLES - 1}), t -> substring(keys, 8 * t + 1, 8))")).alias("tree", "key"))
+    met = body.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TABLES - 1}), t -> substring(keys, 4 * t + 1, 4))")).alias("tree", "key"))
     met = met.select("rep", "tree", F.xxhash64("key").alias("node"))
     middle = centres(met, body, _distances(threshold, kind), block)
     nodes = written(distinct_nodes(met), "nodes")
-    parts = tasks(met, nodes, middle, block).join(body, "rep")
-    checked = written(parts.groupBy("tree", "node", "lo", "hi").applyInArrow(_pairs(threshold, count, kind), "rep long, links long, root long"), "links")
+    task = ["tree", "node", "lo", "hi"]
+    parts = tasks(met, nodes, middle, block).join(body, "rep").repartition(*task).sortWithinPartitions(*task)
+    checked = written(parts.mapInArrow(_pairs(threshold, count, kind), "rep long, links long, root long"), "links")
     counted, edges = checked.select("rep", "links"), checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))
     if middle is not None:
         counted = counted.unionByName(proved(middle))
