@@ -66,7 +66,7 @@ def _parser() -> argparse.ArgumentParser:
     c = command("report", "--hits", "--regions", "--evidence", "--qc", "--compare", "--run", "--title")
     c.add_argument("--top-n", type=int, default=20)
     c.add_argument("--no-html", action="store_true")
-    c = command("plot", "--hits", "--evidence", "--compare", "--landscape")
+    c = command("plot", "--hits", "--evidence", "--compare", "--landscape", "--pangenome")
     c.add_argument("--plot-type", default="all")
     c.add_argument("--top-n", type=int, default=30)
     c = command("interactive", "--scan-dir", "--landscape-dir", "--pangenome-dir", "--vcf", "--sites-tsv", "--gff3", "--functional-tsv", "--variant-type", many=("--focus", "--track-gff", "--keyword-group", "--sample-abbrev"))
@@ -78,6 +78,10 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--biallelic-only", action="store_true")
     c.add_argument("--title")
     command("index", "--gfa")
+    c = command("private-positions", "--vcf", "--xmfa", "--ref-sid", "--assemblies", "--ref", "--chrom", "--out-prefix")
+    c.add_argument("--targets", nargs="+", required=True)
+    c.add_argument("--start", type=int)
+    c.add_argument("--end", type=int)
     return p
 
 
@@ -228,8 +232,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "plot":
             if a.landscape:
                 runs.landscape_plot_tables(spark, a.landscape, a.outdir)
+            if a.pangenome:
+                runs.pangenome_plot_tables(spark, a.pangenome, a.outdir)
             if a.hits:
                 runs.plot_tables(spark, a.hits, a.outdir, a.plot_type, a.evidence, a.compare, a.top_n)
+        elif a.command == "private-positions":
+            from cladespark.private_runs import private_positions
+
+            if sum(map(bool, (a.vcf, a.xmfa, a.assemblies))) != 1 or (a.xmfa and not a.ref_sid) or (a.assemblies and not a.ref) or not a.out_prefix:
+                print("private-positions needs --out-prefix and one of --vcf, --xmfa with --ref-sid, --assemblies with --ref", file=sys.stderr)
+                return 2
+            private_positions(spark, a.out_prefix, tuple(a.targets), (a.chrom, a.start, a.end), vcf_path=a.vcf, xmfa_path=a.xmfa, reference=a.ref_sid, assemblies=a.assemblies, fasta=a.ref)
         elif a.command == "index":
             gfa.write_index(gfa.scan_index(gfa.read_gfa(spark, a.gfa, length_from_tag=True)), gfa.default_index(a.gfa), a.gfa)
     except CohortError as e:

@@ -133,6 +133,24 @@ def summary(rows: DataFrame) -> DataFrame:
     return full.withColumn("pct_total", F.when(total > 0, 100 * F.col("n_loci") / total).otherwise(0.0))
 
 
+def diagnostics(a: DataFrame, b: DataFrame, rows: DataFrame, rules: CompareRules) -> dict:
+    """Contigs of both sides, raw and canonical, with up to ten of those only one side has, and how the search went."""
+    out: dict = {"normalize_contigs": rules.normalize_contigs, "overlap_mode": rules.overlap_mode}
+    for kind, normal in (("raw", False), ("canonical", rules.normalize_contigs)):
+        ca, cb = (df.select(canonical_contig(F.col("contig"), normal).alias("c")).distinct() for df in (a, b))
+        first = lambda df: [r["c"] for r in df.orderBy("c").limit(10).collect()]
+        out |= {f"{kind}_contigs_a": ca.count(), f"{kind}_contigs_b": cb.count(), f"{kind}_shared_contigs": ca.intersect(cb).count(), f"{kind}_only_contigs_a_sample": first(ca.subtract(cb)), f"{kind}_only_contigs_b_sample": first(cb.subtract(ca))}
+    own, other = a.select(canonical_contig(F.col("contig"), rules.normalize_contigs).alias("c")), b.select(canonical_contig(F.col("contig"), rules.normalize_contigs).alias("c")).distinct()
+    with_contig, n = own.join(other, "c", "left_semi").count(), a.count()
+    pairs = candidate_pairs(a, b, rules).agg(F.count("*").alias("n"), F.count_if(F.col("intersection_bp") > 0).alias("o"), F.count_if("passes").alias("p")).first()
+    classes = {r["match_class"]: r["count"] for r in rows.groupBy("match_class").count().collect()}
+    methods = {r["method"]: r["count"] for r in rows.groupBy("method").count().collect()}
+    return out | {
+        "rows_a_with_candidate_contig": with_contig, "rows_a_without_candidate_contig": n - with_contig, "candidate_pairs_checked": pairs["n"], "overlapping_candidate_pairs": pairs["o"], "qualifying_overlap_pairs": pairs["p"],
+        "overlap_matches": methods.get("overlap", 0), "breakpoint_fallback_matches": methods.get("breakpoint", 0), "matched_pairs": sum(classes.get(c, 0) for c in CLASSES[:3]), "match_class_counts": classes,
+    }
+
+
 def _all():
     from pyspark.sql import Window
 

@@ -16,19 +16,29 @@ from cladespark.operators.intervals import consecutive_runs, range_join
 LEVELS = ("strict", "nontarget_shared", "target_partial", "target_partial_nontarget_shared")
 
 
-def judged(sites: DataFrame, n_targets: int) -> DataFrame:
-    """Qualifying sites from rows with contig, pos, ref, t_calls and o_calls (arrays of the distinct alleles of each called sample)."""
+#: Why a site doesn't qualify, in the order in which the rules apply (fixed names).
+SKIPS = ("no_hom_target", "targets_disagree", "no_nontarget", "all_nontarget_carry")
+
+
+def verdicts(sites: DataFrame, n_targets: int) -> DataFrame:
+    """All sites with ``skip`` (null: it qualifies) from rows with contig, pos, ref, t_calls and o_calls (arrays of the distinct alleles of each called sample)."""
     rows = sites.withColumn("_homs", F.transform(F.filter("t_calls", lambda a: F.size(a) == 1), lambda a: a[0]))
-    rows = rows.filter((F.size("_homs") > 0) & (F.size(F.array_distinct("_homs")) == 1) & (F.size("o_calls") > 0)).withColumn("target_allele", F.col("_homs")[0])
+    rows = rows.withColumn("target_allele", F.get("_homs", F.lit(0)))
     carries = F.size(F.filter("o_calls", lambda a: F.array_contains(a, F.col("target_allele"))))
-    rows = rows.withColumns({"n_targets_observed": F.size("_homs"), "n_nontarget_observed": F.size("o_calls"), "n_nontarget_carries": carries}).filter("n_nontarget_carries < n_nontarget_observed")
+    rows = rows.withColumns({"n_targets_observed": F.size("_homs"), "n_nontarget_observed": F.size("o_calls"), "n_nontarget_carries": F.when(F.size("_homs") > 0, carries).otherwise(0)})
+    skip = F.when(F.size("_homs") == 0, SKIPS[0]).when(F.size(F.array_distinct("_homs")) > 1, SKIPS[1]).when(F.size("o_calls") == 0, SKIPS[2]).when(F.col("n_nontarget_carries") >= F.col("n_nontarget_observed"), SKIPS[3])
     level = F.when(F.col("n_targets_observed") == n_targets, 1).otherwise(3) + F.when(F.col("n_nontarget_carries") == 0, 0).otherwise(1)
     others = F.sort_array(F.array_except(F.array_distinct(F.flatten("o_calls")), F.array("target_allele")))
     gap = (F.col("target_allele") == "-") | (F.length("target_allele") != 1) | (F.length("ref") != 1)
-    rows = rows.withColumns({"level": level, "strictness": F.element_at(F.array(*map(F.lit, LEVELS)), level), "nontarget_alleles": others, "classification": F.when(gap, "indel").otherwise("snp")})
+    rows = rows.withColumns({"skip": skip, "level": level, "strictness": F.element_at(F.array(*map(F.lit, LEVELS)), level), "nontarget_alleles": others, "classification": F.when(gap, "indel").otherwise("snp")})
     return rows.drop("_homs", "t_calls", "o_calls")
 
 
+def judged(sites: DataFrame, n_targets: int) -> DataFrame:
+    """The qualifying sites."""
+    return verdicts(sites, n_targets).filter("skip is null").drop("skip")
+
+
 def from_vcf(records: DataFrame, samples: list[str], targets: tuple[str, ...]) -> DataFrame:
     """Sites with both groups' calls, from the record's own arrays: no shuffle."""
     alleles = F.concat(F.array("ref"), F.coalesce("alts", F.array().cast("array<string>")))

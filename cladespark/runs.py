@@ -10,6 +10,7 @@ from html import escape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladespark import figures
 from cladespark import scan as scans
 from cladespark.cohort import Cohort, inferred_groups
 from cladespark.config import ReadSettings, Settings
@@ -130,9 +131,7 @@ def compare(spark: SparkSession, hits_a: str, hits_b: str, outdir: str, rules: c
     write_tsv(shown.orderBy("n"), f"{outdir}/compare.tsv", names)
     summary = cmp.summary(rows)
     write_tsv(summary.orderBy("match_class").select("match_class", "n_loci", fixed(F.col("pct_total"), 1).alias("pct_total"), fixed(F.col("mean_overlap"), 4).alias("mean_overlap"), fixed(F.col("mean_score"), 4).alias("mean_score")), f"{outdir}/compare_summary.tsv")
-    contigs = lambda df: df.select(cmp.canonical_contig(F.col("contig"), rules.normalize_contigs).alias("c")).distinct()
-    ca, cb = contigs(a), contigs(b)
-    write_json(f"{outdir}/compare.json", {"source_a": label_a, "source_b": label_b, "rules": rules.__dict__, "contigs_a": ca.count(), "contigs_b": cb.count(), "shared_contigs": ca.intersect(cb).count(), "only_a": [r[0] for r in ca.subtract(cb).orderBy("c").limit(10).collect()], "only_b": [r[0] for r in cb.subtract(ca).orderBy("c").limit(10).collect()]})
+    write_json(f"{outdir}/compare.json", {"source_a": label_a, "source_b": label_b, "rules": rules.__dict__, "diagnostics": cmp.diagnostics(a, b, rows, rules)})
     return rows
 
 
@@ -314,10 +313,35 @@ def plot_tables(spark: SparkSession, hits: str, outdir: str, kind: str = "all",
             raise ValueError(f"{option} is needed for {name}")
     for name, df in out.items():
         write_tsv(df, f"{outdir}/{name}.tsv")
-    update_outputs(f"{outdir}/plots.json", [f"{outdir}/{name}.tsv" for name in out], {"plot_type": kind, "top_n": top_n})
+        _write_svg(f"{outdir}/{name}.svg", _scan_figure(name, [r.asDict() for r in df.collect()]))  # as many rows as bars
+    update_outputs(f"{outdir}/plots.json", [f"{outdir}/{name}.{form}" for name in out for form in ("tsv", "svg")], {"plot_type": kind, "top_n": top_n})
     return out
 
 
+def _write_svg(path: str, text: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def _stacked(rows: list[dict], label: str, group: str, value: str) -> tuple[list, dict]:
+    labels, groups = list(dict.fromkeys(r[label] for r in rows)), list(dict.fromkeys(r[group] for r in rows))
+    have = {(r[label], r[group]): r[value] for r in rows}
+    return labels, {str(g): [have.get((x, g), 0) for x in labels] for g in groups}
+
+
+def _scan_figure(name: str, rows: list[dict]) -> str:
+    if name == "locus_panel":
+        return figures.lollipops("Best hits", [r["locus_id"] for r in rows], [r["final_score"] for r in rows], [r["strictness_class"] for r in rows])
+    if name == "strictness_bar":
+        return figures.bars("Hits by strictness", [r["strictness_class"] for r in rows], {"hits": [r["n_loci"] for r in rows]})
+    if name == "score_distribution":
+        labels, series = _stacked(sorted(rows, key=lambda r: r["bin"]), "bin", "strictness_class", "n")
+        return figures.bars("Scores", labels, series)
+    if name == "support_bar":
+        return figures.bars("Evidence", *_stacked(rows, "source_type", "evidence_class", "n"))
+    return figures.bars("Matches", [r["match_class"] for r in rows], {"matches": [r["n"] for r in rows]})
+
+
 def landscape_plot_tables(spark: SparkSession, folder: str, outdir: str) -> dict[str, DataFrame]:
     """The tables behind a landscape's figures: heatmap, density, similarity in leaf order, and the index by contig."""
     windows, rows, pairs = (tables.read_tsv(spark, f"{folder}/{n}.tsv") for n in ("windows", "sample_windows", "similarity"))
@@ -329,7 +353,30 @@ def landscape_plot_tables(spark: SparkSession, folder: str, outdir: str) -> dict
     out = {"heatmap": plot_data.heatmap(rows, "nonref_rate", names).orderBy("contig", "w"), "density": plot_data.density_profile(windows), "cluster_map": spark.createDataFrame(cells, "sample_a string, sample_b string, similarity double, row int, column int").orderBy("row", "column"), "index": plot_data.plot_index(windows).orderBy("contig")}
     for name, df in out.items():
         write_tsv(df, f"{outdir}/{name}.tsv")
-    update_outputs(f"{folder}/landscape.json", [f"{outdir}/{name}.tsv" for name in out], {})
+    _write_svg(f"{outdir}/cluster_map.svg", figures.cells("Mean similarity", order, order, matrix.tolist()))
+    heat = out["heatmap"].limit(2000).collect()  # a figure has no room for more windows
+    _write_svg(f"{outdir}/heatmap.svg", figures.cells("Non-reference rate", names, [f"{r['contig']}:{r['start']}" for r in heat], [[r[s] for r in heat] for s in names]))
+    dense: dict[str, list] = {}
+    for r in out["density"].limit(20_000).collect():
+        dense.setdefault(r["contig"], []).append((r["start"], r["density_variants_per_kb"] or 0.0))
+    _write_svg(f"{outdir}/density.svg", figures.lines("Variants per kb", dense))
+    update_outputs(f"{folder}/landscape.json", [f"{outdir}/{name}.tsv" for name in out] + [f"{outdir}/{name}.svg" for name in ("cluster_map", "heatmap", "density")], {})
+    return out
+
+
+def pangenome_plot_tables(spark: SparkSession, folder: str, outdir: str) -> dict[str, DataFrame]:
+    """Growth with its quantile band, coverage and composition of a pangenome folder, as tables and figures."""
+    number = lambda name, *columns: tables.read_tsv(spark, f"{folder}/{name}.tsv").withColumns({c: F.col(c).cast("double") for c in columns})
+    out = {"growth": pangenome.growth_summary(number("growth_curves", "n", "features", "bp")).orderBy("grp", "n"), "coverage": number("coverage_histogram", "present_n", "features").select("grp", "present_n", "features").orderBy("grp", "present_n"), "composition": number("composition", "features").select("grp", "category", "features").orderBy("grp", "category")}
+    rows = {name: [r.asDict() for r in df.collect()] for name, df in out.items()}  # as many as groups, places and categories
+    for name, df in out.items():
+        write_tsv(df, f"{outdir}/{name}.tsv")
+    groups = list(dict.fromkeys(r["grp"] for r in rows["growth"]))
+    own = lambda g: [r for r in rows["growth"] if r["grp"] == g]
+    _write_svg(f"{outdir}/growth.svg", figures.lines("Features met", {g: [(r["n"], r["mean_features"]) for r in own(g)] for g in groups}, {g: [(r["n"], r["low"], r["high"]) for r in own(g)] for g in groups}))
+    _write_svg(f"{outdir}/coverage.svg", figures.bars("Features by number of samples", *_stacked(rows["coverage"], "present_n", "grp", "features")))
+    _write_svg(f"{outdir}/composition.svg", figures.bars("Composition", *_stacked(rows["composition"], "grp", "category", "features")))
+    update_outputs(f"{folder}/pangenome.json", [f"{outdir}/{name}.{form}" for name in out for form in ("tsv", "svg")], {})
     return out
 
 

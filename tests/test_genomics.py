@@ -168,7 +168,7 @@ def test_plot_tables(spark, folder, vcf_hits):
     import json
 
     meta = json.loads((folder / "plots" / "plots.json").read_text())
-    assert len(meta["outputs"]) == 4 and meta["parameters"] == {"plot_type": "locus_panel", "top_n": 2}
+    assert len(meta["outputs"]) == 8 and meta["parameters"] == {"plot_type": "locus_panel", "top_n": 2}
 
 
 def test_compare(spark, folder, vcf_hits):
@@ -557,6 +557,47 @@ def test_interactive_command(spark, folder, tmp_path, vcf_hits):
     assert main([*args, "--focus", "ctgA:x"], spark) == 1 and main([*args, "--focus", "ctgA:1-300", "--samples", "no", "F1", "F2"], spark) == 1
 
 
+def test_private_positions_command(spark, folder, tmp_path):
+    from xml.etree import ElementTree
+
+    from cladespark.cli import main
+
+    out = str(tmp_path / "p")
+    assert main(["private-positions", "--vcf", str(folder / "small.vcf"), "--targets", "F1", "F2", "--out-prefix", out, "--chrom", "ctgA", "--end", "300"], spark) == 0
+    got = {r["metric"]: r["value"] for r in rows_of(out + ".summary.tsv")}
+    # homozygous targets: F2 at 40, F1 at 75; at 130, 210 and 260 the targets are heterozygous
+    assert [got[k] for k in ("total_sites", "sites_in_window", "sites_skipped_no_hom_target", "qualifying_sites", "qualifying_intervals", "level_3_target_partial", "class_snp", "n_nontargets")] == ["9", "5", "3", "2", "2", "2", "2", "3"]
+    rows = rows_of(out + ".intervals.tsv")
+    assert [(r["interval_id"], r["chrom"], r["start"], r["end"], r["target_alleles"], r["strictness"]) for r in rows] == [("INT000001", "ctgA", "40", "40", "G", "target_partial"), ("INT000002", "ctgA", "75", "75", "T", "target_partial")]
+    # assemblies: reference ACGTACGTAC; F1 and F2 differ from it at 3, F1 at 4 by its second read, F2 lacks 6, B1 covers all and differs at 8
+    (tmp_path / "r.fa").write_text(">c one\nACGTA\nCGTAC\n>d\nTTTT\n")
+    line = lambda pos, cigar, seq, flag=0, at="c": f"q\t{flag}\t{at}\t{pos}\t0\t{cigar}\t*\t0\t0\t{seq}\t*\n"
+    (tmp_path / "F1.sam").write_text("@HD\tVN:1.6\n" + line(1, "10M", "ACTTACGTAC") + line(2, "4M", "CGGA") + line(1, "10M", "TTTTTTTTTT", 256))
+    (tmp_path / "F2.sam").write_text(line(1, "5M1D2M1I2M", "ACTTAGTGAC"))
+    (tmp_path / "B1.sam").write_text(line(1, "10M", "ACGTACGAAN"))
+    (tmp_path / "a.tsv").write_text("# path, sample\n" + "".join(f"{tmp_path}/{s}.sam\t{s}\n" for s in ("F1", "F2", "B1")))
+    assert main(["private-positions", "--assemblies", str(tmp_path / "a.tsv"), "--ref", str(tmp_path / "r.fa"), "--targets", "F1", "F2", "--out-prefix", out + "2"], spark) == 0
+    rows = {(r["start"], r["end"]): (r["target_alleles"], r["nontarget_alleles"], r["strictness"], r["classification"]) for r in rows_of(out + "2.intervals.tsv")}
+    assert rows == {("3", "3"): ("T", "G", "strict", "snp"), ("8", "8"): ("T", "A", "strict", "snp")}
+    got = {r["metric"]: r["value"] for r in rows_of(out + "2.summary.tsv")}
+    assert [got[k] for k in ("total_sites", "sites_skipped_targets_disagree", "sites_skipped_all_nontarget_carry", "qualifying_sites")] == ["4", "2", "0", "2"]
+    assert main(["private-positions", "--targets", "F1", "--out-prefix", out], spark) == 2 and main(["private-positions", "--vcf", str(folder / "small.vcf"), "--targets", "nobody", "--out-prefix", out], spark) == 1
+    runs.pangenome_tables(*runs.vcf_matrix(vcf.read_vcf(spark, str(folder / "small.vcf")), vcf.header(spark, str(folder / "small.vcf"))[0]), {"full": ("F1", "F2", "B1"), "target": ("F1", "F2"), "off_target": ("B1",)}, str(tmp_path / "pan"), trials=4)
+    assert main(["plot", "--pangenome", str(tmp_path / "pan"), "--outdir", str(tmp_path / "fig")], spark) == 0
+    for name in ("growth", "coverage", "composition"):
+        assert ElementTree.parse(tmp_path / "fig" / f"{name}.svg").getroot().tag.endswith("svg")
+
+
+def test_compare_diagnostics(spark):
+    ddl = "locus_id string, contig string, start long, end long, strictness_class string, final_score double, ord long"
+    a = spark.createDataFrame([("A1", "s#1#x", 10, 20, "strict_complete", 1.0, 0), ("A2", "y", 10, 20, "strict_complete", 1.0, 1), ("A3", "x", 100, 101, "strict_complete", 1.0, 2)], ddl)
+    b = spark.createDataFrame([("B1", "x", 12, 22, "strict_complete", 1.0, 0), ("B2", "z", 1, 2, "strict_complete", 1.0, 1)], ddl)
+    rules = cmp.CompareRules()
+    got = cmp.diagnostics(a, b, cmp.compare(a, b, rules), rules)
+    assert (got["raw_contigs_a"], got["raw_shared_contigs"], got["canonical_contigs_a"], got["canonical_shared_contigs"], got["raw_only_contigs_a_sample"], got["canonical_only_contigs_b_sample"]) == (3, 1, 2, 1, ["s#1#x", "y"], ["z"])
+    assert (got["rows_a_with_candidate_contig"], got["rows_a_without_candidate_contig"], got["candidate_pairs_checked"], got["overlapping_candidate_pairs"], got["overlap_matches"], got["breakpoint_fallback_matches"], got["matched_pairs"]) == (2, 1, 2, 1, 1, 1, 2)
+
+
 def test_stream_equals_batch(spark, folder):
     from cladespark.streaming.alleles import append_hits, classified
 
