@@ -272,6 +272,52 @@ def test_intervals_equal_brute_force(spark):
     assert all(not base[r["contig"]][r["start"] : r["end"]].any() for r in gaps_between(merged, ["contig"]).collect())
 
 
+def test_no_window_over_the_rows_of_a_contig(spark):
+    """Windows are over stretches; those over a whole contig see one row for each stretch, which an aggregate just made."""
+    import re
+
+    from cladespark.operators.annotate import nearest_gene
+    from cladespark.operators.intervals import consecutive_runs
+
+    df = spark.createDataFrame([("c", 0, 1, "snp", 0, "g")], "contig string, start long, end long, variant_type string, ord long, gene_id string")
+    made = {"merge": merge_loci(df), "union": union_of_intervals(df, ["contig"]), "gaps": gaps_between(df, ["contig"]), "runs": consecutive_runs(df, ["contig"], "start"), "index": record_index(df, ["contig"], "start"), "nearest": nearest_gene(df.drop("gene_id"), df)}
+    for name, out in made.items():
+        lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        windows = [i for i, x in enumerate(lines) if re.search(r"\bWindow \[", x)]
+        assert windows, name
+        for i in windows:
+            if not re.search(r"\], \[[^\]]*_s#\d+L?\]", lines[i]):
+                below = next(x for x in lines[i + 1 :] if not re.search(r"\b(Project|Window|Filter)\b", x))
+                assert "Aggregate" in below, (name, lines[i], below)
+
+
+def test_stretches_give_the_same_as_one(spark, monkeypatch):
+    """Short stretches, so that runs, unions, gaps and numbers cross many of them."""
+    from cladespark.operators import intervals, windows
+
+    rng = random.Random(9)
+    rows = [(rng.choice("xy"), s := rng.randint(0, 3000), s + rng.randint(1, 60), rng.choice(["snp", "sv"]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "contig string, start long, end long, variant_type string, ord long")
+
+    def results(width):
+        monkeypatch.setattr(intervals, "STRETCH", width)
+        monkeypatch.setattr(intervals.stretched, "__defaults__", (width,))
+        out = [sorted(map(tuple, merge_loci(df, 5, same).select("ord", "island").collect())) for same in (False, True)]
+        merged = union_of_intervals(df, ["contig"])
+        out += [sorted(map(tuple, merged.collect())), sorted(map(tuple, gaps_between(merged, ["contig"]).collect()))]
+        places = df.select("contig", "start").distinct()
+        runs_ = intervals.consecutive_runs(places, ["contig"], "start").groupBy("contig", "island").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+        out.append(sorted((r["contig"], r["a"], r["b"]) for r in runs_.collect()))
+        out.append(sorted((r["contig"], r["start"], r["i"], r["n"]) for r in windows.record_index(places, ["contig"], "start", width).collect()))
+        genes = df.filter("ord % 4 = 0").select(F.format_string("g%04d", "ord").alias("gene_id"), "contig", "start", "end")
+        from cladespark.operators.annotate import nearest_gene
+
+        out.append(sorted(map(tuple, nearest_gene(df.filter("ord % 4 = 1"), genes).select("ord", "gene_id", "distance").collect())))
+        return out
+
+    assert results(37) == results(1 << 18)
+
+
 def test_merge_uses_the_previous_end(spark):
     rows = [("c", 0, 100, "snp", 0), ("c", 10, 20, "snp", 1), ("c", 50, 60, "indel", 2), ("d", 55, 56, "snp", 3)]
     df = spark.createDataFrame(rows, "contig string, start long, end long, variant_type string, ord long").withColumns({"strictness_class": F.lit("strict_complete"), "target_missing_n": F.lit(0), "offtarget_support_n": F.lit(0), "final_score": F.lit(1.0)})
