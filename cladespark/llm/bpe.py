@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import give_back, sliced
+from cladespark.llm.common import bounded_batches, give_back, sliced
 
 #: No pair to merge.
 NONE = 1 << 62
@@ -244,6 +244,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         finally:
             _release_when_idle()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * round_trip)

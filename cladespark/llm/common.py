@@ -75,6 +75,22 @@ def real_id(column: str) -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches of texts be small: the JVM keeps them outside its heap, several copies of each, beside the workers.
+
+    Sets the session's two limits where they are larger; results don't depend on them.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, megabytes: float = 8) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice with very long texts stays small in memory."""
     for batch in batches:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import free_names, give_back, sliced, written
+from cladespark.llm.common import bounded_batches, free_names, give_back, sliced, written
 
 #: Most labelled rows that the document model is fitted on, and buckets of hashed features.
 SAMPLE, BITS = 8_000, 18
@@ -218,6 +218,7 @@ def posteriors(scored: DataFrame, levels: list[str], base: float) -> DataFrame:
 
 def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], levels: tuple[str, ...], id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
     """``keep`` columns of ``docs`` with evidence, prior and final probability, and those three's names, which are free ones; texts are read and scored once."""
+    bounded_batches(docs.sparkSession)
     model = fit_document_model(docs, labels, id_col, text_col)
     *names, llr, prior, good = free_names(docs, *(f"level{i}" for i in range(len(levels))), "llr", "prior", "good")
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), *(_group(c).alias(n) for c, n in zip(levels, names)), _evidence(model)(F.col(text_col)).alias(llr))

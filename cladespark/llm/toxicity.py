@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import crc_mod
+from cladespark.llm.common import bounded_batches, crc_mod
 
 BITS = 20
 #: Most labelled texts of each class that the model is fitted on.
@@ -151,6 +151,7 @@ def scorer(model: dict):
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, folds=folds, held_out=held_out, **options)
     out = docs.select(F.col(id_col), (crc_mod(id_col, folds) == held_out).alias("held_out"), scorer(model)(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
