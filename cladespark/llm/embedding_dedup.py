@@ -16,7 +16,7 @@ binomial law with p. Pairs that reach it are verified with the exact cosine.
 
 Equal vectors of a label are one class and count by their copies. Large buckets follow
 ``near_groups``: links that the triangle inequality of the angle proves are counted from
-the distances to a leader; the others are compared in blocks, each pair of blocks a
+the distances to a centre; the others are compared in blocks, each pair of blocks a
 task of bounded size that returns one row per vector (links and local component), never
 one per pair. A pair is counted in the first table where it meets.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cladespark.llm.common import doc_key, real_id, written
 from cladespark.llm.components import connected_components
-from cladespark.llm.near_groups import UNITS, centres, distinct_nodes, proved, proved_mask, tasks
+from cladespark.llm.near_groups import UNITS, centres, distinct_nodes, proved, proved_edges, tasks
 
 TABLES, LINES, STRIP = 128, 20, 2.2
 PROJECTIONS, WINDOW, BLOCK = 128, 0.35, 1024
@@ -112,21 +112,32 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary()), pa.array(keys, pa.binary())], names=["rep", "copies", "v", "keys"])
 
 
+def _consensus(kind: type):
+    """The mean direction of vectors, as doubles; of one length, if keys that met by chance mix several."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vectors = [np.frombuffer(x.as_py(), kind) for x in table["v"]]
+        dim = max(len(v) for v in vectors)
+        return pa.table({"leader": table["leader"].slice(0, 1), "centre": pa.array([_units([v for v in vectors if len(v) == dim]).sum(axis=0).tobytes()], pa.binary())})
+
+    return run
+
+
 def _distances(threshold: float, kind: type):
-    """(rep, leader, near, copies) of (rep, leader, copies, v, keys, l_v, l_keys): the angle, in units of the threshold's."""
+    """(rep, leader, near, copies) of (rep, leader, copies, v, centre): the angle, in units of the threshold's."""
     most = math.acos(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for own, head in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
-                a, b = np.frombuffer(own, kind), np.frombuffer(head, kind)
-                if len(a) != len(b):  # keys of vectors that don't compare met by chance
+            for own, head in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                a, b = np.frombuffer(own, kind).astype(np.float64), np.frombuffer(head, np.float64)
+                if len(a) != len(b) or not b.any():  # keys of vectors that don't compare met by chance
                     near.append(UNITS + 1)
                     continue
                 a, b = _units([a, b])
-                angle = math.acos(min(1.0, max(-1.0, float(a @ b)))) if own != head else 0.0
-                near.append(min(UNITS + 1, math.ceil(angle / most * UNITS + 1e-4)) if own != head else 0)
+                angle = math.acos(min(1.0, max(-1.0, float(a @ b))))
+                near.append(min(UNITS + 1, math.ceil(angle / most * UNITS + 1e-4)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), batch.column(2)], names=["rep", "leader", "near", "copies"])
 
     return run
@@ -253,7 +264,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float =
     body = written(classes.select("rep", "copies", "label", "emb").mapInArrow(_keyed, "rep long, copies long, v binary, keys binary"), "keyed")
     met = body.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {TABLES - 1}), t -> substring(keys, 4 * t + 1, 4))")).alias("tree", "key"))
     met = met.select("rep", "tree", F.xxhash64("key").alias("node"))
-    middle = centres(met, body, _distances(threshold, kind), block)
+    middle = centres(met, body.select("rep", "copies", "v"), _distances(threshold, kind), _consensus(kind), block)
     nodes = written(distinct_nodes(met), "nodes")
     task = ["tree", "node", "lo", "hi"]
     parts = tasks(met, nodes, middle, block).join(body, "rep").repartition(*task).sortWithinPartitions(*task)
@@ -261,7 +272,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float =
     counted, edges = checked.select("rep", "links"), checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))
     if middle is not None:
         counted = counted.unionByName(proved(middle))
-        edges = edges.unionByName(middle.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+        edges = edges.unionByName(proved_edges(middle))
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select("rep", "copies", "least").join(links, "rep", "left").join(connected_components(edges).withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
@@ -271,4 +282,4 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, recall: float =
     return out.select(real_id("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real_id("first").alias("component_id"), (F.col("vec") == F.col("first")).alias("kept"))
 
 
-__all__ = ["embedding_links", "lines", "meeting_recall", "proved_mask", "required_count"]
+__all__ = ["embedding_links", "lines", "meeting_recall", "required_count"]

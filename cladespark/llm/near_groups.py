@@ -1,15 +1,15 @@
 """Pairs inside large buckets: tasks of bounded size, and links proved without a comparison.
 
 Both similarity joins put their representatives into buckets (a node of a trie, a
-compound of strips). A bucket of up to ``block`` members is one task. In a larger
-one a leader is chosen, the member that meets most others, and every member's
-distance to it is measured exactly. Distances obey the triangle inequality, so two
-members whose distances to one leader add up to no more than the threshold are
-linked: their pairs are counted from a histogram of distances and never met.
-Members within half the threshold of the leader (the inner ones) are therefore
+compound of strips). A bucket of up to ``block`` members is one task. For larger ones
+a centre is made, the consensus of a few members (it need not be a member itself),
+and every member's distance to it is measured exactly. Distances obey the triangle
+inequality, so two members whose distances to one centre add up to no more than the
+threshold are linked: their pairs are counted from a histogram of distances and never
+met. Members within half the threshold of the centre (the inner ones) are therefore
 all linked among themselves, and only the others (the outer ones) meet everybody:
 with o outer members of n, a bucket gives about n * ceil(o / block) rows instead of
-n * n / block.
+n * n / block. Which members a centre is made of changes what is proved, never the result.
 
 Distances are kept as whole numbers of ``UNITS`` to the threshold, rounded up, so
 rounding can only send a pair to the exact comparison.
@@ -27,31 +27,45 @@ from cladespark.llm.common import written
 
 #: Steps in which a distance is measured: this many reach the link threshold.
 UNITS, SALTS = 200, 32
+#: Members that a centre is made of, and how often buckets that share members agree on the largest among them.
+VOTERS, ROUNDS = 64, 3
 NONE = "rep long, leader long, near int, copies long"
 
 
-def centres(rows: DataFrame, payload: DataFrame, distances: Callable, block: int) -> DataFrame | None:
-    """(rep, leader, near, copies): distance in units of each member of a large bucket to its leader, at most ``UNITS``; None without large buckets.
+def centres(rows: DataFrame, payload: DataFrame, distances: Callable, consensus: Callable, block: int) -> DataFrame | None:
+    """(rep, leader, near, copies): distance in units of each member of a large bucket to its centre, at most ``UNITS``; None without large buckets.
 
-    ``rows`` has tree, node, rep; ``payload`` rep, copies and the columns that
-    ``distances`` reads: it is a mapInArrow function from (rep, leader, copies,
-    own payload, leader's payload) to (rep, leader, near, copies).
+    ``rows`` has tree, node, rep; ``payload`` rep, copies and one column more.
+    ``distances`` is a mapInArrow function from (rep, leader, copies, payload,
+    centre) to (rep, leader, near, copies), ``consensus`` makes one payload of many.
     """
     sizes = written(rows.groupBy("tree", "node").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
     if sizes.isEmpty():
         return None
-    large = rows.join(sizes, ["tree", "node"])
-    meets = large.groupBy("rep").agg(F.sum("n").alias("meets"))
-    scored = written(large.join(meets, "rep"), "members")
-    heads = scored.groupBy("tree", "node").agg(F.max(F.struct("meets", "rep")).alias("head"))
-    own = scored.join(heads, ["tree", "node"]).groupBy("rep").agg(F.max("head").alias("head")).select("rep", F.col("head.rep").alias("leader"))
-    own = written(own, "leaders")
-    body = [c for c in payload.columns if c not in ("rep", "copies")]
-    # a leader may have a third of all rows: its payload is dealt out under several salts
-    heads = own.select("leader").distinct().join(payload.select(F.col("rep").alias("leader"), *(F.col(c).alias(f"l_{c}") for c in body)), "leader")
+    large = written(rows.join(sizes, ["tree", "node"]).select("rep", F.xxhash64("tree", "node").alias("at"), "n"), "members")
+    # buckets of one group share members: each member, and through it each bucket, takes the largest bucket in reach
+    best = large.select("rep", "at", F.struct("n", F.col("at").alias("top")).alias("best"))
+    for _ in range(ROUNDS):
+        own = written(best.groupBy("rep").agg(F.max("best").alias("best")), "own")
+        node = large.select("rep", "at").join(own, "rep").groupBy("at").agg(F.max("best").alias("best"))
+        best = large.select("rep", "at").join(written(node, "top"), "at")
+    own = written(best.groupBy("rep").agg(F.max("best").alias("best")).select("rep", F.col("best.top").alias("leader")), "leaders")
+    body = next(c for c in payload.columns if c not in ("rep", "copies"))
+    # voters: the least of each of VOTERS parts of a centre's members
+    voters = large.join(own.select("leader").distinct(), F.col("at") == F.col("leader")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(VOTERS)))
+    voters = voters.groupBy("leader", "part").agg(F.min("rep").alias("rep")).drop("part").join(payload.select("rep", body), "rep")
+    heads = written(voters.select("leader", F.col(body)).groupBy("leader").applyInArrow(consensus, "leader long, centre binary"), "consensus")
+    # a centre may have a third of all rows: it is dealt out under several salts
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = own.join(payload, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(heads, ["leader", "salt"])
-    return written(pairs.select("rep", "leader", "copies", *body, *(f"l_{c}" for c in body)).mapInArrow(distances, NONE).filter(F.col("near") <= UNITS), "centres")
+    found = pairs.select("rep", "leader", "copies", body, "centre").mapInArrow(distances, NONE)
+    return written(found.filter(F.col("near") <= UNITS), "centres")
+
+
+def proved_edges(middle: DataFrame) -> DataFrame:
+    """(u, v): each member and the one nearest to its centre, where the two are proved to be linked."""
+    first = middle.groupBy("leader").agg(F.min(F.struct("near", "rep")).alias("m")).select("leader", F.col("m.rep").alias("v"), F.col("m.near").alias("least"))
+    return middle.join(first, "leader").filter(F.col("near") + F.col("least") <= UNITS).select(F.col("rep").alias("u"), "v")
 
 
 def proved(middle: DataFrame) -> DataFrame:
@@ -74,12 +88,14 @@ def tasks(rows: DataFrame, nodes: DataFrame, middle: DataFrame | None, block: in
         members = rows.select("rep", "tree", "node", F.lit(None).cast("long").alias("leader"), F.lit(None).cast("int").alias("near"))
     else:
         members = rows.select("rep", "tree", "node").join(middle.select("rep", "leader", "near"), "rep", "left")
-    members = members.join(nodes.select("tree", "node"), ["tree", "node"])
-    size = members.groupBy("tree", "node").agg(F.count("*").alias("n"), F.mode("leader", True).alias("main") if middle is not None else F.lit(None).cast("long").alias("main"))
-    inner = F.coalesce((F.col("leader") == F.col("main")) & (2 * F.col("near") <= UNITS) & (F.col("n") > block), F.lit(False))
-    marked = members.join(size, ["tree", "node"]).withColumn("inner", inner)
-    parts = marked.groupBy("tree", "node").agg(F.ceil(F.sum((~F.col("inner")).cast("long")) / block).cast("int").alias("p"), F.ceil(F.sum(F.col("inner").cast("long")) / block).cast("int").alias("q"))
-    marked = marked.join(parts.filter("p > 0"), ["tree", "node"])
+    # sizes come from partial sums, so a hot node's rows meet only in the join below, which can be split
+    counts = members.groupBy("tree", "node", "leader").agg(F.count("*").alias("n"), F.count_if(2 * F.col("near") <= UNITS).alias("n_in"))
+    most = F.struct((F.col("leader").isNotNull()).alias("has"), "n", "leader", "n_in")
+    plan = counts.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.max(most).alias("m")).join(nodes.select("tree", "node"), ["tree", "node"])
+    n_in = F.when(F.col("n") > block, F.col("m.n_in")).otherwise(0)
+    plan = plan.select("tree", "node", F.when(F.col("n") > block, F.col("m.leader")).alias("main"), F.ceil((F.col("n") - n_in) / block).cast("int").alias("p"), F.ceil(n_in / block).cast("int").alias("q"))
+    plan = written(plan.filter("p > 0"), "task_plan")
+    marked = members.join(plan, ["tree", "node"]).withColumn("inner", F.coalesce((F.col("leader") == F.col("main")) & (2 * F.col("near") <= UNITS), F.lit(False)))
     place = F.xxhash64(F.lit(2), "rep")
     marked = marked.withColumn("blk", F.when(F.col("inner"), F.col("p") + F.pmod(place, F.greatest("q", F.lit(1))).cast("int")).otherwise(F.pmod(place, F.greatest("p", F.lit(1))).cast("int")))
     last = F.when(F.col("inner"), F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)

@@ -14,7 +14,7 @@ that law (0.999 at 0.8 gives depth 4 for 16 trees; if there is none, an error).
 
 Nodes with equal member sets are checked once. Nodes with many members follow
 ``near_groups``: links proved by the triangle inequality of the Jaccard distance
-are counted from distances to a leader, the others are verified in blocks, each
+are counted from distances to a centre, the others are verified in blocks, each
 pair of blocks a task of bounded size. A pair of texts is counted in the first
 tree where both share a node. Verification is exact on 64-bit shingle hashes. A
 task returns one row per member (links, weighted by copies, and its local
@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import doc_key, free_names, give_back, real_id, sliced, written
+from cladespark.llm.common import bounded_batches, doc_key, free_names, give_back, real_id, sliced, written
 from cladespark.llm.components import connected_components
-from cladespark.llm.near_groups import centres, distinct_nodes, proved, tasks
+from cladespark.llm.near_groups import UNITS, centres, distinct_nodes, proved, proved_edges, proved_mask, tasks
 
 WORDS, TREES, LEVELS, BLOCK = 5, 16, 6, 512
 #: Verified similarities are counted in hundredths.
@@ -189,14 +189,20 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back(shingle.known)
 
 
+def _consensus(table: pa.Table) -> pa.Table:
+    """The shingles that more than half of the sets hold."""
+    sets = [np.frombuffer(x.as_py(), _U) for x in table["sh"]]
+    value, n = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.table({"leader": table["leader"].slice(0, 1), "centre": pa.array([value[2 * n > len(sets)].tobytes()], pa.binary())})
+
+
 def _distances(threshold: float):
-    """(rep, leader, near, copies) of (rep, leader, copies, sh, paths, l_sh, l_paths)."""
-    from cladespark.llm.near_groups import UNITS
+    """(rep, leader, near, copies) of (rep, leader, copies, sh, centre)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for own, head in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+            for own, head in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 a, b = np.frombuffer(own, _U), np.frombuffer(head, _U)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 far = 1 - both / (len(a) + len(b) - both)
@@ -242,8 +248,6 @@ def local_components(links: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float, depth: int):
     """Links of one task: pairs that share no longer prefix in any tree and none of ``depth`` in an earlier one."""
-    from cladespark.llm.near_groups import UNITS, proved_mask
-
     def run(table: pa.Table) -> pa.Table:
         rep, pick = np.unique(table["rep"].to_numpy(), return_index=True)
         copies, blk = table["copies"].to_numpy()[pick], table["blk"].to_numpy()[pick]
@@ -297,6 +301,7 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     whose least ids are equal (null, or repeated with other texts).
     """
     least = forest_depth(threshold, recall)
+    bounded_batches(docs.sparkSession)
     sig = written(signatures(docs, id_col, text_col), "signatures")
     classes = sig.groupBy("s1", "s2").agg(F.min(F.struct("doc", "row")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"))
     classes = written(classes.select("s1", "s2", F.col("head.doc").alias("rep_doc"), F.col("head.row").alias("rep_row"), F.xxhash64("head.doc", "s1", "s2").alias("rep"), "copies", "n", "paths"), "classes")
@@ -306,7 +311,7 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     # texts are dealt out once, unsorted; only those with candidates are shingled again, once for all depths
     found = texts.join(wanted, (F.col("d") == F.col("rep_doc")) & (F.col("r") == F.col("rep_row"))).select("rep", "copies", "text")
     sets = written(found.dropDuplicates(["rep"]).mapInArrow(_shingled, "rep long, copies long, sh binary, paths binary"), "shingles")
-    middle = centres(level(trie, LEVELS), sets, _distances(threshold), block)
+    middle = centres(level(trie, LEVELS), sets.select("rep", "copies", "sh"), _distances(threshold), _consensus, block)
     checked, similar = [], {}
     for depth in range(LEVELS, least - 1, -1):
         rows = level(trie, depth)
@@ -324,7 +329,7 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     edges = edges.select(F.col("rep").alias("u"), F.col("root").alias("v"))
     if middle is not None:
         counted = counted.unionByName(proved(middle))
-        edges = edges.unionByName(middle.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+        edges = edges.unionByName(proved_edges(middle))
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(edges)
     named = classes.select("s1", "s2", "rep", "rep_doc", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -728,3 +728,27 @@ def test_pipeline(spark, tmp_path):
     assert got[0]["ids"] == model.encode(texts[0]).tolist()
     assert got[10]["ids"] == model.encode(texts[10].split("\n")[1]).tolist() and got[13]["ids"] == model.encode(texts[13]).tolist()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_jaccard", "decontamination", "bpe"]
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    prose = lambda n: " ".join("p%03d" % rng.randrange(400) for _ in range(n))
+    texts = [prose(40) for _ in range(12)]
+    docs = docs_of(spark, [*texts, None, "", "a | b | c " * 3, "long word " * 50_000])
+    rows = docs.unionByName(docs.limit(5)).unionByName(docs.limit(2).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c != "text"}))
+    spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(14, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, texts[2]), (1, texts[2]), (2, None), (None, texts[4])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0, name
+        got = stage(spark, rows, str(tmp_path)).collect()
+        if name != "bpe":
+            assert set(got[0].asDict()) == set(corpus_pipeline.COLUMNS), name
+        kept = [(r["doc_id"], r["text"]) if name != "bpe" else r["doc_id"] for r in got]
+        if name in ("line_dedup", "bpe"):
+            assert len(kept) == rows.count(), name
+        elif name == "ngram_jaccard":  # the two rows without an id are copies of the first two documents; the two empty ones of each other
+            assert sorted(t or "" for _, t in kept) == sorted([*texts, "", "a | b | c " * 3, "long word " * 50_000])
+        elif name == "decontamination":
+            assert not {texts[2], texts[4]} & {t for _, t in kept} and len(kept) == rows.count() - 4
