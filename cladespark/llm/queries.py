@@ -59,6 +59,25 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(real_id("doc").alias("doc_id"), "class_id", "n_links", "group_id", (F.col("doc") == F.coalesce("group_id", "doc")).alias("kept"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y, k = sx.n AND k = sy.n AS same FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE k * 5 >= (sx.n + sy.n - k) * 4
+  UNION ALL SELECT a.doc_id, b.doc_id, true FROM words a JOIN words b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id <> b.doc_id),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+own AS (SELECT x, count(*) AS n, min(y) FILTER (WHERE same) AS c FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(c, doc_id)) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(doc_id, coalesce(m, doc_id)) AS group_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN own ON own.x = doc_id LEFT JOIN least ON least.x = doc_id
+"""
+
+
 #: Dated entries of a block list, as fixed values: pattern, date, action, category.
 BLOCK_LIST = (
     ("casino-win.example.com", "2024-01-10", "add", "gambling"),
@@ -91,10 +110,13 @@ _RULES = (
 
 def block_list(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """The entries above and thousands derived from the pages' own hosts and paths: additions, removals, re-additions, two categories."""
+    from cladespark.llm.common import written
+
     entries = spark.createDataFrame(list(BLOCK_LIST), "pattern string, listed_at string, action string, category string")
     seen = pages.select(F.lower(F.regexp_extract("url", _HOST, 1)).alias("h"), F.regexp_replace(F.regexp_extract("url", _PATH, 1), "/+$", "").alias("p")).filter("h <> ''")
     names = seen.select("h").unionByName(seen.select(F.concat("h", F.regexp_extract("p", "^(/[^/]*)", 1)).alias("h"))).unionByName(seen.select(F.concat("h", "p").alias("h"))).distinct()
     numbered = names.select(F.col("h").alias("pattern"), F.expr("cast(conv(substring(md5(lower(h)), 1, 4), 16, 10) as int)").alias("k"))
+    numbered = written(numbered, "patterns")  # one pass over the pages for all rules
     for action, after, when, category in _RULES:
         day = F.expr(f"cast(date_add(date'2024-01-01', k % 200 + {after}) as string)")
         entries = entries.unionByName(numbered.filter(when).select("pattern", day.alias("listed_at"), F.lit(action).alias("action"), F.expr(category).alias("category")))
@@ -223,4 +245,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_url_filters": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_url_filters": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
