@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import crc_mod, sliced, written
+from cladespark.llm.common import bounded_batches, crc_mod, sliced, written
 
 #: Bytes of the longest context, words looked up in place at most.
 DEPTH, FREQUENT = 6, 200_000
@@ -44,7 +44,7 @@ LEAST, PENALTY = 30, 4.0
 #: Symbols that no token holds: the end and what stands before the start.
 END, PAD = 9, 10
 #: Texts are scored in pieces of so many bytes, with DEPTH bytes before them as their context.
-PIECE = 1 << 20
+PIECE = 1 << 21
 END_WORD = b"\n"
 
 
@@ -121,28 +121,45 @@ def _cutoff(df: DataFrame, column: str, most: int) -> float:
     return 0.0
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition that holds whole contexts: each gram once, with its count and its context's."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(key, kind="stable")
+    key, c = key[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, c = key[start], np.add.reduceat(c, start)
+    ctx = key >> 8
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    n = np.repeat(np.add.reduceat(c, first), np.diff(np.append(first, len(key))))
+    for i in range(0, len(key), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (key, c, n)], names=["key", "c", "n"])
+
+
 def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
     """The tree from all rows of ``docs``."""
     texts = docs.select(F.col(text_col).alias("text"))
-    level: dict[int, DataFrame] = {depth: written(texts.mapInArrow(_grams(depth), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), f"grams{depth}")}
-    for k in range(depth - 1, -1, -1):
-        # orders nest: each comes from the next longer one, not from the texts
-        level[k] = written(level[k + 1].groupBy(F.col("key").bitwiseAND(2 ** (8 * (k + 1)) - 1).alias("key")).agg(F.sum("c").alias("c")), f"grams{k}")
 
     def context(column: str = "key"):
         return F.shiftrightunsigned(column, 8)
 
+    # (key, c, n) for each order: gram, its count, its context's count. Orders nest: each comes from the next longer one, not from the texts
+    level: dict[int, DataFrame] = {}
+    for k in range(depth, -1, -1):
+        if k == depth:
+            own = texts.mapInArrow(_grams(depth), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        else:
+            own = level[k + 1].groupBy(F.col("key").bitwiseAND(2 ** (8 * (k + 1)) - 1).alias("key")).agg(F.sum("c").alias("c"))
+        level[k] = written(own.repartition(context()).mapInArrow(_merged, "key long, c long, n long"), f"grams{k}")
     found = None
     for k in range(1, depth + 1):
-        own = level[k].withColumn("ctx", context())
-        total = own.groupBy("ctx").agg(F.sum("c").alias("n"), F.count("*").alias("t")).filter(F.col("n") >= LEAST)
-        up = level[k - 1].select(F.col("key").alias("up_key"), F.col("c").alias("up_c"))
-        up_total = level[k - 1].groupBy(context().alias("up_ctx")).agg(F.sum("c").alias("up_n"))
-        mask = 2 ** (8 * k) - 1
-        rows = own.join(total, "ctx").withColumn("up_key", F.col("key").bitwiseAND(mask)).withColumn("up_ctx", context("up_key"))
-        rows = rows.join(up, "up_key").join(up_total, "up_ctx")
+        # a context met often enough has suffixes met at least as often, so light ones take no part on either side
+        own = level[k].filter(F.col("n") >= LEAST).withColumn("up_key", F.col("key").bitwiseAND(2 ** (8 * k) - 1))
+        up = level[k - 1].filter(F.col("n") >= LEAST).select(F.col("key").alias("up_key"), F.col("c").alias("up_c"), F.col("n").alias("up_n"))
         gain = F.sum(F.col("c") * F.log((F.col("c") / F.col("n")) / (F.col("up_c") / F.col("up_n"))))
-        kept = rows.groupBy("ctx").agg(gain.alias("gain"), F.first("t").alias("t")).filter(F.col("gain") > PENALTY * F.col("t"))
+        kept = own.join(up, "up_key").groupBy(context().alias("ctx")).agg(gain.alias("gain"), F.count("*").alias("t")).filter(F.col("gain") > PENALTY * F.col("t"))
         kept = kept.select(F.lit(k).alias("k"), "ctx")
         found = kept if found is None else found.unionByName(kept)
     found = written(found, "contexts")
@@ -153,7 +170,7 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Tree:
     tree = Tree(depth=depth, levels=[])
     up_keys, up_p = np.zeros(0, np.int64), np.zeros(0)
     for k in range(depth + 1):
-        rows = level[k].join(nodes[k], context() == F.col("ctx")) if k else level[k]
+        rows = level[k].filter(F.col("n") >= LEAST).join(nodes[k], context() == F.col("ctx")) if k else level[k]
         got = rows.select("key", "c").toArrow()
         keys, c = got["key"].to_numpy(), got["c"].to_numpy()
         order = np.argsort(keys)
@@ -207,9 +224,59 @@ def gram_probability(model: dict, keys: np.ndarray, longest: int) -> np.ndarray:
     return out
 
 
+def routes(model: dict) -> dict[str, np.ndarray]:
+    """The tree as it is scored with: one sorted table that finds the longest kept suffix of any history in one search.
+
+    Written newest byte first, the histories that end in a context are an interval of
+    numbers. ``bounds`` are the places where the longest kept context changes and
+    ``node`` which it is from there on; ``codes`` are (node, next byte) of the grams met, with
+    ``logp``; ``back`` and ``parent`` lead to shorter contexts for the others.
+    """
+    depth, levels = model["depth"], [(ctx, back, grams, logp) for ctx, back, grams, logp in model["levels"]]
+    if not len(levels[0][0]):  # nothing learned: a root that has met nothing
+        levels[0] = (np.zeros(1, np.int64), np.zeros(1, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    first = np.concatenate([[0], np.cumsum([len(x[0]) for x in levels])])
+    edges = [(ctx + more) << (8 * (depth - k)) for k, (ctx, *_) in enumerate(levels) for more in (0, 1)]
+    bounds = np.unique(np.concatenate(edges))
+    node, rest = np.zeros(len(bounds), np.int32), np.arange(len(bounds))
+    parent, codes = [np.zeros(1, np.int32)], []
+    for k, (ctx, _, grams, _) in enumerate(levels):
+        if k:
+            if not len(ctx):
+                break
+            own = bounds[rest] >> (8 * (depth - k))
+            at = np.searchsorted(ctx, own).clip(max=len(ctx) - 1)
+            kept = ctx[at] == own
+            rest, at = rest[kept], at[kept]
+            node[rest] = first[k] + at
+            parent.append((first[k - 1] + np.searchsorted(levels[k - 1][0], ctx >> 8)).astype(np.int32))
+        codes.append((first[k] + np.searchsorted(ctx, grams >> 8)) << 8 | grams & 255)
+    change = np.concatenate([[True], node[1:] != node[:-1]])
+    return {"depth": depth, "bounds": bounds[change], "node": node[change], "parent": np.concatenate(parent), "back": np.concatenate([x[1] for x in levels]), "codes": np.concatenate(codes), "logp": np.concatenate([x[3] for x in levels])}
+
+
+def routed_probability(table: dict, keys: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each key after its other bytes, newest first."""
+    codes, logp, back, parent = (table[c] for c in ("codes", "logp", "back", "parent"))
+    node = table["node"][np.searchsorted(table["bounds"], keys >> 8, "right") - 1]
+    symbol, out, rest = keys & 255, np.zeros(len(keys)), np.arange(len(keys))
+    while len(rest):
+        code = node.astype(np.int64) << 8 | symbol
+        at = np.searchsorted(codes, code).clip(max=max(0, len(codes) - 1))
+        met = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+        out[rest[met]] += logp[at[met]]
+        rest, node, symbol = rest[~met], node[~met], symbol[~met]
+        out[rest] += back[node]
+        root = node == 0
+        out[rest[root]] -= math.log10(256)
+        rest, node, symbol = rest[~root], parent[node[~root]], symbol[~root]
+    return out
+
+
 def log10_probability(model: dict, texts: list[list[bytes]]) -> np.ndarray:
-    """log10 probability of each token list; each distinct gram of a piece is looked up once."""
-    depth = model["depth"]
+    """log10 probability of each token list; each distinct gram of a piece is looked up once. ``model`` is a tree or its routes."""
+    table = model if "bounds" in model else routes(model)
+    depth = table["depth"]
     pad = bytes([PAD]) * depth
     spelled = [pad + b" ".join(words) + bytes([END]) for words in texts]
     owner = np.repeat(np.arange(len(spelled), dtype=np.int32), [len(x) for x in spelled])
@@ -217,16 +284,17 @@ def log10_probability(model: dict, texts: list[list[bytes]]) -> np.ndarray:
     total = np.zeros(len(spelled))
     for start in range(0, len(data) - depth, PIECE):
         piece = data[start : start + PIECE + depth]
-        key = np.zeros(len(piece) - depth, np.int64)
-        for i in range(depth + 1):
-            key = (key << 8) | piece[i : len(piece) - depth + i]
+        # the bytes before a place, newest first, then the byte itself
+        key = piece[:-depth].astype(np.int64) << 8
+        for i in range(1, depth):
+            key |= piece[i : len(piece) - depth + i].astype(np.int64) << (8 * (i + 1))
+        key |= piece[depth:]
         own = piece[depth:] != PAD
         coded = pa.array(key[own]).dictionary_encode()
         keys = coded.dictionary.to_numpy()
-        keys = backwards(keys >> 8, depth) << 8 | keys & 255
         order = np.argsort(keys)  # sorted keys are found several times faster
         value = np.empty(len(keys))
-        value[order] = gram_probability(model, keys[order], depth)
+        value[order] = routed_probability(table, keys[order])
         total += np.bincount(owner[start + depth : start + len(piece)][own], value[coded.indices.to_numpy()], len(spelled))
     return total
 
@@ -242,6 +310,7 @@ def _lookup(model) -> dict[bytes, float]:
 def score(docs: DataFrame, training: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, **options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for all ``docs``, learned from ``training``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     counted = training.select(F.col(text_col).alias("text")).mapInArrow(_counted_words, "word binary, c long")
     vocab = written(counted.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     row = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -251,7 +320,7 @@ def score(docs: DataFrame, training: DataFrame, held_out, id_col: str = "doc_id"
     near = (F.col("c") >= cut) & (F.length("word") <= 48)
     tree = train(training, text_col, **options)
     table = vocab.filter(near).select("word", (F.log10(F.col("c") + 0.5) - norm).alias("x")).toArrow()  # columns take far less than rows
-    model = spark.sparkContext.broadcast({"tree": tree, "words": table["word"].combine_chunks(), "x": table["x"].to_numpy()})
+    model = spark.sparkContext.broadcast({"tree": routes(tree), "words": table["word"].combine_chunks(), "x": table["x"].to_numpy()})
     del table, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,26 +329,22 @@ def score(docs: DataFrame, training: DataFrame, held_out, id_col: str = "doc_id"
         for batch in sliced(batches, rows=1024, megabytes=3):
             lists = [tokens(t) for t in batch.column(2).to_pylist()]
             lp = log10_probability(tree, lists)
-            known, base, rest_words, rest_counts = [], [], [], []
-            for words_of in lists:
-                c = Counter(words_of)
-                c[END_WORD] += 1
-                s, k, own_words, own_counts = 0.0, 0, [], []
-                for w, times in c.items():
-                    x = words.get(w)
-                    if x is None:
-                        own_words.append(w)
-                        own_counts.append(times)
-                    else:
-                        s += times * x
-                        k += times
-                base.append(s)
-                known.append(k)
-                rest_words.append(own_words)
-                rest_counts.append(own_counts)
             size = batch.num_rows
+            for own in lists:
+                own.append(END_WORD)
+            n_tokens = np.array([len(x) for x in lists], np.int64)
+            owner = np.repeat(np.arange(size), n_tokens)
+            coded = pa.array([w for own in lists for w in own], pa.binary()).dictionary_encode()
+            distinct, at = coded.dictionary, coded.indices.to_numpy()
+            x = np.array([words.get(w, np.nan) for w in distinct.to_pylist()], np.float64)[at]
+            near = ~np.isnan(x)
+            base, known = np.bincount(owner[near], x[near], size), np.bincount(owner[near], minlength=size)
+            # the others, once for each text with how often, to meet the counts in a join
+            pair, times = np.unique(owner[~near] * max(1, len(distinct)) + at[~near], return_counts=True)
+            ends = pa.array(np.searchsorted(pair // max(1, len(distinct)), np.arange(size + 1)), pa.int32())
+            rest_words = pa.ListArray.from_arrays(ends, distinct.take(pa.array(pair % max(1, len(distinct)))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row_id, row_id + size)), batch.column(0), batch.column(1), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(lp, pa.float64()), pa.array(rest_words, pa.list_(pa.binary())), pa.array(rest_counts, pa.list_(pa.int64()))],
+                [pa.array(np.arange(row_id, row_id + size)), batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(lp, pa.float64()), rest_words, pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))],
                 names=["rid", "id", "held_out", "n_tokens", "known", "base", "score", "words", "times"],
             )
             row_id += size
