@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import sliced, written
+from cladespark.llm.common import bounded_batches, sliced, written
 
 #: A subtree is template if it is on at least this many pages and this share of its host's pages.
 MIN_PAGES, SHARE = 3, 0.01
@@ -212,15 +212,33 @@ def prune(root: Node, names: bool = True) -> None:
         todo += [(k, inside) for k in own.kids if isinstance(k, Node)]
 
 
-def delete(root: Node, template: set[int] | frozenset[int]) -> None:
-    """Remove the subtrees whose hash is in ``template``, in place."""
-    known = _hashes(root)
-    gone = {id(n) for n in _candidates(root) if known.get(id(n)) in template}
-    todo = [root] if gone else []
-    while todo:
-        own = todo.pop()
-        own.kids = [k for k in own.kids if id(k) not in gone]
-        todo += [k for k in own.kids if isinstance(k, Node)]
+def _marked(root: Node) -> list[Node]:
+    """The outermost articles, else mains, that no dropped element holds."""
+    for tag in ("article", "main"):
+        found, todo = [], [root]
+        while todo:
+            own = todo.pop()
+            if own.tag == tag:
+                found.append(own)
+            else:
+                todo += [k for k in reversed(own.kids) if isinstance(k, Node) and k.tag not in _DROP_TAG]
+        if found:
+            return found
+    return []
+
+
+def delete(root: Node, template: set[int] | frozenset[int], tops: list[Node] | None = None) -> None:
+    """Remove the subtrees whose hash is in ``template``, in place; only below ``tops`` if given (marked articles). Nothing is hashed where nothing can go."""
+    inside = tops is not None
+    for top in tops if inside else [root]:
+        able = list(_candidates(top, inside))
+        known = _hashes(top) if able else {}
+        gone = {id(n) for n in able if known.get(id(n)) in template}
+        todo = [top] if gone else []
+        while todo:
+            own = todo.pop()
+            own.kids = [k for k in own.kids if id(k) not in gone]
+            todo += [k for k in own.kids if isinstance(k, Node)]
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -301,9 +319,9 @@ def _hashes(root: Node) -> dict[int, int]:
     return found
 
 
-def _candidates(root: Node) -> Iterator[Node]:
+def _candidates(root: Node, inside: bool = False) -> Iterator[Node]:
     """Elements that recurrence may delete: not the page itself, nor prose inside a marked article."""
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo: list[tuple[Node, bool]] = [(root, inside)]
     while todo:
         node, inside = todo.pop()
         inside |= node.tag in ("article", "main")
@@ -317,18 +335,29 @@ def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
     root = parse(page or "")
     known = _hashes(root)
     found = sorted({known[id(n)] for n in _candidates(root) if id(n) in known})
-    prune(root)
-    content = xxhash.xxh3_64_intdigest(" ".join(blocks(main_nodes(root))).encode("utf-8", "surrogatepass")) - 2**63
-    return content, found
+    if marked := _marked(root):
+        content = " ".join(str(known.get(id(n))) for n in marked)
+    else:
+        prune(root)
+        content = " ".join(blocks(main_nodes(root)))
+    return xxhash.xxh3_64_intdigest(content.encode("utf-8", "surrogatepass")) - 2**63, found
 
 
 def extract(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's main text without the subtrees in ``template``."""
     root = parse(page or "")
+    tops = _marked(root) if template else []
     if template:
-        delete(root, template)
+        # what lies outside marked articles isn't main text anyway
+        delete(root, template, tops or None)
     prune(root)
-    return " ".join(blocks(main_nodes(root)))
+    nodes = main_nodes(root)
+    if tops and not all(any(n is t for t in tops) for n in nodes):  # the marked ones were dropped after all
+        root = parse(page or "")
+        delete(root, template)
+        prune(root)
+        nodes = main_nodes(root)
+    return " ".join(blocks(nodes))
 
 
 def removed_chars(page: str | None, template: set[int] | frozenset[int]) -> tuple[int, int, int]:
@@ -379,6 +408,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """(page_id, url, text) for every page."""
+    bounded_batches(pages.sparkSession)
     found = templates(pages, url_col, html_col, **options).withColumnRenamed("host", "_t_host")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(_host(url_col)).alias("host"))
     rows = rows.join(found, F.col("host") == F.col("_t_host"), "left").select("id", "url", "html", "template")
