@@ -138,12 +138,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col
     ``doc`` is the id (``NULL_ID`` for null) and ``row`` the xxhash64 of the
     text, which tells apart rows that repeat an id.
     """
-    keys = line_keys(docs, min_chars, id_col, text_col)
+    keys = written(line_keys(docs, min_chars, id_col, text_col), "line_keys")  # the range sampling reads hashes, not texts
     dealt = keys.repartitionByRange("h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "row", "pos")
     marks = written(dealt.mapInArrow(_stream(min_docs), _MARK_DDL), "line_marks")
-    # at most two rows per partition, so small enough to send to every task
+    # at most two rows per partition; stored, so the planner knows the size and broadcasts below its threshold
     ends = marks.filter(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("row").alias("n"), F.max("doc").alias("top"))
-    ends = F.broadcast(ends.filter(F.col("n") >= min_docs))
+    ends = written(ends.filter(F.col("n") >= min_docs), "ends")
     closed = marks.filter(F.col("kind") == OPEN).join(ends, ["h1", "h2"]).filter(F.col("doc") != F.col("top"))
     own = ["doc", "row", "pos", "n_lines"]
     drops = marks.filter(F.col("kind") == DROP).select(own).unionByName(closed.select(own))
